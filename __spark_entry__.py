@@ -23,6 +23,7 @@ from textlode.functions.porter2 import porter2_stems  # noqa: E402
 from textlode.operators import ranking as rk  # noqa: E402
 from textlode.operators import statistics as st  # noqa: E402
 from textlode.operators import upserts as up  # noqa: E402
+from textlode.plans.sizing import spread_by  # noqa: E402
 from textlode.plans.storage import new_folder  # noqa: E402
 from textlode.sources.documents import (  # noqa: E402
     extract_documents,
@@ -46,7 +47,7 @@ def entry(spark: SparkSession) -> DataFrame:
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text), spread over the cores when the scan has few splits."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return spread_scan(docs, "doc_id")
+    return spread_scan(docs)
 
 
 def doc_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,8 +143,7 @@ def stem_vocabulary(spark, sf_dir):
 
 def stem_vocabulary_counts(spark, sf_dir):
     analyzer = Analyzer(vocabulary_stemmer=porter2_stems)
-    words = analyzer.words(documents(spark, sf_dir), "doc_id")
-    return counted(words.withColumnRenamed("word", "token"), "token")
+    return counted(analyzer.tokens(documents(spark, sf_dir), "doc_id"), "token")
 
 
 def byte_mode_counts(spark, sf_dir):
@@ -291,7 +291,7 @@ def _batch(spark, sf_dir, requests: DataFrame, docs: DataFrame, mode: str) -> Da
     """A table of requests over texts; only tokens of some request are counted."""
     analyzer = Analyzer()
     wanted = rk.request_tokens(requests, analyzer)
-    source = docs.repartition("doc_id")
+    source = spread_by(docs, "doc_id")
     tokens = rk.filter_to_requests(analyzer.tokens(source, "doc_id"), wanted)
     postings = counted(tokens, "doc_id", "token").withColumnRenamed("n", "tf")
     stats = st.token_stats(
@@ -436,7 +436,7 @@ def read_errors(spark, sf_dir):
 
 # -- markup ----------------------------------------------------------------
 def events(spark, sf_dir, strict: bool = False) -> DataFrame:
-    pages = spread_scan(read_table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
+    pages = spread_scan(read_table(spark, sf_dir, "pages").select("page_id", "html"))
     rows = markup.markup_events(F.col("html"), strict)
     return pages.select("page_id", F.posexplode(rows).alias("seq", "e")).select(
         "page_id", "seq", "e.*"

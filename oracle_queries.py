@@ -129,8 +129,8 @@ PIECES = (
 
 
 def page_pieces(name: str) -> str:
-    """page_id, at, piece"""
-    return f"""{name} AS (SELECT page_id, unnest(range(1, len(l) + 1)) AS at, unnest(l) AS piece
+    """page_id, pos, piece"""
+    return f"""{name} AS (SELECT page_id, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS piece
       FROM (SELECT page_id, regexp_extract_all(html, {quoted(PIECES)}) AS l FROM pages))"""
 
 
@@ -147,10 +147,10 @@ def decoded(value: str) -> str:
 def page_texts(name: str) -> str:
     """page_id, text: character data, one blank after each run."""
     return f"""{page_pieces(name + '_pieces')},
-    {name}_runs AS (SELECT page_id, at, {decoded('piece')} AS run
+    {name}_runs AS (SELECT page_id, pos, {decoded('piece')} AS run
       FROM (SELECT *, {entity_map()} AS ents FROM {name}_pieces)
       WHERE piece NOT LIKE '<%'),
-    {name} AS (SELECT page_id, coalesce(string_agg(run || ' ', '' ORDER BY at), '') AS text
+    {name} AS (SELECT page_id, coalesce(string_agg(run || ' ', '' ORDER BY pos), '') AS text
       FROM pages LEFT JOIN {name}_runs USING (page_id) GROUP BY page_id)"""
 
 

@@ -18,6 +18,8 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textlode.functions.text import literal_map
+
 # The pieces of a markup text, in order of preference.
 PIECE_PATTERN = (
     r"(?s)<!--.*?-->"
@@ -59,7 +61,7 @@ def pieces(markup: Column) -> Column:
 
 def decode_references(value: Column, entities: dict[str, str]) -> Column:
     """Replace character and entity references; unknown ones stay as written."""
-    table = F.create_map(*(F.lit(x) for pair in entities.items() for x in pair))
+    table = literal_map(entities)
 
     def one(part: Column) -> Column:
         body = F.substring(part, F.lit(2), F.char_length(part) - 2)

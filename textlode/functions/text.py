@@ -10,7 +10,9 @@ that need one array per text.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,15 +40,40 @@ def ends_in_space(text: Column) -> Column:
 
 def normalize_case(token: Column) -> Column:
     """Upper case without surrounding blanks; a sharp s keeps its length."""
-    return F.trim(F.upper(F.translate(token, "ß", "ẞ")))
+    return F.trim(F.upper(F.replace(token, F.lit("ß"), F.lit("ẞ"))))
+
+
+def sql_strings(values: Sequence[str]) -> str:
+    """Values as a list of SQL literals."""
+    escaped = (v.replace("\\", "\\\\").replace("'", "\\'") for v in values)
+    return ", ".join(f"'{v}'" for v in escaped)
+
+
+def in_list(column: str, values: Sequence[str]) -> Column:
+    """Column IN (values), parsed by Spark in one call; planned as a hash set."""
+    return F.expr(f"`{column}` IN ({sql_strings(values)})") if values else F.lit(False)
+
+
+def literal_map(pairs: dict[str, str]) -> Column:
+    return F.expr(f"map({sql_strings([x for pair in pairs.items() for x in pair])})")
 
 
 def remove_stopwords(tokens: Column, stopwords: Sequence[str]) -> Column:
     """Array form of the stopword filter."""
-    words = list(stopwords)
+    words = literals(stopwords)
     return F.filter(tokens, lambda t: ~t.isin(words)) if words else tokens
 
 
+def literals(values: Sequence[str]) -> list[Column]:
+    """Values as literal columns, built once per session."""
+    return _literals(tuple(values), SparkContext.getOrCreate().applicationId)
+
+
+@lru_cache(maxsize=8)
+def _literals(values: tuple[str, ...], application: str) -> list[Column]:
+    return [F.lit(v) for v in values]
+
+
 def stem_final_y(token: Column) -> Column:
     """Effective stem of an upper-case token: a final Y becomes a small i.
 

@@ -114,11 +114,17 @@ class Analyzer:
         """
         if isinstance(self.stopwords, DataFrame):
             raise ValueError("a stopword table needs the row form")
-        stop = [w for w in self.stopwords]
-        kept = F.exists(
-            self.tokenize(self._prepared(text)), lambda t: ~self.normalize(t).isin(stop)
-        )
-        if self.tokenizer is None and self.mode == "unicode" and _only_letters(stop):
+        stop = tx.literals(self.stopwords)
+        words = self.tokenize(self._prepared(text))
+        if stop:
+            kept = F.exists(words, lambda t: ~self.normalize(t).isin(stop))
+        else:
+            kept = F.size(words) > 0
+        if (
+            self.tokenizer is None
+            and self.mode == "unicode"
+            and _only_letters(self.stopwords)
+        ):
             kept = F.when(text.rlike(rf"[^{tx.SPACE_CLASS}\p{{L}}]"), F.lit(True)).otherwise(
                 kept
             )
@@ -127,7 +133,7 @@ class Analyzer:
     # -- helpers -----------------------------------------------------------
     def _prepared(self, text: Column) -> Column:
         if self.mode == "unicode" and self.tokenizer is None:
-            return F.translate(text, "ß", "ẞ")
+            return F.replace(text, F.lit("ß"), F.lit("ẞ"))
         return text
 
     def _without_stopwords(self, words: DataFrame) -> DataFrame:
@@ -135,7 +141,7 @@ class Analyzer:
             listed = self.stopwords.select("word").distinct()
             return join_lookup(words, listed, ["word"], how="left_anti")
         stop = list(self.stopwords)
-        return words.where(~F.col("word").isin(stop)) if stop else words
+        return words.where(~tx.in_list("word", stop)) if stop else words
 
 
 def _only_letters(stopwords: Sequence[str]) -> bool:

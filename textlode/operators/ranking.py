@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textlode.functions.text import in_list
 from textlode.operators.analysis import Analyzer
 from textlode.plans.sizing import BROADCAST_ROWS, is_small, join_tokens
 
@@ -15,14 +16,13 @@ SCORE_DIGITS = 6
 
 
 def query_tokens(spark: SparkSession, search: str, analyzer: Analyzer) -> list[str]:
-    """Distinct tokens of one search text, in order of first use."""
+    """Distinct tokens of one search text."""
     text = spark.createDataFrame([(search,)], "text string")
-    rows = text.select(F.array_distinct(analyzer.analyze(F.col("text"))).alias("t")).head()
-    return list(rows["t"])
+    return [row["token"] for row in analyzer.tokens(text).distinct().collect()]
 
 
 def in_tokens(tokens: Sequence[str]) -> Column:
-    return F.col("token").isin(list(tokens)) if tokens else F.lit(False)
+    return in_list("token", tokens)
 
 
 def score_sum(matches: DataFrame, *keys: str) -> DataFrame:
@@ -67,7 +67,9 @@ def query(
         score_sum(match_query_tokens(postings, stats, distinct), "doc_id")
     )
     if require_all_known and distinct:
-        known = stats.where(in_tokens(distinct)).agg(F.count(F.lit(1)).alias("n"))
+        # Looks at df, so it reads what the scoring branch reads and can share
+        # its shuffles.
+        known = stats.where(in_tokens(distinct)).agg(F.count(F.when(F.col("df") > 0, 1)))
         scores = scores.where(known.scalar() == len(distinct))
     return scores
 
@@ -99,9 +101,9 @@ def filter_to_requests(
 
     It only saves work: rows of other tokens find no partner later on.
     """
-    distinct = wanted.select("token").distinct()
-    if not is_small(distinct, max_rows):
+    if not is_small(wanted, max_rows):
         return tokens
+    distinct = wanted.select("token").distinct()
     return tokens.join(F.broadcast(distinct), "token", "left_semi")
 
 
@@ -127,18 +129,22 @@ def search_batch(
     requests: DataFrame,
     analyzer: Analyzer,
     require_all_known: bool = False,
+    max_rows: int = BROADCAST_ROWS,
     **sizes,
 ) -> DataFrame:
     """Answer every request: (query_id, doc_id, score, rank).
 
-    The query side is joined to the postings by token (see ``join_tokens``),
-    scores are summed map-side first, and each task keeps only the best
-    documents per query before the ranking shuffle: the literal bound on the
-    rank lets Spark plan a group limit below the exchange.
+    The query side is joined to the postings by token (see ``join_tokens``); it
+    is at most as large as the distinct tokens of the requests, so their number
+    decides whether it is broadcast.  Scores are summed map-side first, and
+    each task keeps only the best documents per query before the ranking
+    shuffle: the literal bound on the rank lets Spark plan a group limit below
+    the exchange.
     """
     wanted = request_tokens(requests, analyzer)
     terms = known_request_tokens(wanted, stats, require_all_known)
-    matches = join_tokens(postings, terms, **sizes)
+    small = is_small(wanted, max_rows)
+    matches = join_tokens(postings, terms, max_rows=max_rows, small=small, **sizes)
     scores = positive_scores(score_sum(matches, "query_id", "doc_id"))
     return top_per_query(scores, requests)
 

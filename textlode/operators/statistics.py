@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlode.operators.analysis import Analyzer
-from textlode.plans.sizing import join_tokens
+from textlode.plans.sizing import join_tokens, spread_by
 
 MODES = ("float", "pruned")
 
@@ -48,7 +48,7 @@ def term_frequency(
     """
     source = docs.select("doc_id", "text")
     if by_document:
-        source = source.repartition("doc_id")
+        source = spread_by(source, "doc_id")
     tokens = analyzer.tokens(source, "doc_id")
     if only_tokens is not None:
         tokens = tokens.where(only_tokens)

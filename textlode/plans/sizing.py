@@ -45,6 +45,7 @@ def join_tokens(
     max_rows: int = BROADCAST_ROWS,
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
+    small: bool | None = None,
 ) -> DataFrame:
     """Inner join of postings with ``lookup`` (token, df, ...) on token.
 
@@ -53,8 +54,9 @@ def join_tokens(
     ``salts`` salts from the document key and their lookup rows are repeated
     for each salt, all others use salt 0.  There are at most
     ``postings / hot_rows`` hot tokens; their list is itself size-checked.
+    ``small`` states the outcome of the size check where the caller knows it.
     """
-    if is_small(lookup, max_rows):
+    if is_small(lookup, max_rows) if small is None else small:
         return postings.join(F.broadcast(lookup), "token")
     hot = lookup.where(F.col("df") > hot_rows).select("token").distinct()
     if not is_small(hot, max_rows):
@@ -76,3 +78,14 @@ def join_tokens(
         ),
     )
     return marked.drop("_hot").join(repeated, ["token", "_salt"]).drop("_salt")
+
+
+def spread_by(df: DataFrame, key: str) -> DataFrame:
+    """Hash-distribute texts by ``key``: the shuffle width, or two tasks per core.
+
+    The width is fixed on purpose: adaptive coalescing sizes partitions by the
+    text read, but the analysis that follows multiplies it about tenfold.
+    """
+    spark = df.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(width, 2 * spark.sparkContext.defaultParallelism), key)

@@ -9,7 +9,7 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def spread_scan(scan: DataFrame, key: str) -> DataFrame:
+def spread_scan(scan: DataFrame) -> DataFrame:
     """Give a scan of a few splits enough tasks for the cores at hand.
 
     Text analysis multiplies its input, so one split per core is the least it
@@ -18,4 +18,4 @@ def spread_scan(scan: DataFrame, key: str) -> DataFrame:
     cores = scan.sparkSession.sparkContext.defaultParallelism
     if scan.rdd.getNumPartitions() >= 4 * cores:
         return scan
-    return scan.repartition(2 * cores, key)
+    return scan.repartition(2 * cores)
