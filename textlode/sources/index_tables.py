@@ -2,7 +2,7 @@
 
     <path>/term_freq/batch_id=K    (doc_id, token, tf)
     <path>/docs/batch_id=K         (doc_id, has_tokens)
-    <path>/token_stats             (token, df)
+    <path>/token_stats/as_of=K     (token, df) of batches up to K
 
 Postings are written by the tasks that counted them, each file sorted by token:
 every document sits in one file, a hot token is spread over all files, and the
@@ -14,6 +14,7 @@ A batch has its own folder, so a repeated batch overwrites itself.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,14 +27,26 @@ from textlode.operators.upserts import (
     latest_postings,
     replaced_postings,
 )
+from textlode.plans.sizing import join_lookup
+
+
+TABLE_SCHEMAS = {
+    "term_freq": "doc_id {key}, token STRING, tf BIGINT, batch_id BIGINT",
+    "docs": "doc_id {key}, has_tokens BOOLEAN, batch_id BIGINT",
+    "token_stats": "token STRING, df BIGINT, as_of BIGINT",
+}
 
 
 class IndexTables:
-    """Reads and writes the tables of one index folder."""
+    """Reads and writes the tables of one index folder.
+
+    ``key_type`` is the type of ``doc_id``: BIGINT for tables, STRING for files.
+    """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, key_type: str = "BIGINT"):
         self.spark = spark
         self.path = path.rstrip("/")
+        self.key_type = key_type
 
     # -- writing -----------------------------------------------------------
     def write_batch(
@@ -42,14 +55,54 @@ class IndexTables:
         """Append the postings of documents (doc_id, text[, seq]) as one batch."""
         postings = batch_postings(docs, analyzer, replace)
         self._write(
-            postings.sortWithinPartitions("token", "doc_id"), f"term_freq/batch_id={batch_id}"
+            postings.sortWithinPartitions("token"), f"term_freq/batch_id={batch_id}"
         )
         self._write(batch_documents(docs, analyzer), f"docs/batch_id={batch_id}")
 
     def refresh_stats(self, replace: bool = False) -> None:
-        """Recompute df from the current postings."""
-        stats = document_frequency(self.postings(replace))
-        self._write(stats.sortWithinPartitions("token"), "token_stats")
+        """Recompute df from all current postings."""
+        self._write_stats(document_frequency(self.postings(replace)), max(self.batches()))
+
+    def extend_stats(self) -> None:
+        """Bring df up to date from the batches since the last refresh only.
+
+        Stale tokens stay in the index, so df never falls: it grows by the
+        (doc_id, token) pairs the new batches are the first to hold.  The old
+        log is cut to the documents of the new batches before the pairs are
+        compared.
+        """
+        done = self._stats_versions()
+        last = max(self.batches())
+        if not done or max(done) >= last:
+            return self.refresh_stats()
+        log, as_of = self.log(), max(done)
+        new = log.where(F.col("batch_id") > as_of).select("doc_id", "token").distinct()
+        changed = self.docs_log().where(F.col("batch_id") > as_of).select("doc_id").distinct()
+        earlier = join_lookup(
+            log.where(F.col("batch_id") <= as_of).select("doc_id", "token"),
+            changed,
+            ["doc_id"],
+            how="left_semi",
+        )
+        added = (
+            new.join(earlier, ["doc_id", "token"], "left_anti")
+            .groupBy("token")
+            .agg(F.count(F.lit(1)).alias("added"))
+        )
+        total = F.coalesce("df", F.lit(0)) + F.coalesce("added", F.lit(0))
+        stats = self.frequencies().join(added, "token", "full_outer")
+        self._write_stats(stats.select("token", total.alias("df")), last)
+
+    def compact(self, path: str) -> IndexTables:
+        """Write the current view as the single batch of a new index folder."""
+        target = IndexTables(self.spark, path)
+        target._write(self.postings().sortWithinPartitions("token"), "term_freq/batch_id=0")
+        target._write(self.documents(), "docs/batch_id=0")
+        target.refresh_stats()
+        return target
+
+    def _write_stats(self, stats: DataFrame, as_of: int) -> None:
+        self._write(stats.sortWithinPartitions("token"), f"token_stats/as_of={as_of}")
 
     def _write(self, df: DataFrame, table: str) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/{table}")
@@ -78,36 +131,47 @@ class IndexTables:
 
     def frequencies(self) -> DataFrame:
         """(token, df) as of the last refresh."""
-        return self._read("token_stats")
+        last = max(self._stats_versions())
+        return self.spark.read.parquet(f"{self.path}/token_stats/as_of={last}")
+
+    def batches(self) -> set[int]:
+        """Batch numbers, from the file listing alone."""
+        return _folder_numbers(self.docs_log(), "batch_id")
+
+    def next_batch(self) -> int:
+        return max(self.batches()) + 1
 
-    def batches(self) -> set[str]:
-        """Batch folders, from the file listing alone."""
-        files = self.docs_log().inputFiles()
-        return {name.split("/batch_id=")[1].split("/")[0] for name in files}
+    def _stats_versions(self) -> set[int]:
+        try:
+            return _folder_numbers(self._read("token_stats"), "as_of")
+        except AnalysisException:
+            return set()
 
     def _read(self, table: str) -> DataFrame:
         """Raises Spark's path error where the index does not exist."""
-        read = self.spark.read
-        if table != "token_stats":
-            df = read.option("basePath", f"{self.path}/{table}").parquet(
-                f"{self.path}/{table}"
-            )
-            return df.withColumn("batch_id", F.col("batch_id").cast("long"))
-        return read.parquet(f"{self.path}/{table}")
+        folder = f"{self.path}/{table}"
+        schema = TABLE_SCHEMAS[table].format(key=self.key_type)
+        return self.spark.read.schema(schema).option("basePath", folder).parquet(folder)
+
+
+def _folder_numbers(table: DataFrame, column: str) -> set[int]:
+    return {
+        int(name.split(f"/{column}=")[1].split("/")[0]) for name in table.inputFiles()
+    }
 
 
 def write_index(
     spark: SparkSession, docs: DataFrame, path: str, analyzer: Analyzer
 ) -> IndexTables:
     """Build an index folder from documents (doc_id, text)."""
-    tables = IndexTables(spark, path)
+    tables = IndexTables(spark, path, docs.schema["doc_id"].dataType.simpleString())
     tables.write_batch(docs, 0, analyzer)
     tables.refresh_stats()
     return tables
 
 
-def read_index(spark: SparkSession, path: str) -> IndexTables:
+def read_index(spark: SparkSession, path: str, key_type: str = "BIGINT") -> IndexTables:
     """Open an existing index; a missing one raises."""
-    tables = IndexTables(spark, path)
+    tables = IndexTables(spark, path, key_type)
     tables.docs_log()
     return tables
