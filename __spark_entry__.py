@@ -23,7 +23,7 @@ from textlode.functions.porter2 import porter2_stems  # noqa: E402
 from textlode.operators import ranking as rk  # noqa: E402
 from textlode.operators import statistics as st  # noqa: E402
 from textlode.operators import upserts as up  # noqa: E402
-from textlode.plans.sizing import spread_by  # noqa: E402
+from textlode.plans.sizing import keep_listed, spread_by  # noqa: E402
 from textlode.plans.storage import new_folder  # noqa: E402
 from textlode.sources.documents import (  # noqa: E402
     extract_documents,
@@ -217,8 +217,11 @@ def pruned_tokens(spark, sf_dir):
 
 
 def attach_stats(spark, sf_dir):
-    index = TermIndex.from_documents(documents(spark, sf_dir), "pruned")
-    rows = st.attach_stats(index.postings, index.stats)
+    """Statistics copied onto the postings of index tables."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    tables = write_index(spark, docs, new_folder(spark, "index"), Analyzer())
+    stats = st.token_stats(tables.frequencies(), tables.documents(), "pruned")
+    rows = st.attach_stats(tables.postings(), stats)
     return rows.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_postings"),
         F.sum("df").alias("sum_df"),
@@ -292,7 +295,7 @@ def _batch(spark, sf_dir, requests: DataFrame, docs: DataFrame, mode: str) -> Da
     analyzer = Analyzer()
     wanted = rk.request_tokens(requests, analyzer)
     source = spread_by(docs, "doc_id")
-    tokens = rk.filter_to_requests(analyzer.tokens(source, "doc_id"), wanted)
+    tokens = keep_listed(analyzer.tokens(source, "doc_id"), wanted, "token")
     postings = counted(tokens, "doc_id", "token").withColumnRenamed("n", "tf")
     stats = st.token_stats(
         st.document_frequency(postings), st.document_table(source, analyzer), mode

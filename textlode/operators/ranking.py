@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textlode.functions.text import in_list
 from textlode.operators.analysis import Analyzer
-from textlode.plans.sizing import BROADCAST_ROWS, is_small, join_tokens
+from textlode.plans.sizing import BROADCAST_ROWS, is_small, join_tokens, keep_listed
 
 DEFAULT_TOP_N = 10
 SCORE_DIGITS = 6
@@ -94,19 +94,6 @@ def request_tokens(requests: DataFrame, analyzer: Analyzer) -> DataFrame:
     return analyzer.tokens(texts, "query_id").distinct()
 
 
-def filter_to_requests(
-    tokens: DataFrame, wanted: DataFrame, max_rows: int = BROADCAST_ROWS
-) -> DataFrame:
-    """Keep token rows that occur in a request; a no-op beyond the size bound.
-
-    It only saves work: rows of other tokens find no partner later on.
-    """
-    if not is_small(wanted, max_rows):
-        return tokens
-    distinct = wanted.select("token").distinct()
-    return tokens.join(F.broadcast(distinct), "token", "left_semi")
-
-
 def known_request_tokens(
     wanted: DataFrame, stats: DataFrame, require_all_known: bool = False
 ) -> DataFrame:
@@ -130,6 +117,7 @@ def search_batch(
     analyzer: Analyzer,
     require_all_known: bool = False,
     max_rows: int = BROADCAST_ROWS,
+    merged: bool = False,
     **sizes,
 ) -> DataFrame:
     """Answer every request: (query_id, doc_id, score, rank).
@@ -139,11 +127,14 @@ def search_batch(
     decides whether it is broadcast.  Scores are summed map-side first, and
     each task keeps only the best documents per query before the ranking
     shuffle: the literal bound on the rank lets Spark plan a group limit below
-    the exchange.
+    the exchange.  ``merged`` postings are a view that merges several batches:
+    they are cut to the request tokens before they are merged.
     """
     wanted = request_tokens(requests, analyzer)
     terms = known_request_tokens(wanted, stats, require_all_known)
     small = is_small(wanted, max_rows)
+    if merged:
+        postings = keep_listed(postings, wanted, "token", max_rows)
     matches = join_tokens(postings, terms, max_rows=max_rows, small=small, **sizes)
     scores = positive_scores(score_sum(matches, "query_id", "doc_id"))
     return top_per_query(scores, requests)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlode.operators.analysis import Analyzer
-from textlode.plans.sizing import join_tokens, spread_by
+from textlode.plans.sizing import join_tokens, keep_listed, spread_by
 
 MODES = ("float", "pruned")
 
@@ -105,6 +105,11 @@ def attach_stats(postings: DataFrame, stats: DataFrame, **sizes) -> DataFrame:
 
 
 def lookup_tf(pairs: DataFrame, postings: DataFrame) -> DataFrame:
-    """tf of each (doc_id, token) pair, 0 where there is no posting."""
+    """tf of each (doc_id, token) pair, 0 where there is no posting.
+
+    Postings of other tokens are dropped at their source where the list of
+    looked-up tokens is small.
+    """
+    postings = keep_listed(postings, pairs.select("token").distinct(), "token")
     found = pairs.join(postings, ["doc_id", "token"], "left")
     return found.withColumn("tf", F.coalesce("tf", F.lit(0).cast("long")))

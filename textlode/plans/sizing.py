@@ -38,6 +38,19 @@ def join_lookup(
     return facts.join(lookup, list(on), how)
 
 
+def keep_listed(
+    rows: DataFrame, listed: DataFrame, column: str, max_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Keep rows whose ``column`` occurs in ``listed``; a no-op beyond the bound.
+
+    For rows that find no partner in a later join anyway: it only saves work.
+    Over an aggregate grouped by ``column`` Spark moves it to the scan.
+    """
+    if not is_small(listed, max_rows):
+        return rows
+    return rows.join(F.broadcast(listed.select(column).distinct()), column, "left_semi")
+
+
 def join_tokens(
     postings: DataFrame,
     lookup: DataFrame,

@@ -18,7 +18,7 @@ def read_documents(spark: SparkSession, directory: str, strict: bool = False) ->
     """(doc_id, text, error) of every regular file below ``directory``.
 
     The document key is the absolute path.  Spark's file listing leaves out
-    names that start with ``_`` or ``.``.
+    names that start with ``_`` or ``.``, and its scan leaves out empty files.
     """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
