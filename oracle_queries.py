@@ -154,6 +154,38 @@ def page_texts(name: str) -> str:
       FROM pages LEFT JOIN {name}_runs USING (page_id) GROUP BY page_id)"""
 
 
+def strict_texts() -> str:
+    """page_id, text of strict reading: a recursive walk with the open elements."""
+    name = r"[\p{L}_:][\p{L}\p{N}_:.\-]*"
+    ref = r"&(?:lt|gt|amp|apos|quot|#[0-9]+|#x[0-9a-fA-F]+);"
+    attribute = rf"""\s*{name}\s*=\s*(?:"(?:[^"<&]|{ref})*"|'(?:[^'<&]|{ref})*')"""
+    start = quoted(rf"^<{name}(?:{attribute})*\s*/?>$")
+    value = decoded("piece")
+    return rf"""WITH RECURSIVE {page_pieces('pieces')},
+    kinds AS (SELECT page_id, pos, piece, CASE
+        WHEN piece LIKE '<!--%' THEN CASE WHEN contains(piece[5:-4], '--')
+          OR piece LIKE '%--->' THEN 'bad' ELSE 'other' END
+        WHEN piece LIKE '<!%' OR piece LIKE '<?%' THEN 'other'
+        WHEN piece LIKE '</%' THEN
+          CASE WHEN regexp_matches(piece, '^</{name}\s*>$') THEN 'end' ELSE 'bad' END
+        WHEN piece LIKE '<%' THEN CASE WHEN NOT regexp_matches(piece, {start}) THEN 'bad'
+          WHEN piece LIKE '%/>' THEN 'other' ELSE 'start' END
+        WHEN regexp_matches(piece, '^(?:[^&]|{ref})*$') AND NOT contains(piece, ']]>')
+          THEN 'text' ELSE 'bad' END AS kind,
+      regexp_extract(piece, '^</?({name})', 1) AS name FROM pieces),
+    walk AS (SELECT page_id, 0::BIGINT AS pos, []::VARCHAR[] AS open, false AS bad FROM pages
+      UNION ALL
+      SELECT k.page_id, k.pos, CASE kind WHEN 'start' THEN list_append(w.open, k.name)
+          WHEN 'end' THEN w.open[:-2] ELSE w.open END,
+        kind = 'bad' OR (kind = 'end' AND coalesce(w.open[-1], '') <> k.name)
+      FROM walk w JOIN kinds k ON k.page_id = w.page_id AND k.pos = w.pos + 1 WHERE NOT w.bad),
+    runs AS (SELECT page_id, pos, {value} AS run FROM (SELECT k.page_id, k.pos, piece,
+        {entity_map()} AS ents FROM kinds k JOIN walk w
+        ON k.page_id = w.page_id AND k.pos = w.pos WHERE kind = 'text' AND NOT bad))
+    SELECT page_id, coalesce(string_agg(run || ' ', '' ORDER BY pos), '') AS text
+    FROM pages LEFT JOIN runs USING (page_id) GROUP BY page_id"""
+
+
 # -- English stems ---------------------------------------------------------
 def case_of(column: str, pairs: dict[str, str]) -> str:
     whens = " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in pairs.items())
@@ -421,5 +453,6 @@ def registered(known: str, unknown: str, benchmark: str) -> dict[str, str]:
         "markup_links": f"""WITH {events} SELECT regexp_extract(piece, 'href="([^"]*)"', 1)
           AS target, count(*) AS n FROM ev WHERE kind = 'start' AND name = 'a' GROUP BY 1""",
         "chardata_text": f"WITH {page_texts('t')} SELECT page_id, text FROM t",
+        "strict_prefix_text": strict_texts(),
         "markup_text_search": markup_batch,
     }

@@ -106,12 +106,12 @@ def gram_rows(
     Every word becomes ``1 + sum(max(len - n, 0))`` rows.  The row number tells
     size and start of its gram, so the cut is one ``substring`` call.
     """
-    length = F.char_length(F.col(word))
-    counts = [F.greatest(length - n, F.lit(0)) for n in sizes]
+    rows = words.withColumn("_length", F.char_length(F.col(word)))
+    counts = [F.greatest(F.col("_length") - n, F.lit(0)) for n in sizes]
     total = F.lit(0)
     for count in counts:
         total = total + count
-    rows = words.withColumn("_row", F.explode(F.sequence(F.lit(0), total)))
+    rows = rows.withColumn("_row", F.explode(F.sequence(F.lit(0), total)))
     token = F.when(F.col("_row") == 0, F.col(word))
     before = F.lit(0)
     for n, count in zip(sizes, counts):
@@ -120,4 +120,4 @@ def gram_rows(
             F.col("_row") <= before + count, F.substring(F.col(word), start, F.lit(n))
         )
         before = before + count
-    return rows.withColumn(out, token).drop("_row", *([word] if out != word else []))
+    return rows.withColumn(out, token).drop("_length", "_row", word)
