@@ -50,6 +50,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread_scan(docs)
 
 
+def pages_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, html), spread like the documents."""
+    return spread_scan(read_table(spark, sf_dir, "pages").select("page_id", "html"))
+
+
 def doc_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return st.term_frequency(docs, Analyzer())
@@ -363,7 +368,7 @@ def upsert_replace(spark, sf_dir):
 def bulk_update(spark, sf_dir):
     """Documents indexed, then all pages' texts upserted under the same keys."""
     index = TermIndex.from_documents(documents(spark, sf_dir))
-    pages = read_table(spark, sf_dir, "pages")
+    pages = pages_table(spark, sf_dir)
     text = markup.chardata_text(F.col("html"))
     updated = index.bulk_update(pages.select(F.col("page_id").alias("doc_id"), text.alias("text")))
     return updated.postings.groupBy("doc_id").agg(
@@ -418,7 +423,7 @@ def read_documents_chars(spark, sf_dir):
 
 def virtual_files(spark, sf_dir) -> DataFrame:
     """(path, content): pages under four extensions, as a directory scan gives them."""
-    pages = read_table(spark, sf_dir, "pages")
+    pages = pages_table(spark, sf_dir)
     ending = F.element_at(
         F.array(*(F.lit(e) for e in ("html", "xml", "txt", "pdf"))),
         (F.col("page_id") % 4 + 1).cast("int"),
@@ -439,7 +444,7 @@ def read_errors(spark, sf_dir):
 
 # -- markup ----------------------------------------------------------------
 def events(spark, sf_dir, strict: bool = False) -> DataFrame:
-    pages = spread_scan(read_table(spark, sf_dir, "pages").select("page_id", "html"))
+    pages = pages_table(spark, sf_dir)
     rows = markup.markup_events(F.col("html"), strict)
     return pages.select("page_id", F.posexplode(rows).alias("seq", "e")).select(
         "page_id", "seq", "e.*"
@@ -458,18 +463,18 @@ def markup_links(spark, sf_dir):
 
 
 def chardata_text(spark, sf_dir):
-    pages = read_table(spark, sf_dir, "pages")
+    pages = pages_table(spark, sf_dir)
     return pages.select("page_id", markup.chardata_text(F.col("html")).alias("text"))
 
 
 def strict_prefix_text(spark, sf_dir):
-    pages = read_table(spark, sf_dir, "pages")
+    pages = pages_table(spark, sf_dir)
     return pages.select("page_id", markup.chardata_text(F.col("html"), True).alias("text"))
 
 
 def markup_text_search(spark, sf_dir):
     """Benchmark texts searched in the text of the pages."""
-    pages = read_table(spark, sf_dir, "pages")
+    pages = pages_table(spark, sf_dir)
     docs = pages.select(
         F.col("page_id").alias("doc_id"), markup.chardata_text(F.col("html")).alias("text")
     )

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 HOT_ROWS = 5_000_000
 SALTS = 64
+TEXT_PARTITION_BYTES = 256 * 1024 * 1024
+UNKNOWN_BYTES = 2**60
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -94,11 +96,27 @@ def join_tokens(
 
 
 def spread_by(df: DataFrame, key: str) -> DataFrame:
-    """Hash-distribute texts by ``key``: the shuffle width, or two tasks per core.
+    """Hash-distribute texts by ``key``.
 
-    The width is fixed on purpose: adaptive coalescing sizes partitions by the
-    text read, but the analysis that follows multiplies it about tenfold.
+    The width is the largest of the configured shuffle width, two tasks per
+    core and one task per ``TEXT_PARTITION_BYTES`` of input files.  It is fixed
+    on purpose: adaptive coalescing sizes partitions by the text read, but the
+    analysis that follows multiplies it about tenfold.
     """
     spark = df.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(width, 2 * spark.sparkContext.defaultParallelism), key)
+    width = max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+        2 * spark.sparkContext.defaultParallelism,
+        -(-input_bytes(df) // TEXT_PARTITION_BYTES),
+    )
+    return df.repartition(width, key)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files below ``df``; sources of unknown size count as none."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+    total = 0
+    while leaves.hasNext():
+        size = int(str(leaves.next().stats().sizeInBytes()))
+        total += size if size < UNKNOWN_BYTES else 0
+    return total

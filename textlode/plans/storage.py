@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -11,17 +12,20 @@ from pyspark.sql import SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``.
 
-    It is set here only in local mode and only when unset; on a cluster a
-    machine-local folder would be lost with its executor.
+    A folder of its own is made only in local mode and only when none is named;
+    on a cluster a machine-local folder would be lost with its executor.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="textlode-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_dir(spark.sparkContext.applicationId)
+
+
+@lru_cache(maxsize=1)
+def _local_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"textlode-{application}-")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
