@@ -305,7 +305,8 @@ def _batch(spark, sf_dir, requests: DataFrame, docs: DataFrame, mode: str) -> Da
     stats = st.token_stats(
         st.document_frequency(postings), st.document_table(source, analyzer), mode
     )
-    return rk.search_batch(postings, stats, requests, analyzer, mode == "float")
+    found = rk.search_batch(postings, stats, requests, analyzer, mode == "float")
+    return found.withColumn("rank", F.col("rank").cast("long"))
 
 
 def search_batch_float(spark, sf_dir):
