@@ -536,9 +536,26 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
 )
 
 
+def _pipeline_parts() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
+    """Queries and SQL of the training-data operators, where these are installed."""
+    try:
+        import corpus_pipeline
+        from textlode.llm import queries as llm
+    except ModuleNotFoundError as error:
+        if error.name not in ("corpus_pipeline", "textlode.llm"):
+            raise
+        return {}, {}
+    found = {query.__name__: query for query in llm.QUERIES} | {"pipeline": corpus_pipeline.run}
+    written = llm.oracle_sql()
+    if corpus_pipeline.ORACLE_SQL:
+        written["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found, written
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {query.__name__: query for query in QUERIES}
+    return {query.__name__: query for query in QUERIES} | _pipeline_parts()[0]
 
 
 def oracle_sql() -> dict[str, str]:
-    return sql.registered(KNOWN_SEARCH, UNKNOWN_SEARCH, BENCHMARK_REQUESTS)
+    own = sql.registered(KNOWN_SEARCH, UNKNOWN_SEARCH, BENCHMARK_REQUESTS)
+    return own | _pipeline_parts()[1]
