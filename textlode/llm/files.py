@@ -27,7 +27,7 @@ def task_file(folder: str, ending: str) -> str:
 def create(uri: str) -> pa.NativeFile:
     store, path = _at(uri)
     store.create_dir(path.rpartition("/")[0], recursive=True)
-    return store.open_output_stream(path)
+    return store.open_output_stream(path, compression=None)
 
 
 def reader(uri: str) -> pa.NativeFile:
