@@ -14,13 +14,10 @@ from textlode.llm.components import stored
 from textlode.llm.queries import TOKENIZER, language_model, quality_machine
 from textlode.sources.tables import read_table
 
-#: Least mean probability of a document's language over its words.
-LEAST_LANGUAGE = 0.5
-
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: not ``und`` and more likely than all others together."""
-    return langid.keep_identified(docs, language_model(docs), least=LEAST_LANGUAGE)
+    """Documents with a known language."""
+    return langid.keep_identified(docs, language_model(docs))
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

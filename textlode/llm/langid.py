@@ -9,6 +9,8 @@ text that switches languages is split where the words change.
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -23,8 +25,10 @@ from pyspark.sql import types as T
 from .common import Memo, append_columns, fresh, slices, texts_of, unit
 
 UNKNOWN = "und"
+#: Least mean probability of a document's language that is not rejected.
+LEAST = 0.3
 #: At most about so many labelled documents are learned from.
-SAMPLE_DOCUMENTS = 1_200
+SAMPLE_DOCUMENTS = 600
 BUCKETS = 1 << 16
 #: Words of the training sample that get a weight of their own.
 LEXICON_WORDS = 4_000
@@ -33,8 +37,16 @@ WORD_CHARS = 24
 #: Learned stretches of one language within a training sequence, in words.
 STRETCH = 12
 SEQUENCE = 48
-STEPS = 60
-SLICE_CHARS = 6_000_000
+STEPS = 40
+#: Longer texts are worked on in windows of so many words ...
+WINDOW = 2_048
+#: ... that begin and end so many words outside what they decide.  A word's influence
+#: shrinks by a factor below 0.95 with each word, so it is nil in single precision.
+MARGIN = 320
+SLICE_CHARS = 8_000_000
+
+
+_RUNS = re.compile(r"[^\W\d_]+")
 
 
 # -- words and features ----------------------------------------------------
@@ -42,6 +54,9 @@ def letters_of(chunk: str) -> list[str]:
     """Letter runs of a chunk without white space."""
     if chunk.isalpha():
         return [chunk]
+    found = _RUNS.findall(chunk)
+    if all(map(str.isalpha, found)):
+        return found
     return "".join(c if c.isalpha() else " " for c in chunk).split()
 
 
@@ -130,9 +145,34 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray):
     return inner, pairs * step, logs
 
 
+def expected(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """Mean label probabilities of each sequence; long ones go in overlapping windows."""
+    begins = np.cumsum(lengths) - lengths
+    parts = np.maximum(1, -(-lengths // WINDOW))
+    owner = np.repeat(np.arange(len(lengths)), parts)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+    first = nth * WINDOW
+    last = np.minimum(first + WINDOW, lengths[owner])
+    left, right = np.maximum(first - MARGIN, 0), np.minimum(last + MARGIN, lengths[owner])
+    sizes = right - left
+    if len(owner) > len(lengths):
+        shift = np.repeat(begins[owner] + left - (np.cumsum(sizes) - sizes), sizes)
+        scores = scores[shift + np.arange(len(shift))]
+    inner, _, _ = marginals(scores, sizes, transitions)
+    at = np.cumsum(sizes) - sizes
+    bounds = np.stack([at + first - left, at + last - left], axis=1).ravel()
+    inner = np.concatenate([inner, np.zeros((1, inner.shape[1]), inner.dtype)])
+    sums = np.add.reduceat(inner, bounds, axis=0, dtype=np.float64)[::2]
+    total = np.stack(
+        [np.bincount(owner, sums[:, i], len(lengths)) for i in range(sums.shape[1])], axis=1
+    )
+    return total / lengths[:, None]
+
+
 # -- model -----------------------------------------------------------------
 @dataclass(frozen=True)
 class Model:
+    name: str
     labels: list[str]
     weights: np.ndarray  # (BUCKETS + 1, labels)
     transitions: np.ndarray  # (labels, labels), log weights
@@ -198,7 +238,7 @@ def fit(texts: Sequence[str], langs: Sequence[str], steps: int = STEPS, seed: in
     common = sorted(counts, key=lambda w: (-counts[w], w))[:LEXICON_WORDS]
     lexicon = {w: i for i, w in enumerate(common)}
     if k < 2:
-        return Model(labels, weights, transitions, lexicon)
+        return Model(uuid.uuid4().hex, labels, weights, transitions, lexicon)
     place = {lang: i for i, lang in enumerate(labels)}
     words, tags, lengths = _spliced(
         [w for w, _ in used], [place[lang] for _, lang in used], seed
@@ -237,7 +277,7 @@ def fit(texts: Sequence[str], langs: Sequence[str], steps: int = STEPS, seed: in
             rate = 0.1 * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
             parameter -= (rate * mean / (np.sqrt(square) + 1e-8)).astype(parameter.dtype)
         weights[BUCKETS] = 0
-    return Model(labels, weights, transitions, lexicon)
+    return Model(uuid.uuid4().hex, labels, weights, transitions, lexicon)
 
 
 def sample(
@@ -284,10 +324,8 @@ def label_texts(texts: Sequence[str], model: Model, memo: Memo) -> tuple[list[st
         if not lengths.any():
             continue
         flat = np.frombuffer(b"".join(parts), np.float32).reshape(-1, k)
-        inner, _, _ = marginals(flat, lengths[lengths > 0], model.transitions)
         where = np.flatnonzero(lengths)
-        sums = np.add.reduceat(inner, np.cumsum(lengths[where]) - lengths[where], axis=0, dtype=np.float64)
-        shares = np.minimum(sums / lengths[where, None], 1.0)
+        shares = np.minimum(expected(flat, lengths[where], model.transitions), 1.0)
         best = shares.argmax(axis=1)
         for row, i, share in zip(where.tolist(), best.tolist(), shares.max(axis=1), strict=True):
             names[start + row], scores[start + row] = model.labels[i], share
@@ -311,19 +349,19 @@ def predict(
     return append_columns(docs, compute, [(pred, T.StringType()), (score, T.DoubleType())])
 
 
-_MEMOS: dict[int, tuple[Model, Memo]] = {}
+_MEMOS: dict[str, Memo] = {}
 
 
 def _memo(model: Model) -> Memo:
-    """The memory of a worker for the model of its task."""
-    held = _MEMOS.get(0)
-    if held is None or held[0] is not model:
-        _MEMOS[0] = held = (model, Memo(model.chunk_scores))
-    return held[1]
+    """The memory of a worker for the model of its tasks."""
+    if model.name not in _MEMOS:
+        _MEMOS.clear()
+        _MEMOS[model.name] = Memo(model.chunk_scores)
+    return _MEMOS[model.name]
 
 
 def keep_identified(
-    docs: DataFrame, model: Model, text: str = "text", least: float = 0.5
+    docs: DataFrame, model: Model, text: str = "text", least: float = LEAST
 ) -> DataFrame:
     """Rows of ``docs`` in a known language: a label, for at least ``least`` of the words."""
     pred, score = fresh(docs, "lang_pred"), fresh(docs, "lang_score")
