@@ -25,8 +25,9 @@ BUCKETS = 1 << 15
 FACTORS = 8
 #: At most about so many labelled documents are learned from.
 SAMPLE_DOCUMENTS = 6_000
-EPOCHS = 12
-BATCH = 256
+#: Steps of learning, of so many documents each; documents come again in a new order.
+STEPS = 800
+BATCH = 64
 THRESHOLD = 0.3
 
 UPPER = bytes(range(65, 91))
@@ -115,7 +116,7 @@ class Machine:
     constant: float | None = None
 
     def dense(self, raw: np.ndarray) -> np.ndarray:
-        return np.clip((raw - self.mean) / self.spread, -8, 8)
+        return np.clip((raw - self.mean) / self.spread, -4, 4)
 
     def sums(self, x: Features) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Margin, summed factors and standardised structure of each text."""
@@ -142,7 +143,7 @@ class Machine:
 
 def fit(
     texts: Sequence[str], n_chars: Sequence[int | None], labels: Sequence[int],
-    epochs: int = EPOCHS, seed: int = 3,
+    steps: int = STEPS, seed: int = 3,
 ) -> Machine:
     """Learn from labelled texts by logistic loss, with Adagrad steps.
 
@@ -165,7 +166,7 @@ def fit(
     machine.bias = float(np.log(y.mean() / (1 - y.mean())))
     starts = np.searchsorted(raw.row, np.arange(len(y) + 1))
     seen = [np.full(size, 1e-2), np.full((size, FACTORS), 1e-2)]
-    for _ in range(epochs):
+    for _ in range(-(-steps * BATCH // len(y))):
         order = rng.permutation(len(y))
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]
