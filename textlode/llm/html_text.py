@@ -64,6 +64,7 @@ THRESHOLD = 0.5
 COVER = 0.8
 
 _WORDS = re.compile(r"[A-Za-z]+")
+_CUT_OFF = re.compile(r"</?[a-zA-Z][^<>]*")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -211,7 +212,9 @@ def content(lines: list[Line]) -> np.ndarray:
 def main_text(html: str) -> str:
     """Main text of a page; see :func:`extract`."""
     page = Lines()
-    page.feed(html)
+    start = html.rfind("<")
+    # A tag that the end of the page cuts off is no text.
+    page.feed(html[:start] if _CUT_OFF.fullmatch(html, max(start, 0)) else html)
     page.close()
     lines = page.lines
     if not lines:

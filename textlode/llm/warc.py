@@ -267,8 +267,6 @@ def _next_start(source: Source, at: int) -> int:
         for offset in sorted(found):
             here = at + offset
             if data[offset : offset + 3] != _MEMBER:
-                if offset and data[offset - 1 : offset] != b"\n":
-                    continue
                 return here
             try:
                 first, _ = _inflate(source, here, len(VERSION))
