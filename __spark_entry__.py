@@ -24,7 +24,7 @@ from textlode.operators import ranking as rk  # noqa: E402
 from textlode.operators import statistics as st  # noqa: E402
 from textlode.operators import upserts as up  # noqa: E402
 from textlode.plans.sizing import keep_listed, spread_by  # noqa: E402
-from textlode.plans.storage import new_folder  # noqa: E402
+from textlode.plans.storage import new_folder, stored  # noqa: E402
 from textlode.sources.documents import (  # noqa: E402
     extract_documents,
     read_documents,
@@ -32,7 +32,7 @@ from textlode.sources.documents import (  # noqa: E402
 )
 from textlode.sources.index_tables import IndexTables, write_index  # noqa: E402
 from textlode.sources.tables import read_table, spread_scan  # noqa: E402
-from textlode.sources.tf_maps import export_tf_maps, import_tf_maps  # noqa: E402
+from textlode.sources.tf_maps import export_tf_maps, import_documents, import_tf_maps  # noqa: E402
 
 KNOWN_SEARCH = "the thanedble and thintion of then"
 UNKNOWN_SEARCH = "thanedble zzzqxv"
@@ -61,7 +61,8 @@ def doc_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return st.document_table(documents(spark, sf_dir), Analyzer())
+    """Documents of the plain scan: counting them moves no text."""
+    return st.document_table(read_table(spark, sf_dir, "documents"), Analyzer())
 
 
 def counted(rows: DataFrame, *keys: str) -> DataFrame:
@@ -253,9 +254,9 @@ def scored(spark, sf_dir, search: str, mode: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     tokens = rk.query_tokens(spark, search, analyzer)
     postings = st.term_frequency(docs, analyzer, rk.in_tokens(tokens), by_document=False)
-    stats = st.token_stats(
-        st.document_frequency(postings), doc_table(spark, sf_dir), mode
-    )
+    # Both df and the scores come from these few rows, so the texts are analysed once.
+    postings = stored(postings, "postings")
+    stats = st.token_stats(st.document_frequency(postings), doc_table(spark, sf_dir), mode)
     return rk.query(postings, stats, tokens, require_all_known=mode == "float")
 
 
@@ -296,16 +297,21 @@ def match_query_tokens(spark, sf_dir):
 
 
 def _batch(spark, sf_dir, requests: DataFrame, docs: DataFrame, mode: str) -> DataFrame:
-    """A table of requests over texts; only tokens of some request are counted."""
+    """A table of requests over texts; only tokens of some request are counted.
+
+    Requests and texts are analysed once: their tokens and postings are stored.
+    """
     analyzer = Analyzer()
-    wanted = rk.request_tokens(requests, analyzer)
-    source = spread_by(docs, "doc_id")
-    tokens = keep_listed(analyzer.tokens(source, "doc_id"), wanted, "token")
+    wanted = stored(rk.request_tokens(requests, analyzer), "wanted")
+    tokens = keep_listed(analyzer.tokens(spread_by(docs, "doc_id"), "doc_id"), wanted, "token")
     postings = counted(tokens, "doc_id", "token").withColumnRenamed("n", "tf")
+    postings = stored(postings, "postings")
     stats = st.token_stats(
-        st.document_frequency(postings), st.document_table(source, analyzer), mode
+        st.document_frequency(postings), st.document_table(docs, analyzer), mode
+    )
+    found = rk.search_batch(
+        postings, stats, requests, analyzer, mode == "float", wanted=wanted
     )
-    found = rk.search_batch(postings, stats, requests, analyzer, mode == "float")
     return found.withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -319,6 +325,15 @@ def search_batch_pruned(spark, sf_dir):
     return _batch(spark, sf_dir, requests_from_benchmark(spark, sf_dir), docs, "pruned")
 
 
+def search_batch_large_top_n(spark, sf_dir):
+    """Requests of up to 5,000 rows, of none stated and of a negative number."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    item = F.col("query_id")
+    size = F.when(item % 20 == 0, 5000).when(item % 20 == 1, -1).otherwise(item % 4)
+    requests = requests_from_benchmark(spark, sf_dir).withColumn("top_n", size.cast("int"))
+    return _batch(spark, sf_dir, requests, docs, "pruned")
+
+
 def search_conversations(spark, sf_dir):
     """User turns as requests, assistant turns as documents."""
     turns = read_table(spark, sf_dir, "conversations").withColumn(
@@ -393,9 +408,7 @@ def update_stream(spark, sf_dir):
 def index_tables(spark, sf_dir):
     """Write the index, read it back and join both tables."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    tables = write_index(spark, docs, new_folder(spark, "index"), Analyzer())
-    per_token = tables.postings().groupBy("token").agg(F.sum("tf").alias("sum_tf"))
-    return per_token.join(tables.frequencies(), "token")
+    return token_sums(write_index(spark, docs, new_folder(spark, "index"), Analyzer()))
 
 
 def index_search(spark, sf_dir):
@@ -405,6 +418,116 @@ def index_search(spark, sf_dir):
     return TermIndex.open(spark, tables.path, "pruned").search(KNOWN_SEARCH, 25)
 
 
+def index_rebuild(spark, sf_dir):
+    """An index built in two calls over one folder holds both halves."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = new_folder(spark, "index")
+    for half in (0, 1):
+        tables = write_index(spark, docs.where(F.col("doc_id") % 2 == half), path, Analyzer())
+    return token_sums(tables).select(
+        "*",
+        F.lit(tables.n_docs("float")).cast("long").alias("n_docs"),
+        F.lit(tables.n_docs("pruned")).cast("long").alias("n_with_tokens"),
+    )
+
+
+def token_sums(tables: IndexTables) -> DataFrame:
+    per_token = tables.postings().groupBy("token").agg(F.sum("tf").alias("sum_tf"))
+    return per_token.join(tables.frequencies(), "token")
+
+
+def index_upsert(spark, sf_dir):
+    """A folder opened, all pages' texts upserted under the same keys, then searched."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    tables = write_index(spark, docs, new_folder(spark, "index"), Analyzer())
+    pages = read_table(spark, sf_dir, "pages")
+    text = markup.chardata_text(F.col("html")).alias("text")
+    index = TermIndex.open(spark, tables.path, "pruned")
+    return index.bulk_update(pages.select(F.col("page_id").alias("doc_id"), text)).search(
+        KNOWN_SEARCH, 25
+    )
+
+
+def update_one(spark, sf_dir):
+    """The first document of a folder updated by another text."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    tables = write_index(spark, docs, new_folder(spark, "index"), Analyzer())
+    first = docs.agg(F.min("doc_id")).head()[0]
+    updated = TermIndex.open(spark, tables.path).update(first, KNOWN_SEARCH).tables
+    return token_sums(updated).withColumn("n_docs", F.lit(updated.n_docs()).cast("long"))
+
+
+def update_stream_batches(spark, sf_dir):
+    """Turns as a stream of files, a batch for each, that repeat documents in any order."""
+    from textlode.streaming.feed import update_stream as consume
+
+    feed = new_folder(spark, "feed")
+    turn_batches(spark, sf_dir).repartition(4, "seq").write.parquet(feed)
+    stream = (
+        spark.readStream.schema("doc_id LONG, seq LONG, text STRING")
+        .option("maxFilesPerTrigger", 1)
+        .parquet(feed)
+    )
+    tables = IndexTables(spark, new_folder(spark, "index"))
+    consume(stream, tables, new_folder(spark, "checkpoint"), Analyzer())
+    return token_sums(tables)
+
+
+def replace_across_batches(spark, sf_dir):
+    """Turns sent in two batches that replace their documents; the last turn is left."""
+    turns = turn_batches(spark, sf_dir)
+    tables = IndexTables(spark, new_folder(spark, "index"))
+    for half in (1, 0):
+        part = turns.where(F.col("seq") % 2 == half)
+        tables.write_batch(part, tables.next_batch(), Analyzer(), replace=True)
+    total = tables.frequencies().agg(F.sum("df")).head()[0]
+    return tables.postings().groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_postings"),
+        F.sum("tf").alias("sum_tf"),
+        F.lit(tables.n_docs("pruned")).cast("long").alias("n_with_tokens"),
+        F.lit(total).cast("long").alias("sum_df"),
+    )
+
+
+def stopword_table_search(spark, sf_dir):
+    """An index folder whose stopwords are a table, searched."""
+    docs = read_table(spark, sf_dir, "documents")
+    analyzer = Analyzer(stopwords=docs.select(F.upper("lang").alias("word")).distinct())
+    tables = write_index(spark, docs, new_folder(spark, "index"), analyzer)
+    return TermIndex.open(spark, tables.path, "pruned", analyzer).search(KNOWN_SEARCH, 25)
+
+
+def stem_vocabulary_search(spark, sf_dir):
+    """An index folder of vocabulary stems, searched."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    analyzer = Analyzer(vocabulary_stemmer=porter2_stems)
+    tables = write_index(spark, docs, new_folder(spark, "index"), analyzer)
+    return TermIndex.open(spark, tables.path, "pruned", analyzer).search(KNOWN_SEARCH, 25)
+
+
+def compact_index(spark, sf_dir):
+    """Two batches with text keys, compacted to another folder."""
+    docs = read_table(spark, sf_dir, "documents")
+    keyed = docs.select(F.concat_ws("/", "source", "doc_id").alias("doc_id"), "text", "lang")
+    path = new_folder(spark, "index")
+    for english in (True, False):
+        part = keyed.where((F.col("lang") == "en") == english).select("doc_id", "text")
+        tables = write_index(spark, part, path, Analyzer())
+    return token_sums(tables.compact(new_folder(spark, "compact")))
+
+
+def tf_map_documents(spark, sf_dir):
+    """Documents of exported maps, with and without tokens, where only numbers are tokens."""
+    analyzer = Analyzer(
+        tokenizer=lambda text: F.regexp_extract_all(text, F.lit(r"[0-9]+"), F.lit(0)),
+        gram_sizes=(),
+    )
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = new_folder(spark, "tf_maps")
+    export_tf_maps(st.term_frequency(docs, analyzer), path, docs)
+    return counted(import_documents(spark, path, "LONG"), "has_tokens")
+
+
 def tf_map_roundtrip(spark, sf_dir):
     path = new_folder(spark, "tf_maps")
     export_tf_maps(doc_postings(spark, sf_dir), path)
@@ -515,6 +638,7 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     match_query_tokens,
     search_batch_float,
     search_batch_pruned,
+    search_batch_large_top_n,
     search_conversations,
     format_results,
     results_json,
@@ -524,6 +648,15 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     update_stream,
     index_tables,
     index_search,
+    index_rebuild,
+    index_upsert,
+    update_one,
+    update_stream_batches,
+    replace_across_batches,
+    stopword_table_search,
+    stem_vocabulary_search,
+    compact_index,
+    tf_map_documents,
     tf_map_roundtrip,
     read_documents_chars,
     extract_documents_chars,

@@ -1,7 +1,8 @@
 """DuckDB SQL equivalents of the registered queries.
 
-Each function builds the SQL of one step as common table expressions; the
-strings are independent of the Spark code and read the same tables.
+Each function builds the SQL of one step as common table expressions over the same
+tables.  Word list and suffix tables are the published values that the engine uses
+too; what is done with them is written here anew.
 """
 
 from __future__ import annotations
@@ -111,7 +112,8 @@ def batch_query(
     ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id
       ORDER BY score DESC, doc_id) AS rank FROM pos)
     SELECT query_id, doc_id, score, rank FROM ranked JOIN
-      (SELECT query_id, CASE WHEN coalesce(top_n, 0) = 0 THEN 10 ELSE top_n END AS n FROM req)
+      (SELECT query_id, CASE WHEN coalesce(top_n, 0) = 0 THEN 10 WHEN top_n < 0 THEN 1
+        ELSE top_n END AS n FROM req)
       USING (query_id) WHERE rank <= n"""
 
 
@@ -327,6 +329,37 @@ def turn_source(role: str, key: str, text: str) -> str:
     )
 
 
+def upserted(first: str, second: str) -> str:
+    """l: postings after the rows of ``second`` (tokens b) came over those of ``first`` (a)."""
+    return f"""{first}, {second}, c AS (SELECT 0 AS b, doc_id, token, count(*) AS tf FROM a
+      GROUP BY ALL UNION ALL SELECT 1, doc_id, token, count(*) FROM b GROUP BY ALL),
+      l AS (SELECT doc_id, token, max_by(tf, b) AS tf FROM c GROUP BY ALL)"""
+
+
+def search_over(posted: str, query: str, limit: int) -> str:
+    """Pruned search of the tokens q over postings; both are names of tables."""
+    return f"""{stats('s', posted, posted, 'pruned')},
+      raw AS (SELECT doc_id, sum(tf * idf) AS score FROM {posted} JOIN s USING (token)
+        JOIN (SELECT DISTINCT token FROM {query}) USING (token) GROUP BY doc_id)
+      SELECT doc_id, round(score, 6) AS score FROM raw WHERE score > 0
+      ORDER BY score DESC, doc_id LIMIT {limit}"""
+
+
+def stem_search(known: str, limit: int) -> str:
+    """Search where documents and query have stems of their words."""
+    grams = f"[w] || {gram_list('w', 3)} || {gram_list('w', 5)} || {gram_list('w', 7)}"
+    return f"""WITH {kept_words('kd', 'documents')},
+      one AS (SELECT 0 AS doc_id, {quoted(known)} AS text), {kept_words('kq', 'one')},
+      v AS (SELECT lower(token) AS word FROM kd UNION SELECT lower(token) FROM kq),
+      {stems('st', 'v')},
+      wd AS (SELECT doc_id, stem AS w FROM kd JOIN st ON lower(token) = word),
+      wq AS (SELECT stem AS w FROM kq JOIN st ON lower(token) = word),
+      td AS (SELECT doc_id, unnest({grams}) AS token FROM wd),
+      q AS (SELECT unnest({grams}) AS token FROM wq),
+      p AS (SELECT doc_id, token, count(*) AS tf FROM td GROUP BY ALL),
+      {search_over('p', 'q', limit)}"""
+
+
 def registered(known: str, unknown: str, benchmark: str) -> dict[str, str]:
     raw = raw_tokens("raw", "documents")
     virtual = f"""{page_texts('t')}, files AS (SELECT '/site/v1.0/' || page_id || '.' ||
@@ -440,6 +473,34 @@ def registered(known: str, unknown: str, benchmark: str) -> dict[str, str]:
         "index_tables": f"""WITH {postings('p', 'documents')} SELECT token,
           sum(tf)::BIGINT AS sum_tf, count(*) AS df FROM p GROUP BY 1""",
         "index_search": single_query(known, "pruned", 25),
+        "index_rebuild": f"""WITH {postings('p', 'documents')} SELECT token,
+          sum(tf)::BIGINT AS sum_tf, count(*) AS df, (SELECT count(*) FROM documents) AS n_docs,
+          (SELECT count(DISTINCT doc_id) FROM p) AS n_with_tokens FROM p GROUP BY 1""",
+        "index_upsert": f"""WITH {upserted(index_tokens('a', 'documents'),
+          f"{page_texts('t')}, pt AS (SELECT page_id AS doc_id, text FROM t), "
+          + index_tokens('b', 'pt'))}, one AS (SELECT 0 AS doc_id, {quoted(known)} AS text),
+          {index_tokens('q', 'one')}, {search_over('l', 'q', 25)}""",
+        "update_one": f"""WITH {upserted(index_tokens('a', 'documents'),
+          f"one AS (SELECT (SELECT min(doc_id) FROM documents) AS doc_id, {quoted(known)} AS text), "
+          + index_tokens('b', 'one'))} SELECT token, count(*) AS df, sum(tf)::BIGINT AS sum_tf,
+          (SELECT count(*) FROM documents) AS n_docs FROM l GROUP BY 1""",
+        "update_stream_batches": last_turns(False) + """ SELECT token, count(*) AS df,
+          sum(tf)::BIGINT AS sum_tf FROM l GROUP BY 1""",
+        "replace_across_batches": last_turns(True) + """ SELECT doc_id, count(*) AS n_postings,
+          sum(tf)::BIGINT AS sum_tf, (SELECT count(DISTINCT doc_id) FROM l) AS n_with_tokens,
+          (SELECT sum(df) FROM (SELECT count(*) AS df FROM l GROUP BY token))::BIGINT AS sum_df
+          FROM l GROUP BY 1""",
+        "search_batch_large_top_n": batch_query(
+            benchmark.replace("CASE WHEN length(text) % 12 <> 1 THEN length(text) % 12 END",
+              "CASE item_id % 20 WHEN 0 THEN 5000 WHEN 1 THEN -1 ELSE item_id % 4 END"), "pruned"),
+        "stopword_table_search": single_query(known, "pruned", 25).replace(
+            f"({stop_list()})", "(SELECT upper(lang) FROM documents)"
+        ),
+        "stem_vocabulary_search": stem_search(known, 25),
+        "tf_map_documents": """SELECT regexp_matches(text, '[0-9]') AS has_tokens,
+          count(*) AS n FROM documents GROUP BY 1""",
+        "compact_index": f"""WITH {postings('p', 'documents')} SELECT token,
+          sum(tf)::BIGINT AS sum_tf, count(*) AS df FROM p GROUP BY 1""",
         "tf_map_roundtrip": f"""WITH {postings('p', 'documents')} SELECT token, count(*) AS df,
           sum(tf)::BIGINT AS sum_tf FROM p GROUP BY 1""",
         "read_documents_chars": "SELECT source, sum(length(text) + 1)::BIGINT AS n_chars "

@@ -13,7 +13,7 @@ from textlode.sources.documents import (
 )
 from textlode.sources.index_tables import IndexTables, read_index, write_index
 from textlode.sources.tables import spread_scan
-from textlode.sources.tf_maps import export_tf_maps, import_tf_maps
+from textlode.sources.tf_maps import export_tf_maps, import_documents, import_tf_maps
 from textlode.streaming.feed import update_stream
 
 AN = Analyzer(gram_sizes=())
@@ -57,10 +57,10 @@ def test_split_batches_equal_one_batch(spark, corpus, tmp_path):
     whole = write_index(spark, docs, str(tmp_path / "whole"), AN)
     parts = write_index(spark, docs.where("doc_id < 2"), str(tmp_path / "parts"), AN)
     parts.write_batch(docs.where("doc_id >= 2"), 1, AN)
-    parts.extend_stats()
     assert postings_of(parts.postings()) == postings_of(whole.postings())
     assert rows(parts.frequencies(), "token", "df") == rows(whole.frequencies(), "token", "df")
     compacted = parts.compact(str(tmp_path / "compacted"))
+    assert compacted.n_docs() == parts.n_docs() == whole.n_docs() == 4
     assert compacted.batches() == {0}
     assert postings_of(compacted.postings()) == postings_of(whole.postings())
 
@@ -69,7 +69,6 @@ def test_extended_stats_equal_recomputed(spark, corpus, tmp_path):
     tables = write_index(spark, corpus(["aa bb", "bb cc", "xx"]), str(tmp_path / "i"), AN)
     for batch, texts in enumerate((["bb bb zz"], ["cc", "aa", "xx yy"]), 1):
         tables.write_batch(corpus(texts), batch, AN)
-        tables.extend_stats()
         fresh = document_frequency(tables.postings())
         assert rows(tables.frequencies(), "token", "df") == rows(fresh, "token", "df")
 
@@ -88,13 +87,19 @@ def test_index_folder(spark, corpus, tmp_path):
         read_index(spark, str(tmp_path / "missing"))
 
 
-def test_token_filter_reaches_the_scan(spark, corpus, tmp_path):
+def test_search_reads_only_the_buckets_of_its_tokens(spark, corpus, tmp_path):
     path = str(tmp_path / "i")
-    write_index(spark, corpus(["rust lang", "rust"]), path, AN)
-    plan = TermIndex.open(spark, path).search("rust")._jdf.queryExecution().toString()
-    assert "PushedFilters: [IsNotNull(token), EqualTo(token,RUST)]" in plan or (
-        "PushedFilters: [In(token" in plan or "EqualTo(token,RUST)" in plan
-    )
+    write_index(spark, corpus(["rust lang", "rust", "zig zag go"]), path, AN)
+    found = TermIndex.open(spark, path, analyzer=AN).search("rust")
+    assert [r.doc_id for r in found.collect()] == [0, 1]
+    plan = found._jdf.queryExecution().toString()
+    scans = [line for line in plan.splitlines() if "FileScan parquet" in line]
+    assert scans and all("PartitionFilters" in s and "token_bucket" in s for s in scans)
+    assert not any("/docs" in s or "has_tokens" in s for s in scans)
+    tables = read_index(spark, path)
+    one = tables.postings(tokens=["RUST"])
+    files = [r[0] for r in one.select(F.input_file_name()).distinct().collect()]
+    assert len(files) == 1 and len(tables.log().inputFiles()) > 1
 
 
 def test_batch_search_over_merged_batches(spark, corpus, tmp_path):
@@ -102,7 +107,6 @@ def test_batch_search_over_merged_batches(spark, corpus, tmp_path):
     docs, path = corpus(texts), str(tmp_path / "i")
     tables = write_index(spark, docs.where("doc_id < 2"), path, Analyzer())
     tables.write_batch(docs.where("doc_id >= 2"), 1, Analyzer())
-    tables.extend_stats()
     asked = [(1, "rust zag", 5), (2, "sky", 1)]
     requests = spark.createDataFrame(asked, "query_id long, search string, top_n int")
     merged = TermIndex.open(spark, path).search_batch(requests)
@@ -118,8 +122,93 @@ def test_batch_search_over_merged_batches(spark, corpus, tmp_path):
 def test_string_keys(spark, corpus, tmp_path):
     path = str(tmp_path / "i")
     write_index(spark, corpus({"007": "rust", "7": "gopher"}), path, AN)
-    index = TermIndex.open(spark, path, analyzer=AN, key_type="STRING")
+    index = TermIndex.open(spark, path, analyzer=AN)
     assert [r.doc_id for r in index.search("rust").collect()] == ["007"]
+    compacted = index.update("8", "rust").tables.compact(str(tmp_path / "c"))
+    found = TermIndex.open(spark, compacted.path, analyzer=AN).search("rust")
+    assert [r.doc_id for r in found.collect()] == ["007", "8"]
+
+
+def test_building_again_extends_and_overwrite_replaces(spark, corpus, tmp_path):
+    path = str(tmp_path / "i")
+    write_index(spark, corpus({0: "aa bb", 1: "the"}), path, AN)
+    write_index(spark, corpus({2: "bb cc", 0: "aa aa"}), path, AN)
+    tables = read_index(spark, path)
+    assert postings_of(tables.postings()) == [
+        (0, "AA", 2), (0, "BB", 1), (2, "BB", 1), (2, "CC", 1)
+    ]
+    assert rows(tables.frequencies(), "token", "df") == [("AA", 1), ("BB", 2), ("CC", 1)]
+    assert (tables.n_docs(), tables.n_docs("pruned")) == (3, 2)
+    write_index(spark, corpus({7: "dd"}), path, AN, overwrite=True)
+    assert postings_of(tables.postings()) == [(7, "DD", 1)]
+    assert rows(tables.frequencies(), "token", "df") == [("DD", 1)]
+    assert tables.n_docs() == 1 and rows(tables.documents(), "doc_id") == [(7,)]
+
+
+def test_a_batch_without_commit_is_not_seen(spark, corpus, tmp_path, monkeypatch):
+    path = str(tmp_path / "i")
+    tables = write_index(spark, corpus(["aa"]), path, AN)
+    with monkeypatch.context() as patch:
+        patch.setattr(IndexTables, "_changes", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            tables.write_batch(corpus(["aa aa", "zz"]), 1, AN)
+    assert postings_of(tables.postings()) == [(0, "AA", 1)]
+    assert tables.documents().count() == tables.n_docs() == 1
+    tables.write_batch(corpus(["bb"]), tables.next_batch(), AN)
+    assert postings_of(tables.postings()) == [(0, "AA", 1), (0, "BB", 1)]
+    tables.refresh_stats()
+    assert len(tables.batches()) == 1
+    assert postings_of(tables.postings()) == [(0, "AA", 1), (0, "BB", 1)]
+    assert rows(tables.frequencies(), "token", "df") == [("AA", 1), ("BB", 1)]
+
+
+@pytest.mark.parametrize("replace", [False, True])
+def test_last_row_of_a_document_counts(spark, corpus, tmp_path, replace):
+    sent = spark.createDataFrame([(0, "xx xx yy"), (0, "xx"), (1, "zz")], "doc_id long, text string")
+    tables = IndexTables(spark, str(tmp_path / "i"))
+    tables.write_batch(sent.coalesce(1), 0, AN, replace)
+    kept = [] if replace else [(0, "YY", 1)]
+    assert postings_of(tables.postings()) == [(0, "XX", 1), *kept, (1, "ZZ", 1)]
+    assert tables.n_docs() == 2
+
+
+def test_replacing_updates_stats_and_documents(spark, corpus, tmp_path):
+    path = str(tmp_path / "i")
+    write_index(spark, corpus({0: "aa bb", 1: "aa"}), path, AN)
+    index = TermIndex.open(spark, path, "pruned", AN).bulk_update(
+        corpus({0: "the", 2: "aa cc"}), replace=True
+    )
+    assert postings_of(index.postings) == [(1, "AA", 1), (2, "AA", 1), (2, "CC", 1)]
+    assert rows(index.frequencies, "token", "df") == [("AA", 2), ("CC", 1)]
+    assert (index.tables.n_docs(), index.tables.n_docs("pruned")) == (3, 2)
+    assert rows(index.docs, "doc_id", "has_tokens") == [(0, False), (1, True), (2, True)]
+    loose = TermIndex.from_documents(corpus({0: "aa bb", 1: "aa"}), "pruned", AN)
+    loose = loose.bulk_update(corpus({0: "the", 2: "aa cc"}), replace=True)
+    assert postings_of(loose.postings) == postings_of(index.postings)
+    assert rows(loose.docs, "doc_id", "has_tokens") == rows(index.docs, "doc_id", "has_tokens")
+
+
+def test_order_of_batches_does_not_matter_with_seq(spark, tmp_path):
+    sent = [(0, 1, "aa bb"), (0, 3, "aa aa aa"), (0, 2, "aa aa cc"), (1, 1, "dd"), (1, 2, "ee")]
+    for replace in (False, True):
+        found = []
+        for i, cut in enumerate(([[0, 1, 2, 3, 4]], [[0, 3], [1], [2, 4]], [[1, 4], [2, 3], [0]])):
+            tables = IndexTables(spark, str(tmp_path / f"{replace}-{i}"))
+            for part in cut:
+                batch = spark.createDataFrame(
+                    [sent[j] for j in part], "doc_id long, seq long, text string"
+                )
+                tables.write_batch(batch, tables.next_batch(), AN, replace)
+            found.append((postings_of(tables.postings()), rows(tables.frequencies(), "token", "df")))
+        assert found[0] == found[1] == found[2]
+
+
+def test_stopword_table_in_an_index(spark, corpus, tmp_path):
+    stop = Analyzer(stopwords=spark.createDataFrame([("AA",)], "word string"), gram_sizes=())
+    tables = write_index(spark, corpus(["aa bb", "aa", "bb cc"]), str(tmp_path / "i"), stop)
+    assert rows(tables.documents(), "doc_id", "has_tokens") == [(0, True), (1, False), (2, True)]
+    found = TermIndex.open(spark, tables.path, "float", stop).search("cc aa")
+    assert [r.doc_id for r in found.collect()] == [2]
 
 
 def stream_of(spark, folder):
@@ -134,9 +223,12 @@ def test_stream_equals_batch_and_replay(spark, corpus, tmp_path):
     update_stream(stream_of(spark, feed), tables, str(tmp_path / "c1"), AN)
     whole = postings_of(term_frequency(docs, AN))
     assert postings_of(tables.postings()) == whole
-    # The same feed again from a fresh checkpoint writes the same batch numbers.
+    # The same feed again from a fresh checkpoint overwrites with what is there.
     update_stream(stream_of(spark, feed), tables, str(tmp_path / "c2"), AN)
     assert postings_of(tables.postings()) == whole
+    n = len(tables.batches())
+    update_stream(stream_of(spark, feed), tables, str(tmp_path / "c2"), AN)
+    assert len(tables.batches()) == n and tables.feed_batch(str(tmp_path / "c2"), 0)
     # New files continue after the last batch.
     index = TermIndex.open(spark, path, analyzer=AN)
     more = str(tmp_path / "more")
@@ -154,6 +246,10 @@ def test_tf_maps(spark, corpus, tmp_path):
     back = import_tf_maps(spark, str(tmp_path / "maps"), "LONG")
     assert postings_of(back) == postings_of(postings)
     assert any(token == "" for _, token, _ in postings_of(back))
+    docs = corpus(["aa", "the", None])
+    export_tf_maps(term_frequency(docs, AN), str(tmp_path / "all"), docs)
+    every = import_documents(spark, str(tmp_path / "all"), "LONG")
+    assert rows(every, "doc_id", "has_tokens") == [(0, True), (1, False), (2, False)]
 
 
 @pytest.mark.parametrize(

@@ -10,7 +10,7 @@ from textlode import Analyzer, TermIndex
 from textlode.functions.stopwords import load_stopwords
 from textlode.operators import ranking as rk
 from textlode.operators import statistics as st
-from textlode.plans.sizing import is_small, join_tokens
+from textlode.plans.sizing import is_small, join_tokens, keep_listed
 
 STOP = set(load_stopwords())
 WORDS = ["rust", "lang", "happy", "search", "engine", "sky", "42", "the", ",", "indexer"]
@@ -115,7 +115,7 @@ def test_batch_equals_single_queries(spark, corpus, mode, max_rows):
     asked = [(1, "rust sky", 3), (2, "happy", 0), (3, "engine qqq", None), (4, "the", 5)]
     requests = spark.createDataFrame(asked, "query_id long, search string, top_n int")
     found = {}
-    rows = index.search_batch(requests, max_rows=max_rows, hot_rows=2, salts=3).collect()
+    rows = index.search_batch(requests, max_rows=max_rows, hot_rows=2).collect()
     for r in rows:
         found.setdefault(r.query_id, []).append((r["rank"], r.doc_id, r.score))
     for query_id, search, top_n in asked:
@@ -135,16 +135,56 @@ def test_salted_join_keeps_every_row(spark):
     )
     lookup = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     plain = postings.join(lookup, "token")
-    for sizes in ({}, {"max_rows": 5, "hot_rows": 100, "salts": 4}, {"max_rows": 0}):
+    for sizes in ({}, {"max_rows": 5, "hot_rows": 100}, {"max_rows": 0}):
         joined = join_tokens(postings, lookup, **sizes)
         assert joined.count() == 3000
         assert joined.select(plain.columns).exceptAll(plain).count() == 0
-    salted = join_tokens(postings, lookup, max_rows=5, hot_rows=100, salts=4)
+    salted = join_tokens(postings, lookup, max_rows=5, hot_rows=100)
     assert "_salt" in plan_of(salted)
 
 
 def test_is_small(spark):
     assert is_small(spark.range(10), 10) and not is_small(spark.range(11), 10)
+    long = spark.createDataFrame([("x" * 100,), (None,)], "token string")
+    assert is_small(long, 10, 116) and not is_small(long, 10, 115)
+    assert "SinglePartition" in plan_of(long.agg(F.count("token")))
+
+
+@pytest.mark.parametrize("max_rows", [10, 0])
+def test_keep_listed_for_any_size(spark, max_rows):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "token string, n int")
+    listed = spark.createDataFrame([("a",), ("a",), ("z",)], "token string")
+    kept = keep_listed(rows, listed, "token", max_rows)
+    assert sorted(r.n for r in kept.collect()) == [1, 3]
+
+
+@pytest.mark.parametrize("limit", [1000, 2])
+def test_sizes_are_bounded_request_by_request(spark, monkeypatch, limit):
+    monkeypatch.setattr(rk, "LIMIT_ROWS", limit)
+    scores = spark.range(50).select(
+        (F.col("id") % 5).alias("query_id"), F.col("id").alias("doc_id"),
+        (F.col("id") % 7).cast("double").alias("score"),
+    )
+    sizes = {0: 1, 1: 8, 2: None, 3: -4, 4: 0, 9: 3}
+    requests = spark.createDataFrame(list(sizes.items()), "query_id long, top_n int")
+    found = {}
+    for r in rk.top_per_query(scores, requests).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.doc_id))
+    for q, n in {0: 1, 1: 8, 2: 10, 3: 1, 4: 10}.items():
+        mine = sorted(range(q, 50, 5), key=lambda i: (-(i % 7), i))[:n]
+        assert sorted(found[q]) == list(enumerate(mine, 1))
+    assert 9 not in found
+
+
+def test_common_token_in_every_request(spark, corpus):
+    """One token in all documents and requests; a salted join makes the same rows."""
+    texts = [f"rust {w}" for w in ("aa", "bb", "aa cc", "dd") * 5]
+    index = TermIndex.from_documents(corpus(texts), "float")
+    asked = [(i, f"rust {w}", 4) for i, w in enumerate(("aa", "bb", "cc", "rust"))]
+    requests = spark.createDataFrame(asked, "query_id long, search string, top_n int")
+    plain = sorted(index.search_batch(requests).collect())
+    assert plain == sorted(index.search_batch(requests, max_rows=0, hot_rows=3).collect())
+    assert {r.query_id for r in plain} == {0, 1, 2}
 
 
 def test_format(spark):

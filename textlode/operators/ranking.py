@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 from textlode.functions.text import in_list
 from textlode.operators.analysis import Analyzer
-from textlode.plans.sizing import BROADCAST_ROWS, is_small, join_tokens, keep_listed
+from textlode.plans.sizing import BROADCAST_ROWS, is_small, join_tokens
 
 DEFAULT_TOP_N = 10
 SCORE_DIGITS = 6
+#: Spark plans a group limit for bounds of up to so many rows (its default threshold).
+LIMIT_ROWS = 1_000
+#: Parts that the documents of a query with a larger size are ranked in first.
+RANK_PARTS = 64
 
 
 def query_tokens(spark: SparkSession, search: str, analyzer: Analyzer) -> list[str]:
@@ -84,8 +88,12 @@ def query_top_n(scores: DataFrame, n: int) -> DataFrame:
 
 
 def effective_top_n(top_n: Column) -> Column:
-    """Missing or zero request sizes mean the default."""
-    return F.when(top_n.isNull() | (top_n == 0), F.lit(DEFAULT_TOP_N)).otherwise(top_n)
+    """Missing or zero request sizes mean the default, negative ones the best row."""
+    return (
+        F.when(top_n.isNull() | (top_n == 0), F.lit(DEFAULT_TOP_N))
+        .when(top_n < 0, F.lit(1))
+        .otherwise(top_n)
+    )
 
 
 def request_tokens(requests: DataFrame, analyzer: Analyzer) -> DataFrame:
@@ -118,37 +126,69 @@ def search_batch(
     require_all_known: bool = False,
     max_rows: int = BROADCAST_ROWS,
     merged: bool = False,
+    wanted: DataFrame | None = None,
     **sizes,
 ) -> DataFrame:
     """Answer every request: (query_id, doc_id, score, rank).
 
     The query side is joined to the postings by token (see ``join_tokens``); it
-    is at most as large as the distinct tokens of the requests, so their number
-    decides whether it is broadcast.  Scores are summed map-side first, and
-    each task keeps only the best documents per query before the ranking
-    shuffle: the literal bound on the rank lets Spark plan a group limit below
-    the exchange.  ``merged`` postings are a view that merges several batches:
-    they are cut to the request tokens before they are merged.
+    is at most as large as the distinct tokens of the requests, so one check of
+    these decides whether it is broadcast.  Terms of idf 0 add nothing and are
+    left out once it is known which requests count.  ``merged`` postings are a view
+    that merges several batches: they are cut to the request tokens before that.
+    ``wanted`` are the requests' tokens where the caller has them.
     """
-    wanted = request_tokens(requests, analyzer)
-    terms = known_request_tokens(wanted, stats, require_all_known)
+    if wanted is None:
+        wanted = request_tokens(requests, analyzer)
+    terms = known_request_tokens(wanted, stats, require_all_known).where("idf > 0")
     small = is_small(wanted, max_rows)
     if merged:
-        postings = keep_listed(postings, wanted, "token", max_rows)
+        listed = wanted.select("token").distinct()
+        postings = postings.join(F.broadcast(listed) if small else listed, "token", "left_semi")
     matches = join_tokens(postings, terms, max_rows=max_rows, small=small, **sizes)
     scores = positive_scores(score_sum(matches, "query_id", "doc_id"))
     return top_per_query(scores, requests)
 
 
 def top_per_query(scores: DataFrame, requests: DataFrame) -> DataFrame:
-    """Rank documents per query and keep each request's top_n."""
+    """Rank documents per query and keep each request's own top_n.
+
+    Requests of up to ``LIMIT_ROWS`` rows have a literal bound on the rank, so Spark
+    keeps each task's best rows per query before the ranking shuffle.  For larger ones
+    the documents of a query are first ranked in parts, each part keeps the request's
+    top_n, and these are ranked again: no task sees all documents of a query.
+    """
     sizes = requests.select("query_id", effective_top_n(F.col("top_n")).alias("top_n"))
-    largest = sizes.agg(F.max("top_n")).head()[0] or 0
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
-    best = scores.withColumn("rank", F.row_number().over(order)).where(
-        F.col("rank") <= int(largest)
+    row = sizes.agg(
+        F.max(F.when(F.col("top_n") <= LIMIT_ROWS, F.col("top_n"))).alias("bound"),
+        F.count(F.when(F.col("top_n") > LIMIT_ROWS, 1)).alias("large"),
+        F.count(F.lit(1)).alias("n"),
+    ).head()
+    best_first = (F.desc("score"), F.asc("doc_id"))
+    order = Window.partitionBy("query_id").orderBy(*best_first)
+
+    def ranked_rows(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(order))
+
+    few = ranked_rows(scores).where(F.col("rank") <= int(row["bound"] or 0))
+    if not row["large"]:
+        return few.join(sizes, "query_id").where("rank <= top_n").drop("top_n")
+    small = sizes.where(F.col("top_n") <= LIMIT_ROWS)
+    found = few.join(small, "query_id").where("rank <= top_n").drop("top_n")
+    large = sizes.where(F.col("top_n") > LIMIT_ROWS)
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(RANK_PARTS)).alias("part")
+    parts = Window.partitionBy("query_id", "part").orderBy(*best_first)
+    if row["n"] <= BROADCAST_ROWS:
+        large = F.broadcast(large)
+    kept = (
+        scores.join(large, "query_id")
+        .select("query_id", "doc_id", "score", "top_n", part)
+        .withColumn("rank", F.row_number().over(parts))
+        .where("rank <= top_n")
+        .drop("part")
     )
-    return best.join(sizes, "query_id").where("rank <= top_n").drop("top_n")
+    many = ranked_rows(kept).where("rank <= top_n").drop("top_n")
+    return found.unionByName(many)
 
 
 def format_results(results: DataFrame) -> DataFrame:

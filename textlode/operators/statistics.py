@@ -23,10 +23,17 @@ def check_mode(mode: str) -> str:
 
 
 def document_table(docs: DataFrame, analyzer: Analyzer) -> DataFrame:
-    """(doc_id, has_tokens); a narrow pass over the texts."""
-    return docs.where(F.col("text").isNotNull()).select(
-        "doc_id", analyzer.has_tokens(F.col("text")).alias("has_tokens")
-    )
+    """(doc_id, has_tokens); a narrow pass over the texts.
+
+    With a table of stopwords the words are compared as rows and the documents
+    that keep one are joined back.
+    """
+    docs = docs.where(F.col("text").isNotNull())
+    if not isinstance(analyzer.stopwords, DataFrame):
+        return docs.select("doc_id", analyzer.has_tokens(F.col("text")).alias("has_tokens"))
+    kept = analyzer.kept_words(docs, "doc_id").select("doc_id").distinct()
+    marked = docs.select("doc_id").join(kept.withColumn("_kept", F.lit(True)), "doc_id", "left")
+    return marked.select("doc_id", F.coalesce("_kept", F.lit(False)).alias("has_tokens"))
 
 
 def term_frequency(
@@ -82,13 +89,21 @@ def idf_integer(n_docs: Column, df: Column) -> Column:
 
 
 def token_stats(
-    df_table: DataFrame, docs: DataFrame, mode: str = "float", prune: bool = True
+    df_table: DataFrame,
+    docs: DataFrame | None,
+    mode: str = "float",
+    prune: bool = True,
+    n_docs: int | None = None,
 ) -> DataFrame:
-    """(token, df, n_docs, idf); N is a scalar subquery, not a join.
+    """(token, df, n_docs, idf); N is a stored number or a scalar subquery, not a join.
 
     In ``pruned`` mode tokens of idf 0 are left out unless ``prune`` is off.
     """
-    n_docs = total_documents(docs, mode).scalar()
+    if n_docs is None:
+        n_docs = total_documents(docs, mode).scalar()
+    else:
+        check_mode(mode)
+        n_docs = F.lit(n_docs).cast("long")
     stats = df_table.withColumn("n_docs", n_docs)
     idf = idf_float if mode == "float" else idf_integer
     stats = stats.withColumn("idf", idf(F.col("n_docs"), F.col("df")))

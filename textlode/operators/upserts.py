@@ -1,12 +1,13 @@
 """Upserts on an append-only log of postings.
 
-log       (doc_id, token, tf, batch_id)      unique per document, token, batch
-docs_log  (doc_id, has_tokens, batch_id)     unique per document, batch
-
-The current index is a view of the log: for every (doc_id, token) the tf of the
-last batch that mentions it.  Re-indexing a document therefore overwrites and
-adds tokens but keeps those its new text no longer has, unless the index is
-read with ``replace``.
+log       (doc_id, token, tf, ord)               unique per document, token, batch
+docs_log  (doc_id, has_tokens, ord, replaces)    unique per document, batch
+
+``ord`` is the ``seq`` of the row a value comes from, or the number of its batch in
+an index that is fed without ``seq``.  The current index is a view of the log: for
+every (doc_id, token) the tf of highest ``ord``, so it does not depend on how rows
+were cut into batches.  Re-indexing a document overwrites and adds tokens but keeps
+those its new text no longer has; a row that ``replaces`` its document drops them.
 """
 
 from __future__ import annotations
@@ -18,23 +19,44 @@ from textlode.operators.analysis import Analyzer
 from textlode.operators.statistics import document_table, term_frequency
 
 
+
+def in_order(docs: DataFrame, batch_id: int = 0) -> DataFrame:
+    """(doc_id, text, seq, ord): documents with the order their rows apply in.
+
+    With ``seq`` both are that.  Without it all rows have the batch's number as
+    ``ord``; if a document occurs more than once, ``seq`` numbers the rows as they
+    are read, else it is left out.
+    """
+    if "seq" in docs.columns:
+        return docs.select("doc_id", "text", "seq", F.col("seq").cast("long").alias("ord"))
+    number = F.lit(batch_id).cast("long").alias("ord")
+    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not repeated.head(1):
+        return docs.select("doc_id", "text", number)
+    return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("seq"), number)
+
+
 def batch_postings(docs: DataFrame, analyzer: Analyzer, replace: bool = False) -> DataFrame:
-    """Postings of one batch (doc_id, text[, seq]).
+    """(doc_id, token, tf, ord) of one batch of :func:`in_order` documents.
 
-    Without ``seq`` a batch holds each document once.  With it, rows of the
-    same document are applied in ``seq`` order; grouping by token first keeps
-    a document that was sent many times from piling up in one task.
+    Rows of the same document are applied in ``seq`` order; grouping by token first
+    keeps a document that was sent many times from piling up in one task.
     """
+    if "ord" not in docs.columns:
+        docs = in_order(docs)
     if "seq" not in docs.columns:
-        return term_frequency(docs, analyzer)
+        order = docs.agg(F.max("ord")).scalar()
+        return term_frequency(docs, analyzer).withColumn("ord", order)
     if replace:
-        return term_frequency(last_in_batch(docs), analyzer)
+        docs = last_in_batch(docs)
     counted = (
-        analyzer.tokens(docs, "doc_id", "seq")
-        .groupBy("doc_id", "token", "seq")
+        analyzer.tokens(docs, "doc_id", "seq", "ord")
+        .groupBy("doc_id", "token", "seq", "ord")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    return counted.groupBy("doc_id", "token").agg(F.max_by("tf", "seq").alias("tf"))
+    return counted.groupBy("doc_id", "token").agg(
+        F.max_by("tf", "seq").alias("tf"), F.max("ord").alias("ord")
+    )
 
 
 def last_in_batch(docs: DataFrame) -> DataFrame:
@@ -43,33 +65,47 @@ def last_in_batch(docs: DataFrame) -> DataFrame:
     return docs.join(last, ["doc_id", "seq"])
 
 
-def batch_documents(docs: DataFrame, analyzer: Analyzer) -> DataFrame:
-    """(doc_id, has_tokens) of one batch."""
-    table = document_table(docs, analyzer)
+def batch_documents(docs: DataFrame, analyzer: Analyzer, replace: bool = False) -> DataFrame:
+    """(doc_id, has_tokens, ord) of one batch; with ``replace`` its last row decides."""
+    if "ord" not in docs.columns:
+        docs = in_order(docs)
     if "seq" not in docs.columns:
-        return table
-    return table.groupBy("doc_id").agg(F.max("has_tokens").alias("has_tokens"))
+        order = docs.agg(F.max("ord")).scalar()
+        return document_table(docs, analyzer).withColumn("ord", order)
+    if replace:
+        docs = last_in_batch(docs)
+    keyed = docs.select(F.struct("doc_id", "ord").alias("doc_id"), "text")
+    table = document_table(keyed, analyzer).select("doc_id.*", "has_tokens")
+    return table.groupBy("doc_id").agg(
+        F.max("has_tokens").alias("has_tokens"), F.max("ord").alias("ord")
+    )
 
 
 def latest_postings(log: DataFrame) -> DataFrame:
-    """Current (doc_id, token, tf): the last batch wins, stale tokens stay.
+    """Current (doc_id, token, tf): the highest ord wins, stale tokens stay.
 
     Both columns of the aggregation buffer are longs, so it stays a hash
     aggregation with a map-side part.
     """
-    return log.groupBy("doc_id", "token").agg(F.max_by("tf", "batch_id").alias("tf"))
+    return log.groupBy("doc_id", "token").agg(F.max_by("tf", "ord").alias("tf"))
 
 
-def replaced_postings(log: DataFrame, docs_log: DataFrame) -> DataFrame:
-    """Current postings when a batch replaces the documents it holds."""
-    last = docs_log.groupBy("doc_id").agg(F.max("batch_id").alias("batch_id"))
-    return log.join(last, ["doc_id", "batch_id"]).select("doc_id", "token", "tf")
+def current_postings(log: DataFrame, docs_log: DataFrame, replaces: bool = False) -> DataFrame:
+    """Current (doc_id, token, tf) of logs; ``replaces`` says whether any row does.
 
-
-def latest_documents(docs_log: DataFrame, replace: bool = False) -> DataFrame:
-    """Current (doc_id, has_tokens); without replace a token once seen stays."""
-    if replace:
-        agg = F.max_by("has_tokens", "batch_id")
-    else:
-        agg = F.max("has_tokens")
-    return docs_log.groupBy("doc_id").agg(agg.alias("has_tokens"))
+    What lies before the last replacing row of a document is gone.
+    """
+    if not replaces:
+        return latest_postings(log)
+    begins = docs_log.where("replaces").groupBy("doc_id").agg(F.max("ord").alias("_from"))
+    kept = log.join(begins, "doc_id", "left").where("_from IS NULL OR ord >= _from")
+    return latest_postings(kept)
+
+
+def current_documents(docs_log: DataFrame, replaces: bool = False) -> DataFrame:
+    """Current (doc_id, has_tokens); unless replaced, a token once seen stays."""
+    kept = docs_log
+    if replaces:
+        begins = docs_log.where("replaces").groupBy("doc_id").agg(F.max("ord").alias("_from"))
+        kept = docs_log.join(begins, "doc_id", "left").where("_from IS NULL OR ord >= _from")
+    return kept.groupBy("doc_id").agg(F.max("has_tokens").alias("has_tokens"))

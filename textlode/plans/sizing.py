@@ -1,6 +1,6 @@
 """Size-checked joins.
 
-A side is broadcast only after its row count was checked against a bound; a
+A side is broadcast only after its rows and bytes were checked against bounds; a
 larger side goes through a shuffled join whose hot keys are salted.
 """
 
@@ -10,17 +10,37 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_ROWS = 5_000_000
-SALTS = 64
-TEXT_PARTITION_BYTES = 256 * 1024 * 1024
+TEXT_PARTITION_BYTES = 64 * 1024 * 1024
 UNKNOWN_BYTES = 2**60
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; reads no more than needed."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def measured(df: DataFrame) -> tuple[int, int]:
+    """Rows of ``df`` and about how many bytes they hold, counted where they are made.
+
+    Every task sends one row of partial sums; the texts of a row count with their
+    bytes, any other value as eight.
+    """
+    size = F.lit(0).cast("long")
+    for field in df.schema.fields:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(column), F.lit(0))
+        size = size + 8
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")).head()
+    return row["n"], row["bytes"] or 0
+
+
+def is_small(
+    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> bool:
+    """Whether ``df`` may be broadcast: it has few rows and few bytes."""
+    rows, size = measured(df)
+    return rows <= max_rows and size <= max_bytes
 
 
 def join_lookup(
@@ -43,14 +63,12 @@ def join_lookup(
 def keep_listed(
     rows: DataFrame, listed: DataFrame, column: str, max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
-    """Keep rows whose ``column`` occurs in ``listed``; a no-op beyond the bound.
+    """Rows whose ``column`` occurs in ``listed``, for any size of the list.
 
-    For rows that find no partner in a later join anyway: it only saves work.
-    Over an aggregate grouped by ``column`` Spark moves it to the scan.
+    Over an aggregate grouped by ``column`` Spark moves a broadcast list to the scan;
+    a larger one is shuffled.
     """
-    if not is_small(listed, max_rows):
-        return rows
-    return rows.join(F.broadcast(listed.select(column).distinct()), column, "left_semi")
+    return join_lookup(rows, listed.select(column).distinct(), [column], "left_semi", max_rows)
 
 
 def join_tokens(
@@ -59,40 +77,36 @@ def join_tokens(
     spread: str = "doc_id",
     max_rows: int = BROADCAST_ROWS,
     hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
     small: bool | None = None,
 ) -> DataFrame:
     """Inner join of postings with ``lookup`` (token, df, ...) on token.
 
-    A small lookup is broadcast.  Otherwise both sides are shuffled on
-    (token, salt): tokens of more than ``hot_rows`` documents get one of
-    ``salts`` salts from the document key and their lookup rows are repeated
-    for each salt, all others use salt 0.  There are at most
-    ``postings / hot_rows`` hot tokens; their list is itself size-checked.
-    ``small`` states the outcome of the size check where the caller knows it.
+    A small lookup is broadcast.  Otherwise both sides are shuffled on (token, salt).
+    A token makes df x (its lookup rows) rows; it gets a salt for every ``hot_rows`` of
+    them, so no task makes more of one token, however common it is and however many
+    requests hold it.  A posting's salt comes from its document, lookup rows are
+    repeated for each salt.  ``small`` states the outcome of the size check where the
+    caller knows it.
     """
     if is_small(lookup, max_rows) if small is None else small:
         return postings.join(F.broadcast(lookup), "token")
-    hot = lookup.where(F.col("df") > hot_rows).select("token").distinct()
-    if not is_small(hot, max_rows):
-        return postings.join(lookup, "token")
-    marked = postings.join(
-        F.broadcast(hot.withColumn("_hot", F.lit(True))), "token", "left"
-    ).withColumn(
-        "_salt",
-        F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(
-            F.lit(0)
-        ),
+    load = (F.max("df") * F.count(F.lit(1))).alias("_load")
+    hot = (
+        lookup.groupBy("token").agg(load)
+        .where(F.col("_load") > hot_rows)
+        .select("token", F.ceil(F.col("_load") / hot_rows).alias("_salts"))
+    )
+    if is_small(hot, max(max_rows, 1_000)):
+        hot = F.broadcast(hot)
+    salts = F.coalesce("_salts", F.lit(1).cast("long"))
+    marked = postings.join(hot, "token", "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(spread), salts)
     )
-    repeated = lookup.withColumn(
-        "_salt",
-        F.explode(
-            F.sequence(
-                F.lit(0), F.when(F.col("df") > hot_rows, F.lit(salts - 1)).otherwise(F.lit(0))
-            )
-        ),
+    repeated = lookup.join(hot, "token", "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))
     )
-    return marked.drop("_hot").join(repeated, ["token", "_salt"]).drop("_salt")
+    joined = marked.drop("_salts").join(repeated.drop("_salts"), ["token", "_salt"])
+    return joined.drop("_salt")
 
 
 def spread_by(df: DataFrame, key: str) -> DataFrame:

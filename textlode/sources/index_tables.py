@@ -1,21 +1,26 @@
 """The index as Parquet tables.
 
-    <path>/term_freq/batch_id=K    (doc_id, token, tf)
-    <path>/docs/batch_id=K         (doc_id, has_tokens)
-    <path>/token_stats/as_of=K     (token, df) of batches up to K
-
-Postings are written by the tasks that counted them, each file sorted by token:
-every document sits in one file, a hot token is spread over all files, and the
-min/max statistics of row groups and pages prune a lookup by token.  Writing
-needs no shuffle of postings.
-
-A batch has its own folder, so a repeated batch overwrites itself.
+    <path>/term_freq/batch_id=K/token_bucket=B   (doc_id, token, tf, ord)
+    <path>/docs/batch_id=K                       (doc_id, has_tokens, ord, replaces)
+    <path>/token_df/batch_id=K/token_bucket=B    (token, df)   changes of df
+    <path>/commits/batch_id=K                    one row that says the batch is complete
+
+Postings are stored by a bucket of their token: a lookup of some tokens reads their
+buckets' folders only.  One rebalancing shuffle per batch brings the postings of a
+bucket together; Spark splits buckets that are too large, as those of hot tokens.
+
+A batch counts once its commit row is written, last of all; readers see the postings,
+documents and changes of committed batches and nothing else.  The row also holds the
+number of documents, the type of the key and the number of buckets, so a search
+neither counts documents nor asks for them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from textlode.operators.analysis import Analyzer
@@ -23,155 +28,303 @@ from textlode.operators.statistics import document_frequency
 from textlode.operators.upserts import (
     batch_documents,
     batch_postings,
-    latest_documents,
-    latest_postings,
-    replaced_postings,
+    current_documents,
+    current_postings,
+    in_order,
 )
 from textlode.plans.sizing import join_lookup
-
+from textlode.plans.storage import stored
 
 TABLE_SCHEMAS = {
-    "term_freq": "doc_id {key}, token STRING, tf BIGINT, batch_id BIGINT",
-    "docs": "doc_id {key}, has_tokens BOOLEAN, batch_id BIGINT",
-    "token_stats": "token STRING, df BIGINT, as_of BIGINT",
+    "term_freq": "doc_id {key}, token STRING, tf BIGINT, ord BIGINT, batch_id BIGINT, token_bucket INT",
+    "docs": "doc_id {key}, has_tokens BOOLEAN, ord BIGINT, replaces BOOLEAN, batch_id BIGINT",
+    "token_df": "token STRING, df BIGINT, batch_id BIGINT, token_bucket INT",
+    "commits": "n_docs BIGINT, n_with_tokens BIGINT, resets BOOLEAN, replaces BOOLEAN, "
+    "key_type STRING, buckets INT, feed STRING, feed_batch BIGINT, batch_id BIGINT",
 }
+#: Folders that the postings of a new index are dealt to.
+TOKEN_BUCKETS = 16
+
+
+def token_bucket(token: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
 
 class IndexTables:
     """Reads and writes the tables of one index folder.
 
-    ``key_type`` is the type of ``doc_id``: BIGINT for tables, STRING for files.
+    ``key_type`` is the type of ``doc_id`` of a new index; an existing one knows its own.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key_type: str = "BIGINT"):
+    def __init__(
+        self, spark: SparkSession, path: str, key_type: str = "BIGINT", buckets: int = TOKEN_BUCKETS
+    ):
         self.spark = spark
         self.path = path.rstrip("/")
-        self.key_type = key_type
+        self._new_key, self._new_buckets = key_type, buckets
+
+    # -- commits -----------------------------------------------------------
+    def commits(self) -> list[Row]:
+        """Commit rows in order, from the last batch that began the index anew."""
+        try:
+            rows = self._read("commits", key="").orderBy("batch_id").collect()
+        except AnalysisException:
+            return []
+        start = max((i for i, row in enumerate(rows) if row["resets"]), default=0)
+        return rows[start:]
+
+    def batches(self) -> set[int]:
+        return {row["batch_id"] for row in self.commits()}
+
+    def next_batch(self) -> int:
+        """The number after the last committed one; a batch that failed is written over."""
+        return max(self.batches(), default=-1) + 1
+
+    def feed_batch(self, feed: str, number: int) -> bool:
+        """Whether a batch of a feed was committed before."""
+        return any(r["feed"] == feed and r["feed_batch"] == number for r in self.commits())
+
+    def n_docs(self, mode: str = "float") -> int:
+        """Number of documents, or in ``pruned`` mode of those with tokens."""
+        commits = self.commits()
+        if not commits:
+            return 0
+        return commits[-1]["n_with_tokens" if mode == "pruned" else "n_docs"]
+
+    @property
+    def key_type(self) -> str:
+        commits = self.commits()
+        return commits[-1]["key_type"] if commits else self._new_key
+
+    @property
+    def buckets(self) -> int:
+        commits = self.commits()
+        return commits[-1]["buckets"] if commits else self._new_buckets
 
     # -- writing -----------------------------------------------------------
     def write_batch(
-        self, docs: DataFrame, batch_id: int, analyzer: Analyzer, replace: bool = False
+        self,
+        docs: DataFrame,
+        batch_id: int,
+        analyzer: Analyzer,
+        replace: bool = False,
+        resets: bool = False,
+        feed: str | None = None,
+        feed_batch: int | None = None,
     ) -> None:
-        """Append the postings of documents (doc_id, text[, seq]) as one batch."""
-        postings = batch_postings(docs, analyzer, replace)
-        self._write(
-            postings.sortWithinPartitions("token"), f"term_freq/batch_id={batch_id}"
-        )
-        self._write(batch_documents(docs, analyzer), f"docs/batch_id={batch_id}")
-
-    def refresh_stats(self, replace: bool = False) -> None:
-        """Recompute df from all current postings."""
-        self._write_stats(document_frequency(self.postings(replace)), max(self.batches()))
-
-    def extend_stats(self) -> None:
-        """Bring df up to date from the batches since the last refresh only.
+        """Add the postings of documents (doc_id, text[, seq]) as one batch.
 
-        Stale tokens stay in the index, so df never falls: it grows by the
-        (doc_id, token) pairs the new batches are the first to hold.  The old
-        log is cut to the documents of the new batches before the pairs are
-        compared.
+        A document sent again overwrites: its row of highest ``seq`` counts, over
+        batches too, or without ``seq`` its last row.  With ``replace`` the tokens it
+        lost go, otherwise they stay.  With ``resets`` the batch is all there is.
+        The work for df and N goes with the batch: only where a document was here
+        before are earlier postings read.
         """
-        done = self._stats_versions()
-        last = max(self.batches())
-        if not done or max(done) >= last:
-            return self.refresh_stats()
-        log, as_of = self.log(), max(done)
-        new = log.where(F.col("batch_id") > as_of).select("doc_id", "token").distinct()
-        changed = self.docs_log().where(F.col("batch_id") > as_of).select("doc_id").distinct()
-        earlier = join_lookup(
-            log.where(F.col("batch_id") <= as_of).select("doc_id", "token"),
-            changed,
-            ["doc_id"],
-            how="left_semi",
+        before = [] if resets else self.commits()
+        key = before[-1]["key_type"] if before else docs.schema["doc_id"].dataType.simpleString()
+        buckets = before[-1]["buckets"] if before else self._new_buckets
+        docs = in_order(docs, batch_id)
+        postings = batch_postings(docs, analyzer, replace)
+        self._write_bucketed(postings, f"term_freq/batch_id={batch_id}", buckets)
+        own_docs = batch_documents(docs, analyzer, replace)
+        self._write(
+            own_docs.withColumn("replaces", F.lit(replace)), f"docs/batch_id={batch_id}"
         )
-        added = (
-            new.join(earlier, ["doc_id", "token"], "left_anti")
-            .groupBy("token")
-            .agg(F.count(F.lit(1)).alias("added"))
+        changes, added, with_tokens = self._changes(before, batch_id, replace, key)
+        self._write_bucketed(changes, f"token_df/batch_id={batch_id}", buckets)
+        last = before[-1] if before else None
+        row = Row(
+            n_docs=added + (last["n_docs"] if last else 0),
+            n_with_tokens=with_tokens + (last["n_with_tokens"] if last else 0),
+            resets=resets,
+            replaces=replace,
+            key_type=key,
+            buckets=buckets,
+            feed=feed,
+            feed_batch=feed_batch,
         )
-        total = F.coalesce("df", F.lit(0)) + F.coalesce("added", F.lit(0))
-        stats = self.frequencies().join(added, "token", "full_outer")
-        self._write_stats(stats.select("token", total.alias("df")), last)
+        schema = TABLE_SCHEMAS["commits"].rpartition(",")[0]
+        self._write(self.spark.createDataFrame([row], schema).coalesce(1), f"commits/batch_id={batch_id}")
+
+    def _changes(
+        self, before: list[Row], batch_id: int, replace: bool, key: str
+    ) -> tuple[DataFrame, int, int]:
+        """(token, df) changes of a batch just written, and those of both numbers of documents."""
+        mine = self._read("docs", key).where(F.col("batch_id") == batch_id)
+        own = self._read("term_freq", key).where(F.col("batch_id") == batch_id)
+        count = F.count(F.lit(1))
+        if not before:
+            n = mine.agg(count.alias("n"), F.count_if("has_tokens").alias("t")).head()
+            return document_frequency(own), n["n"], n["t"]
+        old_docs = self._committed("docs", before, key)
+        again = stored(
+            join_lookup(old_docs.select("doc_id"), mine.select("doc_id"), ["doc_id"], "left_semi")
+            .distinct(),
+            "again",
+        )
+        any_replaces = replace or any(r["replaces"] for r in before)
+        log = self._committed("term_freq", before, key)
+        docs_log = old_docs
+
+        def of_again(df: DataFrame) -> DataFrame:
+            return join_lookup(df, again, ["doc_id"], "left_semi")
+
+        if again.head(1):
+            old_log, old_docs_log = of_again(log), of_again(docs_log)
+            was = current_postings(old_log, old_docs_log, any_replaces).select("token", F.lit(-1).alias("n"))
+            all_log = old_log.unionByName(of_again(own))
+            all_docs = old_docs_log.unionByName(of_again(mine))
+            now = current_postings(all_log, all_docs, any_replaces).select("token", F.lit(1).alias("n"))
+            fresh = join_lookup(own, again, ["doc_id"], "left_anti").select("token", F.lit(1).alias("n"))
+            signed = was.unionByName(now).unionByName(fresh)
+            had = current_documents(old_docs_log, any_replaces).agg(F.count_if("has_tokens")).head()[0]
+            have = current_documents(all_docs, any_replaces).agg(F.count_if("has_tokens")).head()[0]
+        else:
+            signed, had, have = own.select("token", F.lit(1).alias("n")), 0, 0
+        new = join_lookup(mine, again, ["doc_id"], "left_anti")
+        n = new.agg(count.alias("n"), F.count_if("has_tokens").alias("t")).head()
+        changes = signed.groupBy("token").agg(F.sum("n").alias("df")).where("df <> 0")
+        return changes, n["n"], n["t"] + have - had
+
+    def refresh_stats(self) -> None:
+        """Merge all changes of df into those of the last batch, to read one batch only.
+
+        The index then has to be read from its last batch on, so this writes a new
+        batch that holds the current view: see :meth:`compact` for a new folder.
+        """
+        commits = self.commits()
+        last = commits[-1]
+        postings, docs = stored(self.postings(), "postings"), stored(self.documents(), "documents")
+        self._write_view(postings, docs, last["batch_id"] + 1, last, resets=True)
 
     def compact(self, path: str) -> IndexTables:
-        """Write the current view as the single batch of a new index folder."""
-        target = IndexTables(self.spark, path)
-        target._write(self.postings().sortWithinPartitions("token"), "term_freq/batch_id=0")
-        target._write(self.documents(), "docs/batch_id=0")
-        target.refresh_stats()
+        """Write the current view as the single batch of another index folder."""
+        target = IndexTables(self.spark, path, self.key_type, self.buckets)
+        target._write_view(
+            self.postings(), self.documents(), target.next_batch(), self.commits()[-1], resets=True
+        )
         return target
 
-    def _write_stats(self, stats: DataFrame, as_of: int) -> None:
-        self._write(stats.sortWithinPartitions("token"), f"token_stats/as_of={as_of}")
+    def _write_view(
+        self, postings: DataFrame, docs: DataFrame, batch_id: int, last: Row, resets: bool
+    ) -> None:
+        order = F.lit(batch_id).cast("long").alias("ord")
+        self._write_bucketed(
+            postings.select("doc_id", "token", "tf", order), f"term_freq/batch_id={batch_id}", last["buckets"]
+        )
+        self._write(
+            docs.select("doc_id", "has_tokens", order, F.lit(False).alias("replaces")),
+            f"docs/batch_id={batch_id}",
+        )
+        own = self._read("term_freq", last["key_type"]).where(F.col("batch_id") == batch_id)
+        self._write_bucketed(document_frequency(own), f"token_df/batch_id={batch_id}", last["buckets"])
+        row = last.asDict() | {"resets": resets, "replaces": False, "feed": None, "feed_batch": None}
+        row.pop("batch_id")
+        schema = TABLE_SCHEMAS["commits"].rpartition(",")[0]
+        frame = self.spark.createDataFrame([Row(**row)], schema).coalesce(1)
+        self._write(frame, f"commits/batch_id={batch_id}")
+
+    def _write_bucketed(self, df: DataFrame, table: str, buckets: int) -> None:
+        """Sorted by token within the folder of its bucket; large buckets are split."""
+        dealt = df.withColumn("token_bucket", token_bucket(F.col("token"), buckets)).hint(
+            "rebalance", "token_bucket"
+        )
+        (
+            dealt.sortWithinPartitions("token_bucket", "token")
+            .write.mode("overwrite")
+            .partitionBy("token_bucket")
+            .parquet(f"{self.path}/{table}")
+        )
 
     def _write(self, df: DataFrame, table: str) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/{table}")
 
     # -- reading -----------------------------------------------------------
     def log(self) -> DataFrame:
-        return self._read("term_freq")
+        return self._committed("term_freq", self.commits())
 
     def docs_log(self) -> DataFrame:
-        return self._read("docs")
-
-    def postings(self, replace: bool = False) -> DataFrame:
-        """Current (doc_id, token, tf); with one batch the table as it is."""
-        log = self.log()
-        if len(self.batches()) == 1:
-            return log.drop("batch_id")
-        if replace:
-            return replaced_postings(log, self.docs_log())
-        return latest_postings(log)
-
-    def documents(self, replace: bool = False) -> DataFrame:
-        docs = self.docs_log()
-        if len(self.batches()) == 1:
-            return docs.drop("batch_id")
-        return latest_documents(docs, replace)
-
-    def frequencies(self) -> DataFrame:
-        """(token, df) as of the last refresh."""
-        last = max(self._stats_versions())
-        return self.spark.read.parquet(f"{self.path}/token_stats/as_of={last}")
+        return self._committed("docs", self.commits())
 
-    def batches(self) -> set[int]:
-        """Batch numbers, from the file listing alone."""
-        return _folder_numbers(self.docs_log(), "batch_id")
+    def postings(self, replace: bool | None = None, tokens: Sequence[str] | None = None) -> DataFrame:
+        """Current (doc_id, token, tf), of some tokens only where these are given.
 
-    def next_batch(self) -> int:
-        return max(self.batches()) + 1
-
-    def _stats_versions(self) -> set[int]:
-        try:
-            return _folder_numbers(self._read("token_stats"), "as_of")
-        except AnalysisException:
-            return set()
-
-    def _read(self, table: str) -> DataFrame:
-        """Raises Spark's path error where the index does not exist."""
+        ``replace`` True reads every batch as one that replaces its documents, False
+        none; by default each batch is read as it was written.
+        """
+        commits = self.commits()
+        log = self._committed("term_freq", commits)
+        if tokens is not None:
+            log = log.where(self._in_buckets(tokens, commits) & F.col("token").isin(list(tokens)))
+        if len(commits) == 1:
+            return log.select("doc_id", "token", "tf")
+        return current_postings(log, *self._replacing(commits, replace))
+
+    def documents(self, replace: bool | None = None) -> DataFrame:
+        commits = self.commits()
+        return current_documents(*self._replacing(commits, replace))
+
+    def _replacing(self, commits: list[Row], replace: bool | None) -> tuple[DataFrame, bool]:
+        docs = self._committed("docs", commits)
+        if replace is None:
+            return docs, any(row["replaces"] for row in commits)
+        return docs.withColumn("replaces", F.lit(replace)), replace
+
+    def frequencies(self, tokens: Sequence[str] | None = None) -> DataFrame:
+        """(token, df): the sum of the committed changes."""
+        commits = self.commits()
+        changes = self._committed("token_df", commits)
+        if tokens is not None:
+            changes = changes.where(
+                self._in_buckets(tokens, commits) & F.col("token").isin(list(tokens))
+            )
+        if len(commits) == 1:
+            return changes.select("token", "df")
+        return changes.groupBy("token").agg(F.sum("df").alias("df")).where("df > 0")
+
+    def _in_buckets(self, tokens: Sequence[str], commits: list[Row]) -> Column:
+        """Predicate on the folders that may hold the tokens."""
+        n = commits[-1]["buckets"]
+        rows = self.spark.createDataFrame([(t,) for t in tokens], "token string")
+        found = {r[0] for r in rows.select(token_bucket(F.col("token"), n)).collect()}
+        return F.col("token_bucket").isin(sorted(found))
+
+    def _committed(self, table: str, commits: list[Row], key: str | None = None) -> DataFrame:
+        """Rows of the committed batches; other batches' folders are not read."""
+        numbers = [row["batch_id"] for row in commits]
+        if not commits:
+            raise FileNotFoundError(f"no index at {self.path}")
+        df = self._read(table, key or commits[-1]["key_type"])
+        return df.where(F.col("batch_id").isin(numbers))
+
+    def _read(self, table: str, key: str) -> DataFrame:
+        """Raises Spark's path error where the table does not exist."""
         folder = f"{self.path}/{table}"
-        schema = TABLE_SCHEMAS[table].format(key=self.key_type)
+        schema = TABLE_SCHEMAS[table].format(key=key)
         return self.spark.read.schema(schema).option("basePath", folder).parquet(folder)
 
 
-def _folder_numbers(table: DataFrame, column: str) -> set[int]:
-    return {
-        int(name.split(f"/{column}=")[1].split("/")[0]) for name in table.inputFiles()
-    }
-
-
 def write_index(
-    spark: SparkSession, docs: DataFrame, path: str, analyzer: Analyzer
+    spark: SparkSession,
+    docs: DataFrame,
+    path: str,
+    analyzer: Analyzer,
+    overwrite: bool = False,
+    buckets: int = TOKEN_BUCKETS,
 ) -> IndexTables:
-    """Build an index folder from documents (doc_id, text)."""
-    tables = IndexTables(spark, path, docs.schema["doc_id"].dataType.simpleString())
-    tables.write_batch(docs, 0, analyzer)
-    tables.refresh_stats()
+    """Index documents (doc_id, text) in a folder.
+
+    A folder that holds an index is extended by them; with ``overwrite`` they take
+    its place, in one step: readers see the old index until the new one is complete.
+    """
+    tables = IndexTables(spark, path, docs.schema["doc_id"].dataType.simpleString(), buckets)
+    commits = tables.commits()
+    tables.write_batch(docs, tables.next_batch(), analyzer, resets=overwrite or not commits)
     return tables
 
 
-def read_index(spark: SparkSession, path: str, key_type: str = "BIGINT") -> IndexTables:
-    """Open an existing index; a missing one raises."""
-    tables = IndexTables(spark, path, key_type)
-    tables.docs_log()
+def read_index(spark: SparkSession, path: str) -> IndexTables:
+    """Open an existing index; a missing one raises Spark's path error."""
+    tables = IndexTables(spark, path)
+    tables._read("commits", "")
     return tables

@@ -10,12 +10,12 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread_scan(scan: DataFrame) -> DataFrame:
-    """Give a scan of a few splits enough tasks for the cores at hand.
+    """Give a scan of fewer splits than cores a task for each core, and some more.
 
     Text analysis multiplies its input, so one split per core is the least it
-    needs.  A large table has plenty of splits and is returned as it is.
+    needs.  The number of tasks never falls: any other scan is returned as it is.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= 4 * cores:
+    if scan.rdd.getNumPartitions() >= cores:
         return scan
     return scan.repartition(2 * cores)

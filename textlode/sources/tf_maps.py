@@ -6,17 +6,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def tf_maps(postings: DataFrame) -> DataFrame:
-    """(doc_id, tf MAP<STRING,BIGINT>); a map is as large as its document's vocabulary."""
+def tf_maps(postings: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """(doc_id, tf MAP<STRING,BIGINT>); a map is as large as its document's vocabulary.
+
+    Documents of ``docs`` without tokens have an empty map.
+    """
     entries = F.collect_list(F.struct("token", "tf"))
-    return postings.groupBy("doc_id").agg(F.map_from_entries(entries).alias("tf"))
+    maps = postings.groupBy("doc_id").agg(F.map_from_entries(entries).alias("tf"))
+    if docs is None:
+        return maps
+    empty = F.map_from_entries(F.array().cast("array<struct<token:string,tf:bigint>>"))
+    every = docs.select("doc_id").distinct().join(maps, "doc_id", "left")
+    return every.select("doc_id", F.coalesce("tf", empty).alias("tf"))
+
+
+def export_tf_maps(postings: DataFrame, path: str, docs: DataFrame | None = None) -> None:
+    tf_maps(postings, docs).write.mode("overwrite").json(path)
 
 
-def export_tf_maps(postings: DataFrame, path: str) -> None:
-    tf_maps(postings).write.mode("overwrite").json(path)
+def _lines(spark: SparkSession, path: str, key_type: str) -> DataFrame:
+    return spark.read.schema(f"doc_id {key_type}, tf MAP<STRING,BIGINT>").json(path)
 
 
 def import_tf_maps(spark: SparkSession, path: str, key_type: str = "STRING") -> DataFrame:
     """Postings back from exported lines."""
-    lines = spark.read.schema(f"doc_id {key_type}, tf MAP<STRING,BIGINT>").json(path)
-    return lines.select("doc_id", F.explode("tf").alias("token", "tf"))
+    return _lines(spark, path, key_type).select("doc_id", F.explode("tf").alias("token", "tf"))
+
+
+def import_documents(spark: SparkSession, path: str, key_type: str = "STRING") -> DataFrame:
+    """(doc_id, has_tokens) of every exported line, those with an empty map included."""
+    has = F.coalesce(F.size("tf") > 0, F.lit(False))
+    return _lines(spark, path, key_type).select("doc_id", has.alias("has_tokens"))
