@@ -1,12 +1,7 @@
-import sys
-from pathlib import Path
+"""Documents that the tests of this folder share; fixtures are imported where used."""
 
 import pytest
 
-ROOT = Path(__file__).resolve().parents[2]
-for folder in (ROOT, ROOT / "tests"):
-    sys.path.insert(0, str(folder))
-
 SF = "/root/testdata/sf0.001"
 
 #: Null, empty, blank, one-word, repeated, mixed-script and long texts.

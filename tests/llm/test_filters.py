@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import SF
+from samples import SF, docs, no_docs, odd_docs  # noqa: F401
 
 from textlode.llm import langid, quality
 from textlode.llm.queries import (

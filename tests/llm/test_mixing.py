@@ -4,7 +4,7 @@ import math
 import duckdb
 import pytest
 from check_oracle import rows_of
-from conftest import ODD, SF
+from samples import ODD, SF, docs, no_docs, odd_docs  # noqa: F401
 
 from textlode.llm import mixing, queries
 

@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 import pytest
-from conftest import SF
+from samples import SF  # noqa: F401
 
 from textlode.llm import html_text, warc
 from textlode.llm.queries import op1_html_extraction, op2_warc

@@ -1,9 +1,10 @@
 import pytest
-from conftest import SF
 from test_mixing import plain_count
 from test_simhash import plain_components
 
 import corpus_pipeline
+from samples import SF, docs, no_docs, odd_docs  # noqa: F401
+
 from textlode.llm import bpe, langid, mixing, quality
 from textlode.llm.queries import TOKENIZER, language_model, quality_machine
 

@@ -4,7 +4,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
-from conftest import SF
+from samples import SF, docs, no_docs, odd_docs  # noqa: F401
 
 from textlode.llm import simhash
 from textlode.llm.components import components

@@ -2,7 +2,7 @@ import hashlib
 import random
 
 import numpy as np
-from conftest import ODD, SF
+from samples import ODD, SF, docs, no_docs, odd_docs  # noqa: F401
 
 from textlode.llm import sketch
 from textlode.llm.queries import op6_document_fingerprints

@@ -4,8 +4,8 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import ODD, SF
 from tokenizers import Tokenizer
+from samples import ODD, SF, docs, no_docs, odd_docs  # noqa: F401
 
 from textlode.llm import bpe, wavelet
 from textlode.llm.queries import TOKENIZER, op7_token_ids, op9_bpe

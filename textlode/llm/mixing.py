@@ -12,6 +12,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textlode.plans.sizing import is_small
+
 from .common import fresh
 from .components import stored
 
@@ -21,7 +23,7 @@ POWER = 0.5
 #: Poisson numbers of a larger mean are sums of numbers of at most this mean.
 MEAN = 64.0
 #: A table of rates of more sources than this is not broadcast.
-BROADCAST_SOURCES = 50_000
+BROADCAST_SOURCES = 10_000
 
 
 def hash_unit(*parts: Column) -> Column:
@@ -105,7 +107,7 @@ def replicate(
         ),
         "rates",
     )
-    if table.count() <= BROADCAST_SOURCES:
+    if is_small(table, BROADCAST_SOURCES):
         table = F.broadcast(table)
     joined = docs.join(
         table, F.col(source).cast("string").eqNullSafe(F.col(taken["src"])), "inner"
