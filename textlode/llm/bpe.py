@@ -211,14 +211,14 @@ class Codec:
     def encode(self, text: str) -> np.ndarray:
         chunks = chunks_of(text)
         self.memo.learn(chunks)
-        return np.frombuffer(b"".join(map(self.memo.__getitem__, chunks)), "<u4")
+        return np.frombuffer(b"".join(map(self.memo.look, chunks)), "<u4")
 
     def encode_batch(self, texts: Sequence[str]) -> list[np.ndarray]:
         found = []
         for a, b in slices(texts, SLICE_CHARS):
             chunks = [chunks_of(text) for text in texts[a:b]]
-            self.memo.learn(c for one in chunks for c in one)
-            look = self.memo.__getitem__
+            self.memo.learn(*chunks)
+            look = self.memo.look
             found += [np.frombuffer(b"".join(map(look, one)), "<u4") for one in chunks]
         return found
 

@@ -70,7 +70,7 @@ def slices(texts: Sequence[str], chars: int = SLICE_CHARS) -> Iterator[tuple[int
         yield start, len(texts)
 
 
-class Memo(dict):
+class Memo:
     """Remembers what ``make`` gave for a word, up to a number of words.
 
     ``make`` takes a list of new words and gives a value for each.  A full memory
@@ -78,18 +78,20 @@ class Memo(dict):
     """
 
     def __init__(self, make: Callable[[list[str]], Iterable], limit: int = MEMO_WORDS):
-        super().__init__()
         self.make, self.limit = make, limit
-
-    def learn(self, words: Iterable[str]) -> None:
-        """Afterwards every one of ``words`` can be looked up."""
-        wanted = set(words)
-        new = [word for word in wanted if word not in self]
-        if len(self) + len(new) > self.limit:
-            self.clear()
+        self.known: dict = {}
+        #: Value of a learned word.
+        self.look = self.known.__getitem__
+
+    def learn(self, *words: Iterable[str]) -> None:
+        """Afterwards every word of the given ones can be looked up."""
+        wanted = set().union(*words)
+        new = list(wanted.difference(self.known))
+        if len(self.known) + len(new) > self.limit:
+            self.known.clear()
             new = list(wanted)
         if new:
-            self.update(zip(new, self.make(new), strict=True))
+            self.known.update(zip(new, self.make(new), strict=True))
 
 
 def remainder(doc_id: str, modulus: int) -> Column:

@@ -318,8 +318,8 @@ def label_texts(texts: Sequence[str], model: Model, memo: Memo) -> tuple[list[st
         return names, scores
     for start, end in slices(texts, SLICE_CHARS):
         chunks = [text.lower().split() for text in texts[start:end]]
-        memo.learn(c for one in chunks for c in one)
-        parts = [b"".join(map(memo.__getitem__, one)) for one in chunks]
+        memo.learn(*chunks)
+        parts = [b"".join(map(memo.look, one)) for one in chunks]
         lengths = np.array([len(p) // (4 * k) for p in parts], np.int64)
         if not lengths.any():
             continue

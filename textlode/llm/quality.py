@@ -91,8 +91,8 @@ class Features:
 def features(texts: Sequence[str], n_chars: Sequence[int | None], memo: Memo) -> Features:
     """Word counts, damped and of length one per text, and structure of some texts."""
     words = [text.split() for text in texts]
-    memo.learn(w for one in words for w in one)
-    parts = [b"".join(map(memo.__getitem__, one)) for one in words]
+    memo.learn(*words)
+    parts = [b"".join(map(memo.look, one)) for one in words]
     lengths = np.array([len(p) // 4 for p in parts], np.int64)
     buckets = np.frombuffer(b"".join(parts), "<i4").astype(np.int64)
     keys, counts = np.unique(

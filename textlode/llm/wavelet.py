@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -38,6 +39,10 @@ BLOCK = 512
 SHARD_TOKENS = 4_000_000
 SLICE_CHARS = 2_000_000
 MEMO_WORDS = 500_000
+#: Marks that are a piece of their own behind letters.
+MARKS = ".,;:!?"
+#: Runs of letters that are encoded at a call.
+RUN = 400
 
 
 @dataclass
@@ -64,10 +69,10 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, values: np.ndarray, levels: int) -> WaveletMatrix:
-        rest = np.ascontiguousarray(values, np.uint32)
+        rest = np.ascontiguousarray(values, np.uint16 if levels <= 16 else np.uint32)
         planes, zeros = [], []
         for level in reversed(range(levels)):
-            bits = (rest >> np.uint32(level) & np.uint32(1)).astype(bool)
+            bits = (rest & rest.dtype.type(1 << level)) != 0
             planes.append(np.packbits(bits, bitorder="little"))
             low, high = rest[~bits], rest[bits]
             zeros.append(len(low))
@@ -76,12 +81,13 @@ class WaveletMatrix:
 
     def values(self) -> np.ndarray:
         """All numbers: the planes are undone from the last to the first."""
-        found = np.zeros(self.size, np.uint32)
+        kind = np.uint16 if self.levels <= 16 else np.uint32
+        found = np.zeros(self.size, kind)
         for bit, (plane, zeros) in enumerate(zip(self.planes[::-1], self.zeros[::-1], strict=True)):
             bits = np.unpackbits(plane, count=self.size, bitorder="little").astype(bool)
             merged = np.empty_like(found)
             merged[~bits] = found[:zeros]
-            merged[bits] = found[zeros:] | np.uint32(1 << bit)
+            merged[bits] = found[zeros:] | kind(1 << bit)
             found = merged
         return found
 
@@ -195,26 +201,74 @@ class Shard:
 
 
 class _Encoder:
-    """The library's identifiers of whole texts; parts between white space are remembered."""
+    """The library's identifiers of whole texts; parts between white space are remembered.
+
+    A part that is a run of letters, or one with a mark behind it, is two pieces for the
+    library at most; its letters are remembered for all such parts, and many runs of
+    letters are encoded as one text, whose words end where an identifier ends a word.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.levels = max(1, max(self.tokenizer.get_vocab().values()).bit_length())
+        vocab = self.tokenizer.get_vocab()
+        self.levels = max(1, max(vocab.values()).bit_length())
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+        self.marks = {m: self._whole([m])[0] for m in MARKS}
         self.memo = Memo(self._chunks, MEMO_WORDS)
+        self.letters = Memo(self._letters, MEMO_WORDS)
+
+    def _whole(self, chunks: list[str]) -> list[bytes]:
+        made = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+        return [np.array(m.ids, "<u4").tobytes() for m in made]
+
+    def _letters(self, words: list[str]) -> Iterator[bytes]:
+        """Identifiers of runs of letters, some hundred at a call."""
+        for at in range(0, len(words), RUN):
+            part = words[at : at + RUN]
+            (made,) = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.array(made.ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part):
+                yield from self._whole(part)
+                continue
+            data, start = ids.tobytes(), 0
+            for end in (4 * ends).tolist():
+                yield data[start:end]
+                start = end
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        plain: list[tuple[str, str]] = []
+        for chunk in chunks:
+            mark = chunk[-1] if chunk[-1] in self.marks else ""
+            word = (chunk[:-1] if mark else chunk).lower()
+            known = word.isalpha() and (word.isascii() or self._settled(word))
+            plain.append((word, mark) if known else ("", chunk))
+        self.letters.learn([word for word, _ in plain if word])
+        look, marks = self.letters.look, self.marks
+        odd = iter(self._whole([rest for word, rest in plain if not word]))
+        return [
+            (look(word) + marks[rest] if rest else look(word)) if word else next(odd)
+            for word, rest in plain
+        ]
 
-    def _chunks(self, chunks: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(chunks), 20_000):
-            batch = chunks[at : at + 20_000]
-            for made in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False):
-                yield np.array(made.ids, "<u4").tobytes()
+    @staticmethod
+    def _settled(word: str) -> bool:
+        """Letters that lower case and composition leave as they are, however they are applied."""
+        return (
+            "σ" not in word and "ς" not in word and unicodedata.is_normalized("NFC", word)
+            and word.lower() == word
+        )
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Bytes of uint32 identifiers of each text, with the end mark."""
         words = [chunks_of(text) for text in texts]
-        self.memo.learn(c for one in words for c in one)
-        look, end = self.memo.__getitem__, struct.pack("<I", END_ID)
+        self.memo.learn(*words)
+        look, end = self.memo.look, struct.pack("<I", END_ID)
         return [b"".join([*map(look, one), end]) for one in words]
 
 
