@@ -212,3 +212,10 @@ def test_plans(spark, corpus):
 def test_counting_needs_one_shuffle(corpus):
     plan = plan_of(st.term_frequency(corpus(["a b"]), Analyzer()))
     assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
+
+
+def test_words_first_counts_the_same(corpus):
+    docs = corpus(random_texts(6))
+    plain = st.term_frequency(docs, Analyzer())
+    first = st.term_frequency(docs, Analyzer(), words_first=True)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, first.collect()))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textlode.functions.text import gram_rows
 from textlode.operators.analysis import Analyzer
 from textlode.plans.sizing import join_tokens, keep_listed, spread_by
 
@@ -41,6 +42,7 @@ def term_frequency(
     analyzer: Analyzer,
     only_tokens: Column | None = None,
     by_document: bool = True,
+    words_first: bool = False,
 ) -> DataFrame:
     """Postings (doc_id, token, tf) of documents (doc_id, text).
 
@@ -52,10 +54,22 @@ def term_frequency(
     spreads a hot document over its tokens.  Both give the same rows.
 
     ``only_tokens`` is a predicate on ``token``, applied before counting.
+
+    With ``words_first`` the words of a document are counted before their n-grams are
+    made, so each different word is cut once; where texts are distributed by document
+    that is one more aggregation and no shuffle.  It pays where documents repeat words.
     """
     source = docs.select("doc_id", "text")
     if by_document:
         source = spread_by(source, "doc_id")
+    if by_document and words_first:
+        words = analyzer.words(source, "doc_id").groupBy("doc_id", "word")
+        tokens = gram_rows(
+            words.agg(F.count(F.lit(1)).alias("n")), "word", "token", analyzer.gram_sizes
+        )
+        if only_tokens is not None:
+            tokens = tokens.where(only_tokens)
+        return tokens.groupBy("doc_id", "token").agg(F.sum("n").alias("tf"))
     tokens = analyzer.tokens(source, "doc_id")
     if only_tokens is not None:
         tokens = tokens.where(only_tokens)
