@@ -12,6 +12,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Sequence
 from functools import lru_cache
 
@@ -29,6 +30,11 @@ from .common import Memo, append_columns, slices, texts_of
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 CONTROLS = "\x1c\x1d\x1e\x1f"
 MEMO_WORDS = 500_000
+#: Remembered beginnings of words, and the longest word that is looked up by them.
+PATH_STATES = 400_000
+PATH_CHARS = 48
+#: Marks that are a word of their own behind letters.
+MARKS = ".,;:!?"
 #: Texts are handled about so many code points at a time.
 SLICE_CHARS = 2_000_000
 
@@ -127,6 +133,50 @@ class Automaton:
         return labels[::-1]
 
 
+class WordPaths:
+    """Paths of words of one-character symbols with an end behind the last.
+
+    The state of the automaton behind the beginning of a word is remembered, so
+    words that begin alike share their transitions.
+    """
+
+    def __init__(self, automaton: Automaton, end: str):
+        self.automaton, self.end = automaton, end
+        self.states: dict[str, str] = {}
+
+    def step(self, word: str, stop: str = "") -> str:
+        """Last label of the path that spells ``word`` and ``stop``; shorter words are known."""
+        states, time = self.states, self.automaton.time
+        n = len(word)
+        for start in range(max(0, n - self.automaton.longest), n):
+            label = word[start:] + stop
+            if label in time and (
+                not start or self.automaton.arc(states[word[:start]], label)
+            ):
+                return label
+        raise ValueError("a symbol of the word is not in the vocabulary")
+
+    def path(self, word: str) -> list[str]:
+        n = len(word)
+        if n > PATH_CHARS:
+            return self.automaton.path([*word[:-1], word[-1] + self.end])
+        states = self.states
+        if len(states) > PATH_STATES:
+            states.clear()
+        known = n - 1
+        while known and word[:known] not in states:
+            known -= 1
+        for at in range(known + 1, n):
+            states[word[:at]] = self.step(word[:at])
+        label = self.step(word, self.end)
+        labels, at = [label], n - len(label) + len(self.end)
+        while at:
+            label = states[word[:at]]
+            labels.append(label)
+            at -= len(label)
+        return labels[::-1]
+
+
 @lru_cache(maxsize=1)
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in byte-level vocabularies."""
@@ -168,7 +218,9 @@ class Codec:
         base = [s for c in letters for s in (c, c + self.end) if s in self.ids]
         self.automaton = Automaton(base, merges)
         self.labels = {i: token for token, i in (self.ids | self.added).items()}
+        self.paths = WordPaths(self.automaton, self.end)
         self.memo = Memo(self.encode_chunks, MEMO_WORDS)
+        self.seen = Memo(self.encode_words, MEMO_WORDS)
 
     def words(self, text: str) -> list[str]:
         """Pre-split words, a letter for each byte.
@@ -185,28 +237,48 @@ class Codec:
         found = self.pattern.findall(text)
         return ["".join([letters[b] for b in word.encode("utf-8")]) for word in found]
 
-    def segment(self, text: str) -> list[int]:
+    def segment(self, text: str) -> bytes:
         """Identifiers of a text without special tokens and white space."""
-        path, ids = self.automaton.path, self.ids
-        return [
-            ids[label]
-            for word in self.words(text)
-            for label in path([*word[:-1], word[-1] + self.end])
-        ]
-
-    def chunk(self, chunk: str) -> list[int]:
-        if self.special is None or "<|" not in chunk:
+        words = self.words(text)
+        self.seen.learn(words)
+        return b"".join(map(self.seen.look, words))
+
+    def encode_words(self, words: Sequence[str]) -> list[bytes]:
+        """Identifiers of pre-split words, by the automaton."""
+        path, ids = self.paths.path, self.ids
+        return [array("I", [ids[label] for label in path(word)]).tobytes() for word in words]
+
+    def chunk(self, chunk: str) -> bytes:
+        """Identifiers of a text without white space, as the bytes of an array of uint32."""
+        if self.special is None or self.special.search(chunk) is None:
             return self.segment(chunk)
-        ids, at = [], 0
+        parts, at = [], 0
         for match in self.special.finditer(chunk):
-            ids += self.segment(chunk[at : match.start()])
-            ids.append(self.added[match[0]])
+            parts.append(self.segment(chunk[at : match.start()]))
+            parts.append(array("I", [self.added[match[0]]]).tobytes())
             at = match.end()
-        return ids + self.segment(chunk[at:])
+        return b"".join([*parts, self.segment(chunk[at:])])
 
     def encode_chunks(self, chunks: Sequence[str]) -> list[bytes]:
-        """Identifiers of each chunk as the bytes of an array of uint32."""
-        return [np.array(self.chunk(c), "<u4").tobytes() for c in chunks]
+        """Identifiers of each chunk; letters with or without a mark share theirs."""
+        plain: list[tuple[str, str]] = []
+        letters = byte_letters()
+        for chunk in chunks:
+            mark = chunk[-1] if chunk[-1] in MARKS else ""
+            word = chunk[:-1] if mark else chunk
+            known = word.isascii() and word.isalpha()
+            plain.append((word.lower(), mark) if known else ("", chunk))
+        # The letter of a plain letter's byte is that letter.
+        marks = {m: letters[ord(m)] for m in MARKS}
+        self.seen.learn([word for word, _ in plain if word], marks.values())
+        look = self.seen.look
+        simple = [
+            (look(w) + look(marks[m]) if m else look(w)) if w else None for w, m in plain
+        ]
+        return [
+            self.chunk(rest) if made is None else made
+            for made, (_, rest) in zip(simple, plain, strict=True)
+        ]
 
     def encode(self, text: str) -> np.ndarray:
         chunks = chunks_of(text)
