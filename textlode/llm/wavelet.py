@@ -22,7 +22,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from textlode.plans.storage import new_folder
 
@@ -218,6 +218,17 @@ class _Encoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         if suffix:
             self.ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+        # Runs of letters in lower case need no normalising, and white space parts them.
+        self.runs = Tokenizer.from_file(path)
+        self.runs.no_padding()
+        self.runs.no_truncation()
+        self.runs.normalizer = normalizers.Sequence([])
+        self.runs.pre_tokenizer = pre_tokenizers.Sequence(
+            [
+                pre_tokenizers.WhitespaceSplit(),
+                pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
+            ]
+        )
         self.marks = {m: self._whole([m])[0] for m in MARKS}
         self.memo = Memo(self._chunks, MEMO_WORDS)
         self.letters = Memo(self._letters, MEMO_WORDS)
@@ -230,7 +241,7 @@ class _Encoder:
         """Identifiers of runs of letters, some hundred at a call."""
         for at in range(0, len(words), RUN):
             part = words[at : at + RUN]
-            (made,) = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            (made,) = self.runs.encode_batch_fast([" ".join(part)], add_special_tokens=False)
             ids = np.array(made.ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(part):
