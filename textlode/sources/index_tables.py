@@ -32,7 +32,7 @@ from textlode.operators.upserts import (
     current_postings,
     in_order,
 )
-from textlode.plans.sizing import join_lookup
+from textlode.plans.sizing import BROADCAST_BYTES, BROADCAST_ROWS, join_lookup, measured
 from textlode.plans.storage import stored
 
 TABLE_SCHEMAS = {
@@ -166,22 +166,27 @@ class IndexTables:
         log = self._committed("term_freq", before, key)
         docs_log = old_docs
 
+        # Checked once: the same documents are looked up several times.
+        n_again, size = measured(again)
+        small = n_again <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+        lookup = F.broadcast(again) if small else again
+
         def of_again(df: DataFrame) -> DataFrame:
-            return join_lookup(df, again, ["doc_id"], "left_semi")
+            return df.join(lookup, "doc_id", "left_semi")
 
-        if again.head(1):
+        if n_again:
             old_log, old_docs_log = of_again(log), of_again(docs_log)
             was = current_postings(old_log, old_docs_log, any_replaces).select("token", F.lit(-1).alias("n"))
             all_log = old_log.unionByName(of_again(own))
             all_docs = old_docs_log.unionByName(of_again(mine))
             now = current_postings(all_log, all_docs, any_replaces).select("token", F.lit(1).alias("n"))
-            fresh = join_lookup(own, again, ["doc_id"], "left_anti").select("token", F.lit(1).alias("n"))
+            fresh = own.join(lookup, "doc_id", "left_anti").select("token", F.lit(1).alias("n"))
             signed = was.unionByName(now).unionByName(fresh)
             had = current_documents(old_docs_log, any_replaces).agg(F.count_if("has_tokens")).head()[0]
             have = current_documents(all_docs, any_replaces).agg(F.count_if("has_tokens")).head()[0]
         else:
             signed, had, have = own.select("token", F.lit(1).alias("n")), 0, 0
-        new = join_lookup(mine, again, ["doc_id"], "left_anti")
+        new = mine.join(lookup, "doc_id", "left_anti")
         n = new.agg(count.alias("n"), F.count_if("has_tokens").alias("t")).head()
         changes = signed.groupBy("token").agg(F.sum("n").alias("df")).where("df <> 0")
         return changes, n["n"], n["t"] + have - had
