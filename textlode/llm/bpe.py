@@ -29,9 +29,9 @@ from .common import Memo, append_columns, slices, texts_of
 #: White space between words; of these only ``str.split`` would also split at \x1c-\x1f.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 CONTROLS = "\x1c\x1d\x1e\x1f"
-MEMO_WORDS = 500_000
+MEMO_WORDS = 300_000
 #: Remembered beginnings of words, and the longest word that is looked up by them.
-PATH_STATES = 400_000
+PATH_STATES = 150_000
 PATH_CHARS = 48
 #: Marks that are a word of their own behind letters.
 MARKS = ".,;:!?"
@@ -98,7 +98,7 @@ class Automaton:
         key = (state, label)
         found = self._arcs.get(key)
         if found is None:
-            if len(self._arcs) > 1_000_000:
+            if len(self._arcs) > 300_000:
                 self._arcs.clear()
             self._arcs[key] = found = self.has_arc(state, label)
         return found

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from typing import ClassVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -12,7 +14,7 @@ from pyspark.sql import types as T
 #: Code points of text that one vectorised step works on at a time.
 SLICE_CHARS = 4_000_000
 #: Words that a worker remembers; the memory is emptied when it is full.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 300_000
 
 
 def append_columns(
@@ -74,17 +76,30 @@ class Memo:
     """Remembers what ``make`` gave for a word, up to a number of words.
 
     ``make`` takes a list of new words and gives a value for each.  A full memory
-    is emptied, so results do not depend on its size.
+    is emptied, so results do not depend on its size.  A worker that serves one
+    operator after another keeps the words of the last one only (``group``).
     """
 
-    def __init__(self, make: Callable[[list[str]], Iterable], limit: int = MEMO_WORDS):
+    _all: ClassVar[weakref.WeakSet[Memo]] = weakref.WeakSet()
+    _last: ClassVar[str] = ""
+
+    def __init__(
+        self, make: Callable[[list[str]], Iterable], limit: int = MEMO_WORDS, group: str = ""
+    ):
         self.make, self.limit = make, limit
+        self.group = group or getattr(make, "__module__", "")
         self.known: dict = {}
         #: Value of a learned word.
         self.look = self.known.__getitem__
+        Memo._all.add(self)
 
     def learn(self, *words: Iterable[str]) -> None:
         """Afterwards every word of the given ones can be looked up."""
+        if Memo._last != self.group:
+            for other in Memo._all:
+                if other.group != self.group:
+                    other.known.clear()
+            Memo._last = self.group
         wanted = set().union(*words)
         new = list(wanted.difference(self.known))
         if len(self.known) + len(new) > self.limit:
