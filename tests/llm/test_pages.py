@@ -182,3 +182,37 @@ def test_salvage(packed, damage):
 def test_salvage_of_nothing():
     assert read(b"") == ([], [])
     assert read(b"no archive at all") == ([], [(0, 17)])
+
+
+LONG = "A long paragraph of main text that goes on for a while and then some more. "
+
+
+@pytest.mark.parametrize(
+    "around",
+    [
+        '<article class="post comments-open">{}</article>',
+        '<div class="layout has-sidebar"><main>{}</main></div>',
+        '<div id="no-sidebar">{}</div>',
+        '<div class="withSidebar">{}</div>',
+        '<div class="sidebar"><main>{}</main></div>',
+        '<div class="widget"><article>{}</article></div>',
+        '<div class="page sidebar">{}</div>',
+        '<div role="main" class="search">{}</div>',
+        '<article class="legal">{}</article>',
+    ],
+)
+def test_names_around_an_article_do_not_drop_it(around):
+    article = f"<h1>Title</h1><p>{LONG * 3}</p><p class='legal'>Of law.</p><p class='social-science'>Of man.</p>"
+    article += "<div class='search-result'>Found.</div><div class='ad'>Buy!</div>"
+    page = "<body><div>Site</div>" + around.format(article) + "<div class='sidebar'>Side note.</div>"
+    text = html_text.main_text(page)
+    for part in ("Title", (LONG * 3).strip(), "Of law.", "Of man.", "Found."):
+        assert part in text.split("\n")
+    assert "Buy!" not in text and "Side note." not in text
+
+
+def test_other_texts_do_not_win_by_their_length():
+    page = f"<div class=text><h1>T</h1><p>{LONG}</p></div><div id=comments><p>{LONG * 3}</p></div>"
+    assert html_text.main_text(page) == f"T\n{LONG.strip()}"
+    page = f"<div class=text><p>{LONG}</p></div><div class=related><article>Read on.</article></div>"
+    assert html_text.main_text(page) == LONG.strip()

@@ -51,6 +51,21 @@ SURROUNDINGS = frozenset(
     "breadcrumb breadcrumbs footer masthead topbar pagination pager login search paywall toolbar "
     "skip legal copyright disclaimer hidden".split()
 )
+# Those that mark texts of their own, which may be longer than the article or be articles.
+OTHERS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored promo "
+    "promotion promoted comment comments commentlist disqus reply replies respond related "
+    "recommended recommendations recirculation teaser teasers".split()
+)
+# Those that can also name what a text is about; they count on elements of groups only.
+TOPICS = frozenset(
+    "consent notice notices alert social share sharing search legal disclaimer discussion related "
+    "recommended navigation login respond reply promotion subscription".split()
+)
+GROUPS = frozenset("div section ul ol dl table center header fieldset details".split())
+# Parts of a name that turn its meaning, and last parts that leave it.
+WITHOUT = frozenset("has have no not non with without hide hides show shows toggle".split())
+ENDINGS = frozenset("list links buttons icons box bar slot unit posts stories".split())
 ROLES = frozenset(
     "navigation banner contentinfo complementary search form alert alertdialog dialog menu "
     "menubar toolbar".split()
@@ -62,8 +77,12 @@ SIGMA = 1.0
 THRESHOLD = 0.5
 #: Share of the clustered text that the content region holds.
 COVER = 0.8
+#: Share of the clustered text above which an element is content whatever its name says;
+#: the second one is for names of :data:`OTHERS`.
+MOST, NEARLY_ALL = 0.5, 0.9
 
-_WORDS = re.compile(r"[A-Za-z]+")
+_PARTS = re.compile(r"[^\W_]+")
+_CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _CUT_OFF = re.compile(r"</?[a-zA-Z][^<>]*")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -76,27 +95,42 @@ class Line:
     path: tuple[int, ...]
 
 
+@dataclass
+class Block:
+    """A line before its doubtful parts are decided: (text, doubts, inside a link)."""
+
+    parts: list[tuple[str, tuple[int, ...], bool]]
+    tags: int
+    path: tuple[int, ...]
+
+
 @dataclass
 class Element:
     tag: str
     number: int
     skipped: bool
     inside_main: bool
+    place: bool
+    #: Elements around it, and itself, that surround an article by their names.
+    doubts: tuple[int, ...]
 
 
 @dataclass
 class Lines(HTMLParser):
     """Collects the lines of one page."""
 
-    lines: list[Line] = field(default_factory=list)
-    mains: set[int] = field(default_factory=set)
-    kinds: dict[int, str] = field(default_factory=dict)
+    blocks: list[Block] = field(default_factory=list)
+    #: Marked elements with the doubts about them; those marked beyond doubt; doubtful
+    #: elements, each with whether its name is one of OTHERS.
+    mains: dict[int, tuple[int, ...]] = field(default_factory=dict)
+    sure: set[int] = field(default_factory=set)
+    doubtful: dict[int, bool] = field(default_factory=dict)
 
     def __post_init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[Element] = []
-        self.parts: list[str] = []
-        self.tags = self.links = self.link_chars = 0
+        self.parts: list[tuple[str, tuple[int, ...], bool]] = []
+        self.tags = self.links = 0
         self.numbers = 0
 
     def handle_starttag(self, tag, attrs):
@@ -106,34 +140,41 @@ class Lines(HTMLParser):
                 self.close_open({"p"}, barrier=BLOCKS)
             self.close_open(CLOSES.get(tag, set()), barrier={"ul", "ol", "dl", "table", "div"})
         elif tag == "br":
-            self.parts.append(" ")
+            self.parts.append((" ", (), False))
         self.tags += 1
         if tag in VOID:
             return
         self.links += tag == "a"
         parent = self.stack[-1] if self.stack else None
         inside = bool(parent and parent.inside_main) or tag in ("article", "main")
-        skipped = bool(parent and parent.skipped) or self.surrounds(tag, attrs, bool(parent and parent.inside_main))
+        skipped = bool(parent and parent.skipped) or self.skips(tag, attrs, bool(parent and parent.inside_main))
         self.numbers += 1
-        self.stack.append(Element(tag, self.numbers, skipped, inside))
-        if tag in CONTAINERS:
-            self.kinds[self.numbers] = tag
-            main = tag in ("article", "main") or dict(attrs).get("role") == "main"
-            main = main or dict(attrs).get("itemprop") == "articleBody"
-            if main and not skipped:
-                self.mains.add(self.numbers)
+        values = dict(attrs)
+        sure = tag == "main" or values.get("role") == "main" or values.get("itemprop") == "articleBody"
+        doubts = parent.doubts if parent else ()
+        if attrs and not skipped and not sure and tag not in ("html", "body"):
+            words = named(tag, values, bool(parent and parent.inside_main))
+            if words:
+                doubts = (*doubts, self.numbers)
+                self.doubtful[self.numbers] = not words.isdisjoint(OTHERS)
+        marked = sure or tag == "article"
+        self.stack.append(Element(tag, self.numbers, skipped, inside, marked or tag in CONTAINERS, doubts))
+        if marked and not skipped:
+            self.mains[self.numbers] = doubts
+            if sure:
+                self.sure.add(self.numbers)
 
     def handle_startendtag(self, tag, attrs):
         if tag in BLOCKS:
             self.flush()
         elif tag == "br":
-            self.parts.append(" ")
+            self.parts.append((" ", (), False))
         self.tags += 1
 
     def handle_endtag(self, tag):
         self.tags += 1
         if tag == "br":
-            self.parts.append(" ")
+            self.parts.append((" ", (), False))
         for at in range(len(self.stack) - 1, -1, -1):
             if self.stack[at].tag == tag:
                 if any(e.tag in BLOCKS for e in self.stack[at:]):
@@ -146,9 +187,7 @@ class Lines(HTMLParser):
     def handle_data(self, data):
         if self.stack and self.stack[-1].skipped:
             return
-        self.parts.append(data)
-        if self.links > 0:
-            self.link_chars += len(data)
+        self.parts.append((data, self.stack[-1].doubts if self.stack else (), self.links > 0))
 
     def close(self):
         super().close()
@@ -167,8 +206,8 @@ class Lines(HTMLParser):
             self.links -= element.tag == "a"
         del self.stack[at:]
 
-    def surrounds(self, tag, attrs, inside_main) -> bool:
-        """Whether an element is not part of an article."""
+    def skips(self, tag, attrs, inside_main) -> bool:
+        """Whether an element is no part of an article, whatever it is called."""
         if tag in SKIPPED or (tag == "header" and not inside_main):
             return True
         if tag in ("html", "body", "main") or not attrs:
@@ -176,21 +215,81 @@ class Lines(HTMLParser):
         values = {k: v or "" for k, v in attrs}
         if "hidden" in values or values.get("aria-hidden") == "true":
             return True
-        if _HIDDEN.search(values.get("style", "")) or values.get("role", "").lower() in ROLES:
-            return True
-        named = _WORDS.findall(f"{values.get('class', '')} {values.get('id', '')}")
-        words = {w.lower() for w in named} | {w.lower() for n in named for w in re.findall("[A-Z]?[a-z]+", n)}
-        if "header" in words and not inside_main and tag not in ("h1", "h2", "article"):
-            return True
-        return not words.isdisjoint(SURROUNDINGS)
+        return bool(_HIDDEN.search(values.get("style", ""))) or values.get("role", "").lower() in ROLES
 
     def flush(self):
-        text = " ".join("".join(self.parts).split())
-        if text:
-            path = tuple(e.number for e in self.stack if e.tag in CONTAINERS)
-            self.lines.append(Line(text, self.tags, self.link_chars, path))
+        if any(not text.isspace() for text, _, _ in self.parts if text):
+            path = tuple(e.number for e in self.stack if e.place)
+            self.blocks.append(Block(self.parts, self.tags, path))
             self.tags = 0
-        self.parts, self.link_chars = [], 0
+        self.parts = []
+
+    def surroundings(self) -> set[int]:
+        """The doubtful elements that are no part of the article.
+
+        An element is one in spite of its name if it holds a main element or most of
+        the clustered text, or articles with more text than all that is beyond doubt.
+        """
+        if not self.doubtful:
+            return set()
+        chosen = content(lines_of(self.blocks, set())).tolist()
+        mass, articles = dict.fromkeys(self.doubtful, 0), dict.fromkeys(self.doubtful, 0)
+        total = free = 0
+        marked = False
+        for block, is_content in zip(self.blocks, chosen, strict=True):
+            inside = [self.mains[n] for n in block.path if n in self.mains]
+            for text, doubts, link in block.parts:
+                size = len(" ".join(text.split()))
+                total += size * is_content
+                for number in doubts:
+                    mass[number] += size * is_content
+                if not doubts:
+                    free += size * (not link)
+                    marked = marked or bool(size and inside)
+                elif doubts in inside:
+                    for number in doubts:
+                        articles[number] += size * (not link)
+        kept = {n for main in self.sure for n in self.mains[main]}
+        for number, other in self.doubtful.items():
+            if mass[number] > (NEARLY_ALL if other else MOST) * total and not (other and marked):
+                kept.add(number)
+            elif not other and not marked and articles[number] and articles[number] >= free:
+                kept.add(number)
+        return self.doubtful.keys() - kept
+
+
+def named(tag: str, attrs: dict[str, str | None], inside_main: bool) -> set[str]:
+    """Words by which an element's class and id say that it surrounds an article.
+
+    A word counts as the whole name or its last part: ``page-sidebar`` is a sidebar,
+    ``has-sidebar`` and ``sidebar-open`` are not.
+    """
+    found = set()
+    for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
+        parts = [p for p in _PARTS.findall(name) if p.isalpha()]
+        whole = "".join(parts).lower() if len(parts) == 1 else ""
+        words = [w.lower() for p in parts for w in _CAMEL.findall(p)]
+        while len(words) > 1 and words[-1] in ENDINGS:
+            words.pop()
+        if WITHOUT.isdisjoint(words):
+            found.update(words[-1:], [whole])
+    wanted = OTHERS if tag == "article" else SURROUNDINGS if tag in GROUPS else SURROUNDINGS - TOPICS
+    header = {"header"} if not inside_main and tag not in ("h1", "h2", "article") else set()
+    return found & (wanted | header)
+
+
+def lines_of(blocks: list[Block], left_out: set[int]) -> list[Line]:
+    """Lines of the blocks without what lies in the elements ``left_out``."""
+    lines, tags = [], 0
+    for block in blocks:
+        tags += block.tags
+        parts = [part for part in block.parts if left_out.isdisjoint(part[1])]
+        text = " ".join("".join(part[0] for part in parts).split())
+        if text:
+            link_chars = sum(len(part[0]) for part in parts if part[2])
+            lines.append(Line(text, tags, link_chars, block.path))
+            tags = 0
+    return lines
 
 
 def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -216,7 +315,7 @@ def main_text(html: str) -> str:
     # A tag that the end of the page cuts off is no text.
     page.feed(html[:start] if _CUT_OFF.fullmatch(html, max(start, 0)) else html)
     page.close()
-    lines = page.lines
+    lines = lines_of(page.blocks, page.surroundings())
     if not lines:
         return ""
     chosen = content(lines)
@@ -232,7 +331,7 @@ def main_text(html: str) -> str:
         covering = [n for n, m in mass.items() if m >= COVER * total]
         region = {max(covering)} if covering else set()
     kept = [line for line in lines if not region or not region.isdisjoint(line.path)]
-    if page.mains.isdisjoint(region):
+    if region.isdisjoint(page.mains):
         # Without a marked article, lists of links in the region are menus.
         kept = [line for line in kept if line.link_chars < 0.7 * len(line.text)] or kept
     return "\n".join(line.text for line in kept)
