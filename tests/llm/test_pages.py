@@ -216,3 +216,34 @@ def test_other_texts_do_not_win_by_their_length():
     assert html_text.main_text(page) == f"T\n{LONG.strip()}"
     page = f"<div class=text><p>{LONG}</p></div><div class=related><article>Read on.</article></div>"
     assert html_text.main_text(page) == LONG.strip()
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (
+            f"<div><h1>T</h1><p>{'a' * 100}</p><blockquote><p>{'b' * 1000}</p></blockquote></div>",
+            f"T\n{'a' * 100}\n{'b' * 1000}",
+        ),
+        (
+            f"<div><h1>T</h1><p>{'a' * 200}</p><section><p>{'b' * 1000}</p></section><p>End.</p></div>",
+            f"T\n{'a' * 200}\n{'b' * 1000}\nEnd.",
+        ),
+        (
+            f"<table><tr><td><p>{'a' * 150}</p></td><td><p>{'b' * 1000}</p></td></tr></table>",
+            f"{'a' * 150}\n{'b' * 1000}",
+        ),
+        (
+            f"<div><h1><a href=x>Title</a></h1><p><a href=y>One link.</a></p><p>{'a' * 300}</p>"
+            "<ul><li><a href=1>Home</a><li><a href=2>News</a></ul></div>",
+            f"Title\nOne link.\n{'a' * 300}",
+        ),
+        (
+            f"<article><h1>S</h1><p>o</p><p>r</p><p>t</p></article>{'<br>' * 9}"
+            f"<p></p><p></p><p></p><div>a</div><div>b</div><div>c</div><div>{'d' * 1000}</div>",
+            "S\no\nr\nt",
+        ),
+    ],
+)
+def test_the_region_holds_the_whole_article(page, text):
+    assert html_text.main_text(page) == text

@@ -3,8 +3,9 @@
 The parser of the standard library streams events; they become lines, one for each
 block of the page, with their text, tags and place.  The ratio of text to tags is
 smoothed along the page with a Gaussian and lines above a threshold are clustered;
-the clusters choose the content region, the container that holds them, and all of
-the region's blocks make the text.
+the clusters choose the content region, the smallest container that holds them all,
+and all of the region's blocks make the text.  Elements that a page marks as its article
+are the region whatever their ratio.
 """
 
 from __future__ import annotations
@@ -70,13 +71,16 @@ ROLES = frozenset(
     "navigation banner contentinfo complementary search form alert alertdialog dialog menu "
     "menubar toolbar".split()
 )
+ITEMS = frozenset("li dt dd".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("article main section div td body blockquote center".split())
 
 SIGMA = 1.0
 #: Share of the deviation of the smoothed ratios that a content line is above.
 THRESHOLD = 0.5
-#: Share of the clustered text that the content region holds.
-COVER = 0.8
+#: A line whose text is by so much in links, and so short, is an entry of a menu if it
+#: stands in a list beside another one.
+LINKED, ENTRY_CHARS = 0.7, 80
 #: Share of the clustered text above which an element is content whatever its name says;
 #: the second one is for names of :data:`OTHERS`.
 MOST, NEARLY_ALL = 0.5, 0.9
@@ -93,6 +97,7 @@ class Line:
     tags: int
     link_chars: int
     path: tuple[int, ...]
+    listed: bool = False
 
 
 @dataclass
@@ -102,6 +107,7 @@ class Block:
     parts: list[tuple[str, tuple[int, ...], bool]]
     tags: int
     path: tuple[int, ...]
+    listed: bool
 
 
 @dataclass
@@ -220,7 +226,9 @@ class Lines(HTMLParser):
     def flush(self):
         if any(not text.isspace() for text, _, _ in self.parts if text):
             path = tuple(e.number for e in self.stack if e.place)
-            self.blocks.append(Block(self.parts, self.tags, path))
+            tags = {e.tag for e in self.stack}
+            listed = not tags.isdisjoint(ITEMS) and tags.isdisjoint(HEADINGS)
+            self.blocks.append(Block(self.parts, self.tags, path, listed))
             self.tags = 0
         self.parts = []
 
@@ -287,7 +295,7 @@ def lines_of(blocks: list[Block], left_out: set[int]) -> list[Line]:
         text = " ".join("".join(part[0] for part in parts).split())
         if text:
             link_chars = sum(len(part[0]) for part in parts if part[2])
-            lines.append(Line(text, tags, link_chars, block.path))
+            lines.append(Line(text, tags, link_chars, block.path, block.listed))
             tags = 0
     return lines
 
@@ -318,23 +326,41 @@ def main_text(html: str) -> str:
     lines = lines_of(page.blocks, page.surroundings())
     if not lines:
         return ""
-    chosen = content(lines)
-    mass: dict[int, int] = {}
-    total = 0
-    for line, is_content in zip(lines, chosen.tolist(), strict=True):
-        if is_content:
-            total += len(line.text)
-            for number in line.path:
-                mass[number] = mass.get(number, 0) + len(line.text)
-    region = {n for n in page.mains if mass.get(n)}
-    if not region:
-        covering = [n for n, m in mass.items() if m >= COVER * total]
-        region = {max(covering)} if covering else set()
-    kept = [line for line in lines if not region or not region.isdisjoint(line.path)]
-    if region.isdisjoint(page.mains):
-        # Without a marked article, lists of links in the region are menus.
-        kept = [line for line in kept if line.link_chars < 0.7 * len(line.text)] or kept
-    return "\n".join(line.text for line in kept)
+    texts = [line.text for line in lines]
+    marked = [not page.mains.keys().isdisjoint(line.path) for line in lines]
+    if any(marked):
+        return "\n".join(t for t, inside in zip(texts, marked, strict=True) if inside)
+    # Without a marked article, runs of links in lists are menus.
+    menus = menu_lines(lines)
+    region: tuple[int, ...] | None = None
+    for line, is_content, is_menu in zip(lines, content(lines).tolist(), menus, strict=True):
+        if is_content and not is_menu:
+            region = line.path if region is None else common(region, line.path)
+    depth = len(region or ())
+    kept = [
+        line.text
+        for line, is_menu in zip(lines, menus, strict=True)
+        if line.path[:depth] == (region or ()) and not is_menu
+    ]
+    return "\n".join(kept or texts)
+
+
+def common(a: tuple[int, ...], b: tuple[int, ...]) -> tuple[int, ...]:
+    """Containers that both paths go through."""
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    return a[:n]
+
+
+def menu_lines(lines: list[Line]) -> list[bool]:
+    """Which lines are entries of a menu: short links in list items, two or more in a run."""
+    links = [
+        line.listed and len(line.text) <= ENTRY_CHARS and line.link_chars >= LINKED * len(line.text)
+        for line in lines
+    ]
+    beside = zip([False, *links], links, [*links[1:], False], strict=False)
+    return [link and (before or after) for before, link, after in beside]
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
@@ -343,7 +369,8 @@ def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFra
     Character references are decoded, white space inside a block becomes one space,
     blocks are joined in page order by one line end.  Menus, headers, footers,
     sidebars, notices, adverts, forms, scripts, styles and comments are left out; of
-    the content region nothing is.  A null or empty page and one without text give
+    the content region only runs of short links in lists are, and of an article that the
+    page marks nothing.  A null or empty page and one without text give
     an empty text.  All columns and repeated rows stay.
     """
 
