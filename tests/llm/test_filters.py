@@ -72,6 +72,24 @@ def test_code_switched_text():
     assert 0.5 < scores[2] < 0.8 and scores[3] == scores[4] == 0
 
 
+def test_long_runs_count_whole():
+    for run in ("a" * 24, "ab" * 12 + "c", "abcdefg" * 700, "\u4f60\u597d" * 500):
+        pieces = langid.letters_of(run)
+        assert "".join(pieces) == run and max(map(len, pieces)) <= langid.WORD_CHARS
+        assert langid.letters_of(f"1{run},x") == [*pieces, "x"]
+    english = "the dog and the house with another thing that was there " * 4
+    french = "le chien et la maison avec une autre chose qui est ici " * 4
+    model = langid.fit([english, french], ["en", "fr"])
+    joined = "".join(french.split())
+    # French but for its first and last letters; and one run that outweighs English words.
+    names, scores = langid.label_texts(
+        ["thethingthat" + joined * 20 + "anotherthing", english + joined * 20],
+        model,
+        langid.Memo(model.chunk_scores),
+    )
+    assert names == ["fr", "fr"] and (scores > 0.6).all()
+
+
 def test_op4_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF2}/documents.parquet")
     lang = {r.doc_id: r.lang for r in docs.collect()}

@@ -32,7 +32,7 @@ SAMPLE_DOCUMENTS = 600
 BUCKETS = 1 << 16
 #: Words of the training sample that get a weight of their own.
 LEXICON_WORDS = 4_000
-#: A longer word is seen by its first and last characters.
+#: A longer run of letters is as many words as pieces of at most so many letters need.
 WORD_CHARS = 24
 #: Learned stretches of one language within a training sequence, in words.
 STRETCH = 12
@@ -44,27 +44,35 @@ WINDOW = 2_048
 #: shrinks by a factor below 0.95 with each word, so it is nil in single precision.
 MARGIN = 320
 SLICE_CHARS = 8_000_000
+#: Words whose features are held at a time.
+BLOCK_WORDS = 1 << 16
 
 
 _RUNS = re.compile(r"[^\W\d_]+")
 
 
 # -- words and features ----------------------------------------------------
+def pieces_of(run: str) -> list[str]:
+    """A letter run in the fewest pieces of at most ``WORD_CHARS`` letters, nearly equal ones."""
+    n, size = -(-len(run) // WORD_CHARS), len(run)
+    return [run[i * size // n : (i + 1) * size // n] for i in range(n)]
+
+
 def letters_of(chunk: str) -> list[str]:
-    """Letter runs of a chunk without white space."""
+    """Letter runs of a chunk without white space, long ones in pieces."""
     if chunk.isalpha():
-        return [chunk]
+        return [chunk] if len(chunk) <= WORD_CHARS else pieces_of(chunk)
     found = _RUNS.findall(chunk)
-    if all(map(str.isalpha, found)):
+    if not all(map(str.isalpha, found)):
+        found = "".join(c if c.isalpha() else " " for c in chunk).split()
+    if len(chunk) <= WORD_CHARS:
         return found
-    return "".join(c if c.isalpha() else " " for c in chunk).split()
+    return [piece for run in found for piece in pieces_of(run)]
 
 
 def shape(words: Sequence[str]) -> np.ndarray:
     """Code points of words, one row each, between a start and an end mark."""
-    half = WORD_CHARS // 2
-    short = [w if len(w) <= WORD_CHARS else w[:half] + w[-half:] for w in words]
-    marked = np.array([f"\x02{w}\x03" for w in short], f"U{WORD_CHARS + 2}")
+    marked = np.array([f"\x02{w}\x03" for w in words], f"U{WORD_CHARS + 2}")
     return marked.view(np.uint32).reshape(len(words), WORD_CHARS + 2).astype(np.int64)
 
 
@@ -182,8 +190,10 @@ class Model:
         if not words:
             return np.zeros((0, len(self.labels)), np.float32)
         scores = np.zeros((len(words), len(self.labels)), np.float32)
-        for column in features(words, self.lexicon).T:
-            scores += self.weights[column]
+        for at in range(0, len(words), BLOCK_WORDS):
+            part = scores[at : at + BLOCK_WORDS]
+            for column in features(words[at : at + BLOCK_WORDS], self.lexicon).T:
+                part += self.weights[column]
         return scores
 
     def chunk_scores(self, chunks: Sequence[str]) -> list[bytes]:
@@ -337,7 +347,7 @@ def predict(
 ) -> DataFrame:
     """``docs`` with the predicted label and its score, the mean probability of its words.
 
-    Words are lower-cased letter runs of the whole text.  A null text and one without
+    Words are lower-cased letter runs of the whole text, or the pieces of long ones.  A null text and one without
     a letter get ``und`` and score 0, as does every text if the model knows no label;
     ties go to the label that sorts first.  All columns and repeated rows stay.
     """
