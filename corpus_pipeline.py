@@ -27,8 +27,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest identifier of each near-duplicate group."""
-    return simhash.keep_first(docs, shingle=4, max_bits=4)
+    """One row of each near-duplicate group, that with the smallest identifier."""
+    return simhash.keep_first(docs, shingle=4, max_bits=4, repeats=False)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 import xxhash
 from samples import SF, docs, no_docs, odd_docs  # noqa: F401
 
+import corpus_pipeline
 from textlode.llm import simhash
 from textlode.llm.components import components
 from textlode.llm.queries import op3_simhash_near_dedup
@@ -129,6 +130,26 @@ def test_keep_first_keeps_columns_and_one_of_each_group(odd_docs, no_docs):
     assert simhash.keep_first(no_docs).collect() == []
 
 
+def test_rows_decide_which_document_stays(spark):
+    a, b, c = "one two three four five six", "Some other text of a few words", "a third one, quite unlike"
+    rows = [(5, a, "x"), (5, b, "x"), (3, b.lower(), "x"), (9, c, "x"), (9, c, "x"), (None, c, "x"),
+            (None, "nobody's own text", "x"), (None, "nobody's own text", "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    want = [(3, b.lower(), "x"), (5, a, "x"), (9, c, "x"), (None, "nobody's own text", "x")]
+    kept = simhash.keep_first(frame, repeats=False)
+    assert kept.columns == frame.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
+    repeated = simhash.keep_first(frame).collect()
+    assert sorted(map(tuple, repeated), key=str) == sorted([*want, (9, c, "x")], key=str)
+
+
+def test_the_stage_keeps_one_row_of_a_repeated_document(spark, odd_docs, no_docs):
+    kept = corpus_pipeline.deduplicated(spark, odd_docs.union(odd_docs), SF).collect()
+    ids = sorted((r.doc_id for r in kept), key=lambda i: (i is None, i))
+    assert ids == [0, 1, 4, 6, 7, 8, 9, None]
+    assert corpus_pipeline.deduplicated(spark, no_docs, SF).collect() == []
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(7, 7)]

@@ -274,14 +274,36 @@ def keep_first(
     text: str = "text",
     shingle: int = 4,
     max_bits: int = MAX_BITS,
+    repeats: bool = True,
 ) -> DataFrame:
-    """Rows of ``docs`` with the smallest identifier of their component; all columns.
+    """One row of ``docs`` for each component, the one with the smallest identifier; all columns.
 
-    Repeated rows of that identifier are kept; rows without an identifier go only if
-    their component has a document with one.
+    Rows decide, not identifiers: of one identifier with two texts, each counts in its
+    own component.  Rows without an identifier come last, so one is kept only if its
+    component has no row with one.  ``repeats`` also keeps the other rows with both the
+    identifier and the fingerprint of the kept one.
     """
-    found = near_duplicates(docs, doc_id, text, shingle, max_bits)
-    key = fresh(docs, "component")
-    dropped = found.where("doc_id IS NOT NULL AND doc_id <> component_id")
-    dropped = dropped.select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(dropped, docs[doc_id] == dropped[key], "left_anti")
+    row, fp = fresh(docs, "row"), fresh(docs, "fp")
+    # The numbers of rows hold only once they are stored.
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    rows = stored(fingerprints(numbered, text, fp, shingle), "rows")
+    keyed = rows.select(
+        F.col(fp).alias("fp"),
+        F.struct(
+            F.col(doc_id).isNull().alias("unnamed"),
+            F.col(doc_id).alias("doc_id"),
+            F.col(fp).alias("fp"),
+            F.col(row).alias("row"),
+        ).alias("key"),
+    )
+    single = stored(keyed.groupBy("fp").agg(F.min("key").alias("key")), "distinct")
+    roots = link_groups(single.select("fp"), max_bits)
+    first = single.join(roots, "fp").groupBy("root").agg(F.min("key").alias("key"))
+    first = first.select("key.*").toDF("unnamed", "first_id", "first_fp", "first_row")
+    first = stored(first, "first").toDF(*(fresh(rows, c) for c in first.columns))
+    _, first_id, first_fp, first_row = (first[c] for c in first.columns)
+    kept = rows.join(first, rows[row] == first_row, "left_semi")
+    if repeats:
+        again = (rows[doc_id] == first_id) & (rows[fp] == first_fp)
+        kept = kept.where(F.col(doc_id).isNull()).union(rows.join(first, again, "left_semi"))
+    return kept.select(*docs.columns)
