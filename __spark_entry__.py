@@ -422,8 +422,9 @@ def index_rebuild(spark, sf_dir):
     """An index built in two calls over one folder holds both halves."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     path = new_folder(spark, "index")
+    side = F.coalesce(F.pmod("doc_id", F.lit(2)), F.lit(0))
     for half in (0, 1):
-        tables = write_index(spark, docs.where(F.col("doc_id") % 2 == half), path, Analyzer())
+        tables = write_index(spark, docs.where(side == half), path, Analyzer())
     return token_sums(tables).select(
         "*",
         F.lit(tables.n_docs("float")).cast("long").alias("n_docs"),
@@ -510,8 +511,9 @@ def compact_index(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     keyed = docs.select(F.concat_ws("/", "source", "doc_id").alias("doc_id"), "text", "lang")
     path = new_folder(spark, "index")
+    in_english = F.coalesce(F.col("lang") == "en", F.lit(False))
     for english in (True, False):
-        part = keyed.where((F.col("lang") == "en") == english).select("doc_id", "text")
+        part = keyed.where(in_english == english).select("doc_id", "text")
         tables = write_index(spark, part, path, Analyzer())
     return token_sums(tables.compact(new_folder(spark, "compact")))
 

@@ -44,3 +44,16 @@ def test_query_equals_sql(spark, duck, name):
     columns = [c[0] for c in result.description]
     assert sorted(columns) == sorted(df.columns)
     assert rows_of(df.columns, df.collect()) == rows_of(columns, result.fetchall())
+
+
+def test_batches_of_an_index_hold_every_document(spark, tmp_path):
+    rows = [(1, "alpha beta", "en"), (-3, "alpha gamma", None), (2, "alpha", "de"), (-4, "beta", None)]
+    rows += [(None, "alpha delta", "fr")]
+    frame = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, lang string, source string")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    for query in ("compact_index", "index_rebuild"):
+        found = {r.token: r for r in entry.queries()[query](spark, str(tmp_path)).collect()}
+        assert {t: found[t].df for t in ("ALPHA", "BETA", "GAMMA", "DELTA")} == {
+            "ALPHA": 4, "BETA": 2, "GAMMA": 1, "DELTA": 1
+        }
+    assert found["ALPHA"].n_docs == 5
