@@ -10,7 +10,19 @@ from pyspark.sql import functions as F
 
 from textlode.sources.tables import read_table
 
-from . import ann, bpe, html_text, langid, mixing, quality, simhash, sketch, warc, wavelet
+from . import (
+    ann,
+    bpe,
+    html_text,
+    langid,
+    mixing,
+    quality,
+    sharding,
+    simhash,
+    sketch,
+    warc,
+    wavelet,
+)
 from .common import remainder
 
 #: Vocabulary file that the token operators use; a parameter of theirs.
@@ -80,6 +92,10 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.document_shards(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op1_html_extraction,
     op2_warc,
@@ -91,6 +107,7 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op8_quality_classifier,
     op9_bpe,
     op10_nearest_neighbours,
+    op12_sharding,
 )
 
 OP2_SQL = f"""
@@ -135,6 +152,42 @@ SELECT doc_id, source, unnest(range(1, n::BIGINT + 1)) AS copy, round(rate, 6) A
 WHERE n > 0
 """
 
+#: CRC-32 of a string column, by a table that its polynomial gives.
+CRC_TABLE = """SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc"""
+
+
+def crc_sql(text: str) -> str:
+    """CRC-32 of the UTF-8 bytes of an SQL expression; ``crc`` is the column of the table."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
+    return (
+        f"xor(list_reduce(list_prepend(4294967295, {octets}), "
+        "lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295)"
+    )
+
+
+OP12_SQL = f"""
+WITH RECURSIVE t AS ({CRC_TABLE}),
+d AS (
+  SELECT doc_id, coalesce(strlen(text), 0) + 1 AS size, {crc_sql("coalesce(text, '')")} AS text_crc32,
+    row_number() OVER (ORDER BY doc_id NULLS FIRST, md5(text) NULLS FIRST) - 1 AS x,
+    count(*) OVER () AS n FROM documents, t),
+s AS (SELECT *, ceil(sqrt(n))::BIGINT AS a FROM d),
+b AS (SELECT *, (n + a - 1) // a AS b FROM s),
+w AS (
+  SELECT x, n, a, b, x % a AS l, x // a AS r, 0 AS j FROM b
+  UNION ALL
+  SELECT x, n, a, b,
+    CASE WHEN j % 2 = 0 THEN (l + ('0x' || md5('{sharding.SEED}:' || j % {sharding.ROUNDS} || ':' || r)[1:13])::BIGINT) % a
+      ELSE l END,
+    CASE WHEN j % 2 = 1 THEN (r + ('0x' || md5('{sharding.SEED}:' || j % {sharding.ROUNDS} || ':' || l)[1:13])::BIGINT) % b
+      ELSE r END, j + 1
+  FROM w WHERE j = 0 OR j % {sharding.ROUNDS} <> 0 OR r * a + l >= n),
+p AS (SELECT x, r * a + l AS p FROM w WHERE j > 0 AND j % {sharding.ROUNDS} = 0 AND r * a + l < n)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (p % {sharding.SHARDS})::INT AS shard,
+  p // {sharding.SHARDS} AS slot, NULL::INT AS grown_shard FROM b JOIN p USING (x)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op5_mixing_sources": OP5_SQL}
+    return {"op2_warc": OP2_SQL, "op5_mixing_sources": OP5_SQL, "op12_sharding": OP12_SQL}
