@@ -20,6 +20,7 @@ from . import (
     sharding,
     simhash,
     sketch,
+    spelling,
     warc,
     wavelet,
 )
@@ -92,6 +93,10 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.document_variants(read_table(spark, sf_dir, "documents"))
+
+
 def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.document_shards(read_table(spark, sf_dir, "documents"))
 
@@ -107,6 +112,7 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op8_quality_classifier,
     op9_bpe,
     op10_nearest_neighbours,
+    op11_spelling_variants,
     op12_sharding,
 )
 
@@ -166,6 +172,41 @@ def crc_sql(text: str) -> str:
     )
 
 
+OP11_SQL = f"""
+WITH RECURSIVE t AS ({CRC_TABLE}),
+r AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS w FROM documents),
+c AS (SELECT doc_id, w, count(*) AS k FROM r WHERE length(w) >= {spelling.LEAST_LETTERS} GROUP BY ALL),
+h AS (SELECT w, k, {crc_sql("coalesce(doc_id::VARCHAR, '') || ':' || w")} AS h FROM c, t),
+e AS (
+  SELECT CASE WHEN h % {spelling.EDIT_EVERY} = 0
+    THEN substring(w, 1, (h % length(w))::INT) || substring(w, (h % length(w))::INT + 2) ELSE w END AS word, k
+  FROM h),
+words AS (
+  SELECT word, sum(k)::BIGINT AS n FROM e WHERE length(word) >= {spelling.LEAST_LETTERS}
+  GROUP BY word HAVING sum(k) >= {spelling.LEAST_COUNT}),
+i AS (SELECT word, n, unnest(range(length(word))) AS i FROM words),
+v AS (SELECT word, n, i, substring(word, 1, i::INT) || substring(word, i::INT + 2) AS cut FROM i),
+d AS (SELECT DISTINCT v.word AS long, v.n AS long_n, w.word AS short, w.n AS short_n
+  FROM v JOIN words w ON v.cut = w.word),
+pairs AS (
+  SELECT long AS word, short AS near, short_n AS near_n FROM d
+  UNION ALL SELECT short, long, long_n FROM d
+  UNION ALL SELECT x.word, y.word, y.n FROM v x JOIN v y ON x.i = y.i AND x.cut = y.cut AND x.word <> y.word),
+best AS (
+  SELECT word, count(*) AS n_near, min(struct_pack(n := -near_n, w := encode(near))) AS b FROM pairs GROUP BY word),
+f AS (
+  SELECT w.word, n, coalesce(n_near, 0) AS n_near,
+    CASE WHEN -b.n >= {spelling.OUTNUMBERS} * n THEN decode(b.w) END AS form,
+    CASE WHEN -b.n >= {spelling.OUTNUMBERS} * n THEN -b.n END AS form_n
+  FROM words w LEFT JOIN best USING (word)),
+g AS (
+  SELECT word, word AS root, form AS onward FROM f
+  UNION ALL SELECT g.word, f.word, f.form FROM g JOIN f ON g.onward = f.word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN g ON f.word = g.word AND g.onward IS NULL
+"""
+
 OP12_SQL = f"""
 WITH RECURSIVE t AS ({CRC_TABLE}),
 d AS (
@@ -190,4 +231,9 @@ SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (p % {sharding.S
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op5_mixing_sources": OP5_SQL, "op12_sharding": OP12_SQL}
+    return {
+        "op2_warc": OP2_SQL,
+        "op5_mixing_sources": OP5_SQL,
+        "op11_spelling_variants": OP11_SQL,
+        "op12_sharding": OP12_SQL,
+    }

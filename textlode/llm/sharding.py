@@ -173,12 +173,13 @@ def sharded(
 def write_shards(rows: DataFrame, path: str, shard: str = "shard", slot: str = "slot") -> None:
     """Rows of :func:`sharded` as Parquet folders ``shard=K``, each file in order of slots.
 
-    A file holds ``FILE_ROWS`` consecutive slots, so no task holds a whole shard.
+    Runs of ``FILE_ROWS`` slots are dealt to tasks, and a file holds so many rows at most, so
+    no task or file holds a whole shard.
     """
     file = fresh(rows, "file")
     dealt = rows.withColumn(file, F.call_function("div", F.col(slot), F.lit(FILE_ROWS)))
     dealt = dealt.repartition(shard, file).sortWithinPartitions(shard, slot).drop(file)
-    dealt.write.partitionBy(shard).parquet(path)
+    dealt.write.option("maxRecordsPerFile", FILE_ROWS).partitionBy(shard).parquet(path)
 
 
 def document_shards(
