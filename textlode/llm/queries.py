@@ -13,6 +13,7 @@ from textlode.sources.tables import read_table
 from . import (
     ann,
     bpe,
+    collocation,
     html_text,
     langid,
     mixing,
@@ -101,6 +102,10 @@ def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.document_shards(read_table(spark, sf_dir, "documents"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op1_html_extraction,
     op2_warc,
@@ -114,6 +119,7 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op10_nearest_neighbours,
     op11_spelling_variants,
     op12_sharding,
+    op13_phrase_collocations,
 )
 
 OP2_SQL = f"""
@@ -230,10 +236,42 @@ SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (p % {sharding.S
 """
 
 
+OP13_SQL = f"""
+WITH x AS (
+  SELECT coalesce(lang, '{collocation.NO_LANGUAGE}') AS lang, unnest(regexp_split_to_array(translate(
+    coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM x),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS ids
+  FROM p, range(1, {collocation.MOST_WORDS + 1}) t(k) WHERE len(w) >= k),
+f AS (SELECT lang, ids, k, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= {collocation.LEAST_COUNT}),
+c AS (SELECT lang, ids, k, f AS a, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+s AS (
+  SELECT c.lang, c.ids, c.k, a, cut, l.f AS l, r.f AS r, n.n,
+    ((1000::HUGEINT * a * n.n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM c JOIN n ON c.lang = n.lang
+    JOIN f l ON l.lang = c.lang AND l.ids = c.ids[1:cut]
+    JOIN f r ON r.lang = c.lang AND r.ids = c.ids[cut + 1:c.k]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, ids ORDER BY score, cut) = 1),
+i AS (
+  SELECT lang, unnest([ids[1:k - 1], ids[2:k]]) AS ids, f FROM f WHERE k > 2),
+m AS (SELECT lang, ids, max(f) AS f FROM i GROUP BY ALL),
+z AS (
+  SELECT b.lang, array_to_string(b.ids, ' ') AS phrase, a, l, r, n, score
+  FROM b LEFT JOIN m ON b.lang = m.lang AND b.ids = m.ids WHERE m.f IS NULL OR m.f < a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank,
+  phrase, a, l, r, n, score
+FROM z QUALIFY rank <= {collocation.TOP}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_warc": OP2_SQL,
         "op5_mixing_sources": OP5_SQL,
         "op11_spelling_variants": OP11_SQL,
         "op12_sharding": OP12_SQL,
+        "op13_phrase_collocations": OP13_SQL,
     }
