@@ -6,6 +6,12 @@ broadcast; numpy moves the states of all text positions one word further at a ti
 the accepting states, and notes which accepted phrases are followed by a word that may make
 a frequent phrase of k + 1 words (its first k and its last k words must be frequent: Apriori).
 Spark sums the counts of all shards of the text.
+
+A pair's counts are summed whole, so tries hold frequent pairs only.  Of longer phrases a
+shard sends those that it has often enough: of ``least`` occurrences in m shards one shard has
+least / m or more (Savasere et al., 1995).  What a shard did not send it has less often, so
+the sum has an upper bound; a phrase is a candidate if that reaches ``least``, and the next
+level's pass counts it exactly.
 """
 
 from __future__ import annotations
@@ -41,7 +47,7 @@ ENDS = 1 << 24
 TRIES = 64
 #: Positions of one stored row, and keys that a task counts at a time.
 CHUNK = 1 << 18
-HELD_KEYS = 1 << 22
+HELD_KEYS = 1 << 23
 HELD_WORDS = 300_000
 PIECE_BYTES = 4_000_000
 #: Parts that a language's phrases are ranked in first.
@@ -291,12 +297,13 @@ def end_places(columns: Sequence[np.ndarray], size: int) -> np.ndarray:
     return (h & np.uint64(size - 1)).astype(np.int64)
 
 
-def advanced(texts: DataFrame, trie, ends, extend: bool) -> DataFrame:
-    """(w1 ... wk, next, n) of each task: occurrences of the trie's phrases.
+def advanced(texts: DataFrame, trie, ends, extend: bool, local: int = 1) -> DataFrame:
+    """(w1 ... wk, next, n) of each shard: occurrences of the trie's phrases.
 
     ``next`` is 0 for all occurrences of a phrase; another is a word behind it that may make
     a frequent phrase: the phrase without its first word, with ``next``, has its place in
-    ``ends``.
+    ``ends``.  Such rows are sent from ``local`` occurrences in a shard on.  A task is a shard,
+    or several if it has more than ``HELD_KEYS`` of them.
     """
     depth = trie.value.phrases.shape[1]
     names = [*(f"w{i + 1}" for i in range(depth)), "next", "n"]
@@ -305,41 +312,41 @@ def advanced(texts: DataFrame, trie, ends, extend: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, table = trie.value, ends.value if extend else None
         unpack = zstandard.ZstdDecompressor().decompress
-        found, keys = [], []
+        counts = np.zeros(len(tree.phrases), np.int64)
+        keys: list[np.ndarray] = []
+        held = 0
 
         def rows(at: np.ndarray, following: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             columns = [*tree.phrases[at].T, following.astype(np.int32)]
             made = [pa.array(np.ascontiguousarray(c)) for c in columns]
             return pa.RecordBatch.from_arrays([*made, pa.array(n)], names=names)
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if found:
-                n = np.bincount(np.concatenate(found), minlength=len(tree.phrases))
-                at = np.flatnonzero(n)
-                yield rows(at, np.zeros(len(at)), n[at])
-            if keys:
-                key, n = np.unique(np.concatenate(keys), return_counts=True)
-                yield rows(key >> 32, key & 0xFFFFFFFF, n)
-            found.clear()
+        def flush() -> pa.RecordBatch:
+            key, n = np.unique(np.concatenate(keys), return_counts=True)
             keys.clear()
+            key, n = key[n >= local], n[n >= local]
+            return rows(key >> 32, key & 0xFFFFFFFF, n)
 
-        held = 0
         for batch in batches:
             for packed, starts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = np.frombuffer(unpack(packed), np.int32)
                 at, row = tree.accepted(ids, starts)
-                found.append(row)
-                if extend:
-                    following = ids[at + depth]
-                    ok = following > 0
-                    at, row, following = at[ok], row[ok], following[ok]
-                    ok = table[end_places([ids[at + i] for i in range(1, depth + 1)], len(table))]
-                    keys.append(row[ok].astype(np.int64) << 32 | following[ok])
-                held += starts
+                counts += np.bincount(row, minlength=len(counts))
+                if not extend:
+                    continue
+                following = ids[at + depth]
+                ok = following > 0
+                at, row, following = at[ok], row[ok], following[ok]
+                ok = table[end_places([ids[at + i] for i in range(1, depth + 1)], len(table))]
+                keys.append(row[ok].astype(np.int64) << 32 | following[ok])
+                held += len(keys[-1])
                 if held >= most_held:
-                    yield from flush()
+                    yield flush()
                     held = 0
-        yield from flush()
+        if keys:
+            yield flush()
+        at = np.flatnonzero(counts)
+        yield rows(at, np.zeros(len(at)), counts[at])
 
     fields = ", ".join(f"{name} int" for name in names[:-1])
     return texts.select("ids", "starts").mapInArrow(run, f"{fields}, n long")
@@ -350,6 +357,9 @@ def phrase_counts(
 ) -> DataFrame:
     """(ids, f): frequent phrases of 1 to ``most`` words as arrays of numbers."""
     level = words.select((F.col("id") + 1).cast("int").alias("w1"))
+    positions = texts.agg(F.sum("starts")).head()[0] or 0
+    # At least as many as there are; a task that holds HELD_KEYS of them sends a shard.
+    shards_of_text = texts.rdd.getNumPartitions() + positions // HELD_KEYS
     counted: list[DataFrame] = []
     for k in range(1, most + 1):
         names = [f"w{i + 1}" for i in range(k)]
@@ -366,11 +376,18 @@ def phrase_counts(
                 ends[end_places(phrases.T, ENDS)] = True
                 tries.append(spark.sparkContext.broadcast(DoubleArray(phrases)))
         table = spark.sparkContext.broadcast(ends)
-        passes = [advanced(texts, trie, table, k < most) for trie in tries]
-        summed = reduce(DataFrame.unionByName, passes).groupBy(*names, "next").agg(F.sum("n").alias("f"))
-        found = stored(summed.where(F.col("f") >= least), f"phrases{k}")
-        counted.append(found.where("next = 0").select(F.array(*names).alias("ids"), "f"))
+        local = -(-least // max(1, shards_of_text)) if k > 1 else 1
+        passes = [advanced(texts, trie, table, k < most, local) for trie in tries]
+        summed = reduce(DataFrame.unionByName, passes).groupBy(*names, "next").agg(
+            F.sum("n").alias("f"), F.count(F.lit(1)).alias("sent")
+        )
+        unsent = F.when(F.col("next") > 0, (shards_of_text - F.col("sent")) * (local - 1)).otherwise(0)
+        found = stored(summed.where(F.col("f") + unsent >= least), f"phrases{k}")
+        own = found.where("next = 0")
+        counted.append(own.select(F.array(*names).alias("ids"), "f"))
         level = found.where("next > 0").select(*names, F.col("next").alias(f"w{k + 1}"))
+        if k > 2:  # before, all phrases of the tries are frequent
+            level = join_lookup(level, own.select(*names), names, "left_semi")
         for trie in (*tries, table):
             trie.unpersist()
     if not counted:
