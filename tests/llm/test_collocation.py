@@ -74,7 +74,7 @@ def test_collocations_equal_brute_force(spark, least, most, top):
 
 def test_many_tries_dictionaries_and_chunks(spark, monkeypatch):
     for name, value in (("TRIE_PHRASES", 9), ("DICTIONARY_WORDS", 7), ("CHUNK", 16),
-                        ("HELD_KEYS", 50), ("ENDS", 4)):
+                        ("HELD_KEYS", 50), ("ENDS", 4), ("BLOCKS", 3)):
         monkeypatch.setattr(collocation, name, value)
     rows = invented(2, 30)
     docs = spark.createDataFrame(rows, "lang string, text string")

@@ -6,12 +6,8 @@ broadcast; numpy moves the states of all text positions one word further at a ti
 the accepting states, and notes which accepted phrases are followed by a word that may make
 a frequent phrase of k + 1 words (its first k and its last k words must be frequent: Apriori).
 Spark sums the counts of all shards of the text.
-
-A pair's counts are summed whole, so tries hold frequent pairs only.  Of longer phrases a
-shard sends those that it has often enough: of ``least`` occurrences in m shards one shard has
-least / m or more (Savasere et al., 1995).  What a shard did not send it has less often, so
-the sum has an upper bound; a phrase is a candidate if that reaches ``least``, and the next
-level's pass counts it exactly.
+Counts travel as sorted arrays, one for each shard of the text and block of keys, so Spark
+shuffles few large rows.
 """
 
 from __future__ import annotations
@@ -45,9 +41,12 @@ DICTIONARY_WORDS = 1_000_000
 ENDS = 1 << 24
 #: Places for a node's children that are tried at a time.
 TRIES = 64
+#: Least number of blocks of keys, and positions of text for each block.
+BLOCKS = 256
+BLOCK_POSITIONS = 1 << 22
 #: Positions of one stored row, and keys that a task counts at a time.
 CHUNK = 1 << 18
-HELD_KEYS = 1 << 23
+HELD_KEYS = 1 << 22
 HELD_WORDS = 300_000
 PIECE_BYTES = 4_000_000
 #: Parts that a language's phrases are ranked in first.
@@ -297,59 +296,95 @@ def end_places(columns: Sequence[np.ndarray], size: int) -> np.ndarray:
     return (h & np.uint64(size - 1)).astype(np.int64)
 
 
-def advanced(texts: DataFrame, trie, ends, extend: bool, local: int = 1) -> DataFrame:
-    """(w1 ... wk, next, n) of each shard: occurrences of the trie's phrases.
+def advanced(texts: DataFrame, trie, ends, extend: bool, blocks: int) -> DataFrame:
+    """(block, keys, counts): how often each task has the trie's phrases and what follows them.
 
-    ``next`` is 0 for all occurrences of a phrase; another is a word behind it that may make
-    a frequent phrase: the phrase without its first word, with ``next``, has its place in
-    ``ends``.  Such rows are sent from ``local`` occurrences in a shard on.  A task is a shard,
-    or several if it has more than ``HELD_KEYS`` of them.
+    A key is (row of the trie, next): ``next`` 0 stands for all occurrences of a phrase, another
+    for a word behind it that may make a frequent phrase: the phrase without its first word,
+    with ``next``, has its place in ``ends``.
     """
     depth = trie.value.phrases.shape[1]
-    names = [*(f"w{i + 1}" for i in range(depth)), "next", "n"]
     most_held = HELD_KEYS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, table = trie.value, ends.value if extend else None
         unpack = zstandard.ZstdDecompressor().decompress
-        counts = np.zeros(len(tree.phrases), np.int64)
-        keys: list[np.ndarray] = []
-        held = 0
-
-        def rows(at: np.ndarray, following: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            columns = [*tree.phrases[at].T, following.astype(np.int32)]
-            made = [pa.array(np.ascontiguousarray(c)) for c in columns]
-            return pa.RecordBatch.from_arrays([*made, pa.array(n)], names=names)
-
-        def flush() -> pa.RecordBatch:
-            key, n = np.unique(np.concatenate(keys), return_counts=True)
-            keys.clear()
-            key, n = key[n >= local], n[n >= local]
-            return rows(key >> 32, key & 0xFFFFFFFF, n)
-
+        total = np.zeros(len(tree.phrases), np.int64)
+        held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
             for packed, starts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = np.frombuffer(unpack(packed), np.int32)
                 at, row = tree.accepted(ids, starts)
-                counts += np.bincount(row, minlength=len(counts))
+                total += np.bincount(row, minlength=len(total))
                 if not extend:
                     continue
                 following = ids[at + depth]
                 ok = following > 0
                 at, row, following = at[ok], row[ok], following[ok]
                 ok = table[end_places([ids[at + i] for i in range(1, depth + 1)], len(table))]
-                keys.append(row[ok].astype(np.int64) << 32 | following[ok])
-                held += len(keys[-1])
-                if held >= most_held:
-                    yield flush()
-                    held = 0
+                held.append(row[ok].astype(np.int64) << 32 | following[ok])
+                size += len(held[-1])
+                if size >= most_held:
+                    yield _dealt(*np.unique(np.concatenate(held), return_counts=True), blocks)
+                    held, size = [], 0
+        if held:
+            yield _dealt(*np.unique(np.concatenate(held), return_counts=True), blocks)
+        at = np.flatnonzero(total)
+        yield _dealt(at << 32, total[at], blocks)
+
+    return texts.select("ids", "starts").mapInArrow(run, "block int, keys binary, counts binary")
+
+
+def _dealt(keys: np.ndarray, counts: np.ndarray, blocks: int) -> pa.RecordBatch:
+    """Sorted keys and their counts by block; keys as differences."""
+    place = (keys.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)
+    place = (place % np.uint64(blocks)).astype(np.int32)
+    order = np.argsort(place, kind="stable")
+    keys, counts, place = keys[order], counts[order], place[order]
+    starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else place
+    cuts = list(zip(starts, [*starts[1:], len(place)], strict=True))
+    steps = [np.diff(keys[a:b], prepend=0).tobytes() for a, b in cuts]
+    numbers = [counts[a:b].astype(np.int64).tobytes() for a, b in cuts]
+    made = [pa.array(place[starts]), pa.array(steps, pa.binary()), pa.array(numbers, pa.binary())]
+    return pa.RecordBatch.from_arrays(made, names=["block", "keys", "counts"])
+
+
+def summed(dealt: DataFrame, trie, least: int) -> DataFrame:
+    """(w1 ... wk, next, f) of the keys that all shards have ``least`` times together.
+
+    A task takes a block at a time: at most ``BLOCK_POSITIONS`` positions' keys in the mean.
+    """
+    depth = trie.value.phrases.shape[1]
+    names = [*(f"w{i + 1}" for i in range(depth)), "next", "f"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = trie.value.phrases
+        block, keys, counts = None, [], []
+
+        def close() -> pa.RecordBatch:
+            key, back = np.unique(np.concatenate(keys), return_inverse=True)
+            f = np.zeros(len(key), np.int64)
+            np.add.at(f, back, np.concatenate(counts))
+            key, f = key[f >= least], f[f >= least]
+            columns = [*phrases[key >> 32].T, (key & 0xFFFFFFFF).astype(np.int32)]
+            made = [pa.array(np.ascontiguousarray(c)) for c in columns]
+            return pa.RecordBatch.from_arrays([*made, pa.array(f)], names=names)
+
+        for batch in batches:
+            for at, steps, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != block and keys:
+                    yield close()
+                    keys, counts = [], []
+                block = at
+                keys.append(np.cumsum(np.frombuffer(steps, np.int64)))
+                counts.append(np.frombuffer(n, np.int64))
         if keys:
-            yield flush()
-        at = np.flatnonzero(counts)
-        yield rows(at, np.zeros(len(at)), counts[at])
+            yield close()
 
     fields = ", ".join(f"{name} int" for name in names[:-1])
-    return texts.select("ids", "starts").mapInArrow(run, f"{fields}, n long")
+    rows = dealt.repartition("block").sortWithinPartitions("block")
+    return rows.mapInArrow(run, f"{fields}, f long")
 
 
 def phrase_counts(
@@ -358,8 +393,7 @@ def phrase_counts(
     """(ids, f): frequent phrases of 1 to ``most`` words as arrays of numbers."""
     level = words.select((F.col("id") + 1).cast("int").alias("w1"))
     positions = texts.agg(F.sum("starts")).head()[0] or 0
-    # At least as many as there are; a task that holds HELD_KEYS of them sends a shard.
-    shards_of_text = texts.rdd.getNumPartitions() + positions // HELD_KEYS
+    blocks = max(BLOCKS, positions // BLOCK_POSITIONS)
     counted: list[DataFrame] = []
     for k in range(1, most + 1):
         names = [f"w{i + 1}" for i in range(k)]
@@ -376,18 +410,12 @@ def phrase_counts(
                 ends[end_places(phrases.T, ENDS)] = True
                 tries.append(spark.sparkContext.broadcast(DoubleArray(phrases)))
         table = spark.sparkContext.broadcast(ends)
-        local = -(-least // max(1, shards_of_text)) if k > 1 else 1
-        passes = [advanced(texts, trie, table, k < most, local) for trie in tries]
-        summed = reduce(DataFrame.unionByName, passes).groupBy(*names, "next").agg(
-            F.sum("n").alias("f"), F.count(F.lit(1)).alias("sent")
-        )
-        unsent = F.when(F.col("next") > 0, (shards_of_text - F.col("sent")) * (local - 1)).otherwise(0)
-        found = stored(summed.where(F.col("f") + unsent >= least), f"phrases{k}")
-        own = found.where("next = 0")
-        counted.append(own.select(F.array(*names).alias("ids"), "f"))
+        passes = [
+            summed(advanced(texts, trie, table, k < most, blocks), trie, least) for trie in tries
+        ]
+        found = stored(reduce(DataFrame.unionByName, passes), f"phrases{k}")
+        counted.append(found.where("next = 0").select(F.array(*names).alias("ids"), "f"))
         level = found.where("next > 0").select(*names, F.col("next").alias(f"w{k + 1}"))
-        if k > 2:  # before, all phrases of the tries are frequent
-            level = join_lookup(level, own.select(*names), names, "left_semi")
         for trie in (*tries, table):
             trie.unpersist()
     if not counted:
