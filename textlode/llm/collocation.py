@@ -46,7 +46,7 @@ BLOCKS = 256
 BLOCK_POSITIONS = 1 << 22
 #: Positions of one stored row, and keys that a task counts at a time.
 CHUNK = 1 << 18
-HELD_KEYS = 1 << 22
+HELD_KEYS = 1 << 21
 HELD_WORDS = 300_000
 PIECE_BYTES = 4_000_000
 #: Parts that a language's phrases are ranked in first.
@@ -144,7 +144,8 @@ def _numbers(lang: str, words: Sequence[bytes], known: dict, before: bytes | Non
 def _texts(batches: Iterator[pa.RecordBatch], first: bool) -> Iterator[tuple[str, list[bytes], bytes | None, bool]]:
     """(lang, words, numbers so far, whether the text ends here)."""
     for batch in batches:
-        for row in batch.to_pylist():
+        for values in zip(*batch.columns, strict=True):
+            row = {f.name: value.as_py() for f, value in zip(batch.schema, values, strict=True)}
             if not first:
                 yield row["lang"], row["body"].split(), row["ids"], row["ends"]
                 continue
@@ -342,8 +343,9 @@ def _dealt(keys: np.ndarray, counts: np.ndarray, blocks: int) -> pa.RecordBatch:
     place = (place % np.uint64(blocks)).astype(np.int32)
     order = np.argsort(place, kind="stable")
     keys, counts, place = keys[order], counts[order], place[order]
-    starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else place
-    cuts = list(zip(starts, [*starts[1:], len(place)], strict=True))
+    starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]][: len(place)])
+    edges = [*starts.tolist(), len(place)]
+    cuts = list(zip(edges, edges[1:], strict=False))
     steps = [np.diff(keys[a:b], prepend=0).tobytes() for a, b in cuts]
     numbers = [counts[a:b].astype(np.int64).tobytes() for a, b in cuts]
     made = [pa.array(place[starts]), pa.array(steps, pa.binary()), pa.array(numbers, pa.binary())]
