@@ -22,7 +22,7 @@ RANK_PARTS = 64
 def query_tokens(spark: SparkSession, search: str, analyzer: Analyzer) -> list[str]:
     """Distinct tokens of one search text."""
     text = spark.createDataFrame([(search,)], "text string")
-    return [row["token"] for row in analyzer.tokens(text).distinct().collect()]
+    return list(dict.fromkeys(row["token"] for row in analyzer.tokens(text).collect()))
 
 
 def in_tokens(tokens: Sequence[str]) -> Column:
@@ -127,6 +127,7 @@ def search_batch(
     max_rows: int = BROADCAST_ROWS,
     merged: bool = False,
     wanted: DataFrame | None = None,
+    small: bool | None = None,
     **sizes,
 ) -> DataFrame:
     """Answer every request: (query_id, doc_id, score, rank).
@@ -136,12 +137,14 @@ def search_batch(
     these decides whether it is broadcast.  Terms of idf 0 add nothing and are
     left out once it is known which requests count.  ``merged`` postings are a view
     that merges several batches: they are cut to the request tokens before that.
-    ``wanted`` are the requests' tokens where the caller has them.
+    ``wanted`` are the requests' tokens where the caller has them, ``small`` the outcome of
+    their size check.
     """
     if wanted is None:
         wanted = request_tokens(requests, analyzer)
     terms = known_request_tokens(wanted, stats, require_all_known).where("idf > 0")
-    small = is_small(wanted, max_rows)
+    if small is None:
+        small = is_small(wanted, max_rows)
     if merged:
         listed = wanted.select("token").distinct()
         postings = postings.join(F.broadcast(listed) if small else listed, "token", "left_semi")

@@ -17,23 +17,26 @@ from pyspark.sql import functions as F
 
 from textlode.operators.analysis import Analyzer
 from textlode.operators.statistics import document_table, term_frequency
+from textlode.plans.storage import stored
 
-
-
-def in_order(docs: DataFrame, batch_id: int = 0) -> DataFrame:
+def in_order(docs: DataFrame, batch_id: int = 0, unique: bool = False) -> DataFrame:
     """(doc_id, text, seq, ord): documents with the order their rows apply in.
 
     With ``seq`` both are that.  Without it all rows have the batch's number as
     ``ord``; if a document occurs more than once, ``seq`` numbers the rows as they
-    are read, else it is left out.
+    are read, else it is left out.  Numbered rows are stored, so that all that is made
+    of them sees one order.  ``unique`` says that no document does.
     """
     if "seq" in docs.columns:
         return docs.select("doc_id", "text", "seq", F.col("seq").cast("long").alias("ord"))
     number = F.lit(batch_id).cast("long").alias("ord")
+    if unique:
+        return docs.select("doc_id", "text", number)
     repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if not repeated.head(1):
         return docs.select("doc_id", "text", number)
-    return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("seq"), number)
+    order = F.monotonically_increasing_id().alias("seq")
+    return stored(docs.select("doc_id", "text", order, number), "numbered")
 
 
 def batch_postings(docs: DataFrame, analyzer: Analyzer, replace: bool = False) -> DataFrame:

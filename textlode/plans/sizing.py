@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,11 +19,11 @@ TEXT_PARTITION_BYTES = 64 * 1024 * 1024
 UNKNOWN_BYTES = 2**60
 
 
-def measured(df: DataFrame) -> tuple[int, int]:
+def measured(df: DataFrame, *more: Column) -> tuple:
     """Rows of ``df`` and about how many bytes they hold, counted where they are made.
 
     Every task sends one row of partial sums; the texts of a row count with their
-    bytes, any other value as eight.
+    bytes, any other value as eight.  ``more`` are further aggregates to return.
     """
     size = F.lit(0).cast("long")
     for field in df.schema.fields:
@@ -31,8 +31,8 @@ def measured(df: DataFrame) -> tuple[int, int]:
         if isinstance(field.dataType, (T.StringType, T.BinaryType)):
             size = size + F.coalesce(F.octet_length(column), F.lit(0))
         size = size + 8
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")).head()
-    return row["n"], row["bytes"] or 0
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"), *more).head()
+    return row["n"], row["bytes"] or 0, *row[2:]
 
 
 def is_small(
@@ -110,7 +110,12 @@ def join_tokens(
 
 
 def spread_by(df: DataFrame, key: str) -> DataFrame:
-    """Hash-distribute texts by ``key``.
+    """Hash-distribute texts by ``key`` over :func:`spread_width` tasks."""
+    return df.repartition(spread_width(df), key)
+
+
+def spread_width(df: DataFrame) -> int:
+    """Tasks for the analysis of texts.
 
     The width is the largest of the configured shuffle width, two tasks per
     core and one task per ``TEXT_PARTITION_BYTES`` of input files.  It is fixed
@@ -118,12 +123,11 @@ def spread_by(df: DataFrame, key: str) -> DataFrame:
     analysis that follows multiplies it about tenfold.
     """
     spark = df.sparkSession
-    width = max(
+    return max(
         int(spark.conf.get("spark.sql.shuffle.partitions")),
         2 * spark.sparkContext.defaultParallelism,
         -(-input_bytes(df) // TEXT_PARTITION_BYTES),
     )
-    return df.repartition(width, key)
 
 
 def input_bytes(df: DataFrame) -> int:

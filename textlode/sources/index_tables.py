@@ -1,26 +1,31 @@
 """The index as Parquet tables.
 
     <path>/term_freq/batch_id=K/token_bucket=B   (doc_id, token, tf, ord)
-    <path>/docs/batch_id=K                       (doc_id, has_tokens, ord, replaces)
+    <path>/forward/batch_id=K/doc_bucket=D       (doc_id, ord, terms [(token, tf), ...])
+    <path>/docs/batch_id=K/doc_bucket=D          (doc_id, has_tokens, ord, replaces)
     <path>/token_df/batch_id=K/token_bucket=B    (token, df)   changes of df
     <path>/commits/batch_id=K                    one row that says the batch is complete
 
-Postings are stored by a bucket of their token: a lookup of some tokens reads their
-buckets' folders only.  One rebalancing shuffle per batch brings the postings of a
-bucket together; Spark splits buckets that are too large, as those of hot tokens.
+Postings are stored twice.  ``term_freq`` has them by a bucket of their token: a lookup of
+some tokens reads their buckets' folders only.  One rebalancing shuffle per batch brings the
+postings of a bucket together; Spark splits buckets that are too large, as those of hot
+tokens.  ``forward`` has them by a bucket of their document: an upsert finds what its
+documents held before in the folders of their buckets.  Texts are analysed once, into
+``forward``; ``term_freq`` is made from there.
 
 A batch counts once its commit row is written, last of all; readers see the postings,
 documents and changes of committed batches and nothing else.  The row also holds the
-number of documents, the type of the key and the number of buckets, so a search
-neither counts documents nor asks for them.
+number of documents, the type of the key and the numbers of buckets, so a search
+neither counts documents nor asks for them.  A :class:`Snapshot` has read the commits once.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textlode.operators.analysis import Analyzer
@@ -32,32 +37,158 @@ from textlode.operators.upserts import (
     current_postings,
     in_order,
 )
-from textlode.plans.sizing import BROADCAST_BYTES, BROADCAST_ROWS, join_lookup, measured
+from textlode.plans.sizing import input_bytes, spread_width
 from textlode.plans.storage import stored
 
 TABLE_SCHEMAS = {
     "term_freq": "doc_id {key}, token STRING, tf BIGINT, ord BIGINT, batch_id BIGINT, token_bucket INT",
-    "docs": "doc_id {key}, has_tokens BOOLEAN, ord BIGINT, replaces BOOLEAN, batch_id BIGINT",
+    "forward": "doc_id {key}, ord BIGINT, terms ARRAY<STRUCT<token: STRING, tf: BIGINT>>, "
+    "batch_id BIGINT, doc_bucket INT",
+    "docs": "doc_id {key}, has_tokens BOOLEAN, ord BIGINT, replaces BOOLEAN, batch_id BIGINT, "
+    "doc_bucket INT",
     "token_df": "token STRING, df BIGINT, batch_id BIGINT, token_bucket INT",
     "commits": "n_docs BIGINT, n_with_tokens BIGINT, resets BOOLEAN, replaces BOOLEAN, "
     "key_type STRING, buckets INT, feed STRING, feed_batch BIGINT, batch_id BIGINT",
 }
-#: Folders that the postings of a new index are dealt to.
+#: Least and most folders that tokens, and documents, of a new index are dealt to; between
+#: these there is one for every so many bytes of the input's files.
 TOKEN_BUCKETS = 16
+MOST_BUCKETS = 4_096
+BUCKET_BYTES = 512 * 1024 * 1024
+#: Code points of a text for each row of ``forward`` that its terms are split into.
+FORWARD_CHARS = 1_000_000
+#: A batch's documents are broadcast up to so many bytes of files.
+BATCH_FILE_BYTES = 8 * 1024 * 1024
 
 
 def token_bucket(token: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
 
+def doc_bucket(doc_id: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(buckets)).cast("int")
+
+
+def buckets_for(docs: DataFrame) -> int:
+    """Folders for a new index of documents, by the bytes of their files."""
+    return int(min(MOST_BUCKETS, max(TOKEN_BUCKETS, -(-input_bytes(docs) // BUCKET_BYTES))))
+
+
+def forward_rows(docs: DataFrame, analyzer: Analyzer, replace: bool, buckets: int) -> DataFrame:
+    """(doc_id, ord, terms, doc_bucket) of one batch of ``in_order`` documents.
+
+    Where each document has one row the texts are dealt to tasks by document, a multiple of
+    ``buckets`` of them, so that counting needs no further shuffle and a task's rows
+    belong to one bucket.  The terms of a long text make several rows.
+    """
+    rows = docs.where(F.col("text").isNotNull())
+    parts = F.greatest(F.ceil(F.char_length("text") / FORWARD_CHARS), F.lit(1)).cast("int")
+    if "seq" in docs.columns:
+        lengths = rows.groupBy("doc_id").agg(F.max(parts).alias("parts"))
+        counted = batch_postings(docs, analyzer, replace).join(lengths, "doc_id")
+        keys = ["doc_id", "ord", "parts"]
+    else:
+        width = spread_width(docs)
+        width = -(-width // buckets) * buckets
+        place = F.pmod(F.xxhash64("doc_id"), F.lit(width)).cast("int")
+        source = rows.select("doc_id", "ord", "text", parts.alias("parts"), place.alias("place"))
+        source = source.repartitionById(width, F.col("place"))
+        keys = ["doc_id", "ord", "parts", "place"]
+        counted = analyzer.tokens(source, *keys).groupBy(*keys, "token").agg(
+            F.count(F.lit(1)).alias("tf")
+        )
+    part = F.pmod(F.xxhash64("token", F.lit(1)), F.col("parts"))
+    kept = [k for k in keys if k != "parts"]
+    grouped = counted.groupBy(*kept, part.alias("part")).agg(
+        F.collect_list(F.struct("token", F.col("tf").cast("long").alias("tf"))).alias("terms")
+    )
+    made = grouped.select(
+        "doc_id", F.col("ord").cast("long").alias("ord"), "terms",
+        doc_bucket(F.col("doc_id"), buckets).alias("doc_bucket"),
+    )
+    aligned = "seq" not in docs.columns and analyzer.vocabulary_stemmer is None
+    return made if aligned else made.hint("rebalance", "doc_bucket")
+
+
+class Snapshot:
+    """The committed batches of an index folder at one time."""
+
+    def __init__(self, tables: IndexTables, commits: list[Row]):
+        self.tables, self.commits = tables, commits
+
+    def n_docs(self, mode: str = "float") -> int:
+        """Number of documents, or in ``pruned`` mode of those with tokens."""
+        if not self.commits:
+            return 0
+        return self.commits[-1]["n_with_tokens" if mode == "pruned" else "n_docs"]
+
+    @property
+    def buckets(self) -> int:
+        return self.commits[-1]["buckets"]
+
+    def postings(
+        self,
+        replace: bool | None = None,
+        tokens: Sequence[str] | None = None,
+        buckets: Sequence[int] | None = None,
+    ) -> DataFrame:
+        """Current (doc_id, token, tf), of some tokens or some token buckets only where given.
+
+        ``replace`` True reads every batch as one that replaces its documents, False
+        none; by default each batch is read as it was written.
+        """
+        log = self._of(self._committed("term_freq"), tokens, buckets)
+        if len(self.commits) == 1:
+            return log.select("doc_id", "token", "tf")
+        return current_postings(log, *self._replacing(replace))
+
+    def documents(self, replace: bool | None = None) -> DataFrame:
+        return current_documents(*self._replacing(replace))
+
+    def _replacing(self, replace: bool | None) -> tuple[DataFrame, bool]:
+        docs = self._committed("docs")
+        if replace is None:
+            return docs, any(row["replaces"] for row in self.commits)
+        return docs.withColumn("replaces", F.lit(replace)), replace
+
+    def frequencies(
+        self, tokens: Sequence[str] | None = None, buckets: Sequence[int] | None = None
+    ) -> DataFrame:
+        """(token, df): the sum of the committed changes."""
+        changes = self._of(self._committed("token_df"), tokens, buckets)
+        if len(self.commits) == 1:
+            return changes.select("token", "df")
+        return changes.groupBy("token").agg(F.sum("df").alias("df")).where("df > 0")
+
+    def _of(
+        self, rows: DataFrame, tokens: Sequence[str] | None, buckets: Sequence[int] | None
+    ) -> DataFrame:
+        """Rows of some tokens or buckets; the buckets of literals are folded while planning."""
+        if buckets is not None:
+            rows = rows.where(F.col("token_bucket").isin(list(buckets)))
+        if tokens is not None:
+            folders = [token_bucket(F.lit(token), self.buckets) for token in tokens]
+            rows = rows.where(F.col("token_bucket").isin(*folders) & F.col("token").isin(list(tokens)))
+        return rows
+
+    def _committed(self, table: str) -> DataFrame:
+        """Rows of the committed batches; other batches' folders are not read."""
+        if not self.commits:
+            raise FileNotFoundError(f"no index at {self.tables.path}")
+        numbers = [row["batch_id"] for row in self.commits]
+        df = self.tables._read(table, self.commits[-1]["key_type"])
+        return df.where(F.col("batch_id").isin(numbers))
+
+
 class IndexTables:
     """Reads and writes the tables of one index folder.
 
-    ``key_type`` is the type of ``doc_id`` of a new index; an existing one knows its own.
+    ``key_type`` is the type of ``doc_id`` of a new index, ``buckets`` its number of folders
+    (by default by the size of the first batch); an existing index knows its own.
     """
 
     def __init__(
-        self, spark: SparkSession, path: str, key_type: str = "BIGINT", buckets: int = TOKEN_BUCKETS
+        self, spark: SparkSession, path: str, key_type: str = "BIGINT", buckets: int | None = None
     ):
         self.spark = spark
         self.path = path.rstrip("/")
@@ -67,12 +198,19 @@ class IndexTables:
     def commits(self) -> list[Row]:
         """Commit rows in order, from the last batch that began the index anew."""
         try:
-            rows = self._read("commits", key="").orderBy("batch_id").collect()
-        except AnalysisException:
+            rows = self._read("commits", key="").collect()
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return []
+        rows.sort(key=lambda row: row["batch_id"])
         start = max((i for i, row in enumerate(rows) if row["resets"]), default=0)
         return rows[start:]
 
+    def snapshot(self) -> Snapshot:
+        """What is committed now; its frames stay those of now."""
+        return Snapshot(self, self.commits())
+
     def batches(self) -> set[int]:
         return {row["batch_id"] for row in self.commits()}
 
@@ -86,21 +224,13 @@ class IndexTables:
 
     def n_docs(self, mode: str = "float") -> int:
         """Number of documents, or in ``pruned`` mode of those with tokens."""
-        commits = self.commits()
-        if not commits:
-            return 0
-        return commits[-1]["n_with_tokens" if mode == "pruned" else "n_docs"]
+        return self.snapshot().n_docs(mode)
 
     @property
     def key_type(self) -> str:
         commits = self.commits()
         return commits[-1]["key_type"] if commits else self._new_key
 
-    @property
-    def buckets(self) -> int:
-        commits = self.commits()
-        return commits[-1]["buckets"] if commits else self._new_buckets
-
     # -- writing -----------------------------------------------------------
     def write_batch(
         self,
@@ -111,28 +241,40 @@ class IndexTables:
         resets: bool = False,
         feed: str | None = None,
         feed_batch: int | None = None,
+        before: list[Row] | None = None,
+        unique: bool = False,
     ) -> None:
         """Add the postings of documents (doc_id, text[, seq]) as one batch.
 
         A document sent again overwrites: its row of highest ``seq`` counts, over
         batches too, or without ``seq`` its last row.  With ``replace`` the tokens it
         lost go, otherwise they stay.  With ``resets`` the batch is all there is.
-        The work for df and N goes with the batch: only where a document was here
-        before are earlier postings read.
+        The work for df and N goes with the batch: what its documents held before is read
+        from the folders of their buckets, and nothing else of earlier batches.  A document
+        of null text is not indexed.  ``before`` are the commits where the caller has
+        them, ``unique`` says that no document occurs twice.
         """
-        before = [] if resets else self.commits()
-        key = before[-1]["key_type"] if before else docs.schema["doc_id"].dataType.simpleString()
-        buckets = before[-1]["buckets"] if before else self._new_buckets
-        docs = in_order(docs, batch_id)
-        postings = batch_postings(docs, analyzer, replace)
-        self._write_bucketed(postings, f"term_freq/batch_id={batch_id}", buckets)
-        own_docs = batch_documents(docs, analyzer, replace)
-        self._write(
-            own_docs.withColumn("replaces", F.lit(replace)), f"docs/batch_id={batch_id}"
+        if resets:
+            before = []
+        elif before is None:
+            before = self.commits()
+        last = before[-1] if before else None
+        key = last["key_type"] if last else docs.schema["doc_id"].dataType.simpleString()
+        buckets = last["buckets"] if last else self._new_buckets or buckets_for(docs)
+        docs = in_order(docs, batch_id, unique)
+        self._write_by_document(
+            forward_rows(docs, analyzer, replace, buckets), f"forward/batch_id={batch_id}"
         )
-        changes, added, with_tokens = self._changes(before, batch_id, replace, key)
+        own_docs = batch_documents(docs, analyzer, replace).select(
+            "doc_id", "has_tokens", "ord", F.lit(replace).alias("replaces"),
+            doc_bucket(F.col("doc_id"), buckets).alias("doc_bucket"),
+        )
+        self._write_by_document(own_docs.repartition("doc_bucket"), f"docs/batch_id={batch_id}")
+        own = self._batch("forward", key, batch_id)
+        postings = own.select("doc_id", F.inline("terms"), "ord")
+        self._write_bucketed(postings, f"term_freq/batch_id={batch_id}", buckets)
+        changes, added, with_tokens = self._changes(before, batch_id, key)
         self._write_bucketed(changes, f"token_df/batch_id={batch_id}", buckets)
-        last = before[-1] if before else None
         row = Row(
             n_docs=added + (last["n_docs"] if last else 0),
             n_with_tokens=with_tokens + (last["n_with_tokens"] if last else 0),
@@ -143,53 +285,77 @@ class IndexTables:
             feed=feed,
             feed_batch=feed_batch,
         )
+        self._commit(row, batch_id)
+
+    def _commit(self, row: Row, batch_id: int) -> None:
         schema = TABLE_SCHEMAS["commits"].rpartition(",")[0]
         self._write(self.spark.createDataFrame([row], schema).coalesce(1), f"commits/batch_id={batch_id}")
 
-    def _changes(
-        self, before: list[Row], batch_id: int, replace: bool, key: str
-    ) -> tuple[DataFrame, int, int]:
-        """(token, df) changes of a batch just written, and those of both numbers of documents."""
-        mine = self._read("docs", key).where(F.col("batch_id") == batch_id)
-        own = self._read("term_freq", key).where(F.col("batch_id") == batch_id)
+    def _changes(self, before: list[Row], batch_id: int, key: str) -> tuple[DataFrame, int, int]:
+        """(token, df) changes of a batch just written, and those of both numbers of documents.
+
+        A document that was here before changes df where a token is in its view after the
+        batch but was not before it, or the other way round.
+        """
+        mine, own = self._batch("docs", key, batch_id), self._batch("forward", key, batch_id)
         count = F.count(F.lit(1))
+        tokens = own.select(F.explode("terms.token").alias("token"))
+        whole = tokens.groupBy("token").agg(count.alias("df"))
         if not before:
             n = mine.agg(count.alias("n"), F.count_if("has_tokens").alias("t")).head()
-            return document_frequency(own), n["n"], n["t"]
-        old_docs = self._committed("docs", before, key)
-        again = stored(
-            join_lookup(old_docs.select("doc_id"), mine.select("doc_id"), ["doc_id"], "left_semi")
-            .distinct(),
-            "again",
+            return whole, n["n"], n["t"]
+        earlier = Snapshot(self, before)
+        touched = F.col("doc_bucket").isin(self._buckets_of(batch_id))
+        small = input_bytes(mine) <= BATCH_FILE_BYTES
+        listed = mine.select("doc_id")
+        known = earlier._committed("docs").where(touched).join(
+            F.broadcast(listed) if small else listed, "doc_id", "left_semi"
+        )
+        new = F.col("new")
+        rows = known.withColumn("new", F.lit(False)).unionByName(mine.withColumn("new", F.lit(True)))
+        document = Window.partitionBy("doc_id")
+        begins = {
+            "begin_before": F.max(F.when(~new & F.col("replaces"), F.col("ord"))).over(document),
+            "begin_after": F.max(F.when(F.col("replaces"), F.col("ord"))).over(document),
+        }
+        shown_before = ~new & _from("begin_before")
+        per_doc = stored(
+            rows.withColumns(begins).groupBy("doc_id").agg(
+                F.max(~new).alias("known"),
+                F.max(shown_before & F.col("has_tokens")).alias("had"),
+                F.max(_from("begin_after") & F.col("has_tokens")).alias("have"),
+                F.max("begin_before").alias("begin_before"),
+                F.max("begin_after").alias("begin_after"),
+            ),
+            "per_doc",
         )
-        any_replaces = replace or any(r["replaces"] for r in before)
-        log = self._committed("term_freq", before, key)
-        docs_log = old_docs
-
-        # Checked once: the same documents are looked up several times.
-        n_again, size = measured(again)
-        small = n_again <= BROADCAST_ROWS and size <= BROADCAST_BYTES
-        lookup = F.broadcast(again) if small else again
-
-        def of_again(df: DataFrame) -> DataFrame:
-            return df.join(lookup, "doc_id", "left_semi")
-
-        if n_again:
-            old_log, old_docs_log = of_again(log), of_again(docs_log)
-            was = current_postings(old_log, old_docs_log, any_replaces).select("token", F.lit(-1).alias("n"))
-            all_log = old_log.unionByName(of_again(own))
-            all_docs = old_docs_log.unionByName(of_again(mine))
-            now = current_postings(all_log, all_docs, any_replaces).select("token", F.lit(1).alias("n"))
-            fresh = own.join(lookup, "doc_id", "left_anti").select("token", F.lit(1).alias("n"))
-            signed = was.unionByName(now).unionByName(fresh)
-            had = current_documents(old_docs_log, any_replaces).agg(F.count_if("has_tokens")).head()[0]
-            have = current_documents(all_docs, any_replaces).agg(F.count_if("has_tokens")).head()[0]
-        else:
-            signed, had, have = own.select("token", F.lit(1).alias("n")), 0, 0
-        new = mine.join(lookup, "doc_id", "left_anti")
-        n = new.agg(count.alias("n"), F.count_if("has_tokens").alias("t")).head()
-        changes = signed.groupBy("token").agg(F.sum("n").alias("df")).where("df <> 0")
-        return changes, n["n"], n["t"] + have - had
+        n = per_doc.agg(
+            F.count_if(~F.col("known")).alias("added"),
+            F.count_if("known").alias("again"),
+            (F.count_if("have") - F.count_if("had")).alias("t"),
+        ).head()
+        if not n["again"]:
+            return whole, n["added"], n["t"]
+        views = per_doc.select("doc_id", "begin_before", "begin_after")
+        views = F.broadcast(views) if small else views
+        old = earlier._committed("forward").where(touched).withColumn("new", F.lit(False))
+        held = old.unionByName(own.withColumn("new", F.lit(True))).join(views, "doc_id")
+        shown = held.select(
+            "doc_id",
+            F.explode("terms.token").alias("token"),
+            shown_before.cast("int").alias("before"),
+            _from("begin_after").cast("int").alias("after"),
+        )
+        signed = shown.groupBy("doc_id", "token").agg(
+            (F.max("after") - F.max("before")).cast("long").alias("n")
+        )
+        changes = signed.where("n <> 0").groupBy("token").agg(F.sum("n").alias("df")).where("df <> 0")
+        return changes, n["added"], n["t"]
+
+    def _buckets_of(self, batch_id: int) -> list[int]:
+        """Document buckets that a batch wrote to, by the names of its folders."""
+        files = self.spark.read.schema("doc_id STRING").parquet(f"{self.path}/docs/batch_id={batch_id}")
+        return sorted({int(n) for f in files.inputFiles() for n in re.findall(r"/doc_bucket=(\d+)/", f)})
 
     def refresh_stats(self) -> None:
         """Merge all changes of df into those of the last batch, to read one batch only.
@@ -197,37 +363,56 @@ class IndexTables:
         The index then has to be read from its last batch on, so this writes a new
         batch that holds the current view: see :meth:`compact` for a new folder.
         """
-        commits = self.commits()
-        last = commits[-1]
-        postings, docs = stored(self.postings(), "postings"), stored(self.documents(), "documents")
+        now = self.snapshot()
+        last = now.commits[-1]
+        postings, docs = stored(now.postings(), "postings"), stored(now.documents(), "documents")
         self._write_view(postings, docs, last["batch_id"] + 1, last, resets=True)
 
     def compact(self, path: str) -> IndexTables:
         """Write the current view as the single batch of another index folder."""
-        target = IndexTables(self.spark, path, self.key_type, self.buckets)
-        target._write_view(
-            self.postings(), self.documents(), target.next_batch(), self.commits()[-1], resets=True
-        )
+        now = self.snapshot()
+        last = now.commits[-1]
+        target = IndexTables(self.spark, path, last["key_type"], last["buckets"])
+        target._write_view(now.postings(), now.documents(), target.next_batch(), last, resets=True)
         return target
 
     def _write_view(
         self, postings: DataFrame, docs: DataFrame, batch_id: int, last: Row, resets: bool
     ) -> None:
-        order = F.lit(batch_id).cast("long").alias("ord")
+        order, buckets = F.lit(batch_id).cast("long").alias("ord"), last["buckets"]
+        bucket = doc_bucket(F.col("doc_id"), buckets).alias("doc_bucket")
         self._write_bucketed(
-            postings.select("doc_id", "token", "tf", order), f"term_freq/batch_id={batch_id}", last["buckets"]
+            postings.select("doc_id", "token", "tf", order), f"term_freq/batch_id={batch_id}", buckets
         )
-        self._write(
-            docs.select("doc_id", "has_tokens", order, F.lit(False).alias("replaces")),
+        self._write_by_document(
+            docs.select("doc_id", "has_tokens", order, F.lit(False).alias("replaces"), bucket)
+            .repartition("doc_bucket"),
             f"docs/batch_id={batch_id}",
+        )
+        own = self._batch("term_freq", last["key_type"], batch_id)
+        terms = F.collect_list(F.struct("token", "tf")).alias("terms")
+        # As many parts as its number of tokens asks for, to keep rows bounded.
+        sizes = own.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / FORWARD_CHARS).alias("parts"))
+        part = F.pmod(F.xxhash64("token", F.lit(1)), F.col("parts")).alias("part")
+        forward = own.join(sizes, "doc_id").groupBy("doc_id", part).agg(terms)
+        self._write_by_document(
+            forward.select("doc_id", order, "terms", bucket).hint("rebalance", "doc_bucket"),
+            f"forward/batch_id={batch_id}",
         )
-        own = self._read("term_freq", last["key_type"]).where(F.col("batch_id") == batch_id)
-        self._write_bucketed(document_frequency(own), f"token_df/batch_id={batch_id}", last["buckets"])
+        self._write_bucketed(document_frequency(own), f"token_df/batch_id={batch_id}", buckets)
         row = last.asDict() | {"resets": resets, "replaces": False, "feed": None, "feed_batch": None}
         row.pop("batch_id")
-        schema = TABLE_SCHEMAS["commits"].rpartition(",")[0]
-        frame = self.spark.createDataFrame([Row(**row)], schema).coalesce(1)
-        self._write(frame, f"commits/batch_id={batch_id}")
+        self._commit(Row(**row), batch_id)
+
+    def _write_by_document(self, df: DataFrame, table: str) -> None:
+        """In folders by bucket of the document, its rows together."""
+        (
+            df.sortWithinPartitions("doc_bucket", "doc_id")
+            .write.mode("overwrite")
+            .option("compression", "zstd")
+            .partitionBy("doc_bucket")
+            .parquet(f"{self.path}/{table}")
+        )
 
     def _write_bucketed(self, df: DataFrame, table: str, buckets: int) -> None:
         """Sorted by token within the folder of its bucket; large buckets are split."""
@@ -237,6 +422,7 @@ class IndexTables:
         (
             dealt.sortWithinPartitions("token_bucket", "token")
             .write.mode("overwrite")
+            .option("compression", "zstd")
             .partitionBy("token_bucket")
             .parquet(f"{self.path}/{table}")
         )
@@ -246,61 +432,23 @@ class IndexTables:
 
     # -- reading -----------------------------------------------------------
     def log(self) -> DataFrame:
-        return self._committed("term_freq", self.commits())
+        return self.snapshot()._committed("term_freq")
 
     def docs_log(self) -> DataFrame:
-        return self._committed("docs", self.commits())
+        return self.snapshot()._committed("docs")
 
     def postings(self, replace: bool | None = None, tokens: Sequence[str] | None = None) -> DataFrame:
-        """Current (doc_id, token, tf), of some tokens only where these are given.
-
-        ``replace`` True reads every batch as one that replaces its documents, False
-        none; by default each batch is read as it was written.
-        """
-        commits = self.commits()
-        log = self._committed("term_freq", commits)
-        if tokens is not None:
-            log = log.where(self._in_buckets(tokens, commits) & F.col("token").isin(list(tokens)))
-        if len(commits) == 1:
-            return log.select("doc_id", "token", "tf")
-        return current_postings(log, *self._replacing(commits, replace))
+        """See :meth:`Snapshot.postings`, of what is committed now."""
+        return self.snapshot().postings(replace, tokens)
 
     def documents(self, replace: bool | None = None) -> DataFrame:
-        commits = self.commits()
-        return current_documents(*self._replacing(commits, replace))
-
-    def _replacing(self, commits: list[Row], replace: bool | None) -> tuple[DataFrame, bool]:
-        docs = self._committed("docs", commits)
-        if replace is None:
-            return docs, any(row["replaces"] for row in commits)
-        return docs.withColumn("replaces", F.lit(replace)), replace
+        return self.snapshot().documents(replace)
 
     def frequencies(self, tokens: Sequence[str] | None = None) -> DataFrame:
-        """(token, df): the sum of the committed changes."""
-        commits = self.commits()
-        changes = self._committed("token_df", commits)
-        if tokens is not None:
-            changes = changes.where(
-                self._in_buckets(tokens, commits) & F.col("token").isin(list(tokens))
-            )
-        if len(commits) == 1:
-            return changes.select("token", "df")
-        return changes.groupBy("token").agg(F.sum("df").alias("df")).where("df > 0")
+        return self.snapshot().frequencies(tokens)
 
-    def _in_buckets(self, tokens: Sequence[str], commits: list[Row]) -> Column:
-        """Predicate on the folders that may hold the tokens."""
-        n = commits[-1]["buckets"]
-        rows = self.spark.createDataFrame([(t,) for t in tokens], "token string")
-        found = {r[0] for r in rows.select(token_bucket(F.col("token"), n)).collect()}
-        return F.col("token_bucket").isin(sorted(found))
-
-    def _committed(self, table: str, commits: list[Row], key: str | None = None) -> DataFrame:
-        """Rows of the committed batches; other batches' folders are not read."""
-        numbers = [row["batch_id"] for row in commits]
-        if not commits:
-            raise FileNotFoundError(f"no index at {self.path}")
-        df = self._read(table, key or commits[-1]["key_type"])
-        return df.where(F.col("batch_id").isin(numbers))
+    def _batch(self, table: str, key: str, batch_id: int) -> DataFrame:
+        return self._read(table, key).where(F.col("batch_id") == batch_id)
 
     def _read(self, table: str, key: str) -> DataFrame:
         """Raises Spark's path error where the table does not exist."""
@@ -309,13 +457,18 @@ class IndexTables:
         return self.spark.read.schema(schema).option("basePath", folder).parquet(folder)
 
 
+def _from(begin: str) -> Column:
+    """Whether a row is not before the last one that replaced its document."""
+    return F.col(begin).isNull() | (F.col("ord") >= F.col(begin))
+
+
 def write_index(
     spark: SparkSession,
     docs: DataFrame,
     path: str,
     analyzer: Analyzer,
     overwrite: bool = False,
-    buckets: int = TOKEN_BUCKETS,
+    buckets: int | None = None,
 ) -> IndexTables:
     """Index documents (doc_id, text) in a folder.
 
@@ -324,7 +477,8 @@ def write_index(
     """
     tables = IndexTables(spark, path, docs.schema["doc_id"].dataType.simpleString(), buckets)
     commits = tables.commits()
-    tables.write_batch(docs, tables.next_batch(), analyzer, resets=overwrite or not commits)
+    batch = max((row["batch_id"] for row in commits), default=-1) + 1
+    tables.write_batch(docs, batch, analyzer, resets=overwrite or not commits, before=commits)
     return tables
 
 
