@@ -1,3 +1,4 @@
+import time
 import hashlib
 import html
 import io
@@ -247,3 +248,42 @@ def test_other_texts_do_not_win_by_their_length():
 )
 def test_the_region_holds_the_whole_article(page, text):
     assert html_text.main_text(page) == text
+
+
+BODY = "<p>" + "word " * 80 + "</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p>hello</p><![foo[ bar ]]><p>x</p>", "hello\nx"),
+        ("<p>a</p><![ foo <p>b", "a\nb"),
+        (f"<form id='aspnetForm'><article>{BODY}</article></form>", ("word " * 80).strip()),
+        (f"<form>{BODY}</form>", ("word " * 80).strip()),
+        (f"<nav><a href=x>Home</a><article>{BODY}</article>", ("word " * 80).strip()),
+        (f"<button><article>{BODY}</article>", ("word " * 80).strip()),
+        (f"<div style='visibility:hidden'>{BODY}</div>", ("word " * 80).strip()),
+        (f"<article>{BODY}</article><aside>{BODY}</aside><footer>x y</footer>", ("word " * 80).strip()),
+        ("<p>a <b and c < d", "a"),
+    ],
+)
+def test_malformed_and_wrapped_pages(page, want):
+    assert html_text.main_text(page) == want
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 340_000, "<div>" * 20_000 + "x", "<div>x " * 20_000, "<b>" * 20_000 + "<p>x" * 20_000,
+     "<p>x</q>" * 20_000],
+)
+def test_time_does_not_grow_with_the_square(page):
+    start = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - start < 8
+
+
+def test_marks_renamed_give_the_same_text(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    for page in pages:
+        plain = re.sub("<(/?)(article|main)\\b", r"<\1div", page.html)
+        assert html_text.main_text(plain) == html_text.main_text(page.html)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import Memo, append_columns, slices, texts_of
+from .common import Memo, append_columns, kept, slices, texts_of
 
 #: White space between words; of these only ``str.split`` would also split at \x1c-\x1f.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -302,10 +302,9 @@ class Codec:
             return " ".join(self.labels[i] for i in ids if i in self.labels)
 
 
-@lru_cache(maxsize=4)
 def codec(path: str) -> Codec:
-    """The codec of a worker for a file, compiled once."""
-    return Codec(path)
+    """The codec of a worker for a file, compiled once and kept while it serves this operator."""
+    return kept(__name__, path, lambda: Codec(path))
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", name: str = "ids") -> DataFrame:

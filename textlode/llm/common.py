@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import weakref
-from collections.abc import Callable, Iterable, Iterator, Sequence
-from typing import ClassVar
+from collections.abc import Callable, Hashable, Iterable, Iterator, Sequence
+from typing import Any, ClassVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,8 @@ from pyspark.sql import types as T
 SLICE_CHARS = 4_000_000
 #: Words that a worker remembers; the memory is emptied when it is full.
 MEMO_WORDS = 300_000
+#: Bytes of an Arrow batch that one step computes on; a row is never cut.
+PIECE_BYTES = 8 * 1024 * 1024
 
 
 def append_columns(
@@ -31,15 +34,56 @@ def append_columns(
     )
     names = [field.name for field in schema.fields]
 
+    group = compute.__module__
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve(group)
         for batch in batches:
-            if batch.num_rows:
-                made = [*batch.columns, *compute(batch)]
+            for piece in pieces(batch):
+                made = [*piece.columns, *compute(piece)]
                 yield pa.RecordBatch.from_arrays(made, names=names)
 
     return df.mapInArrow(run, schema)
 
 
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``PIECE_BYTES`` in the mean, so that results stay small."""
+    if batch.num_rows:
+        rows = max(1, int(batch.num_rows * PIECE_BYTES / max(batch.nbytes, PIECE_BYTES)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+class _Worker:
+    """What a Python worker keeps: the objects of one operator."""
+
+    group: ClassVar[str] = ""
+    objects: ClassVar[dict] = {}
+
+
+def kept(group: str, key: Hashable, make: Callable[[], Any]) -> Any:
+    """The object that ``make`` gives, made once in a worker.
+
+    Workers serve one operator after another; the first call of another ``group`` lets all
+    objects of the one before go.
+    """
+    serve(group)
+    if key not in _Worker.objects:
+        _Worker.objects[key] = make()
+    return _Worker.objects[key]
+
+
+def serve(group: str) -> None:
+    """From now on the worker works for this operator."""
+    if _Worker.group != group:
+        _Worker.objects.clear()
+        for memo in Memo._all:
+            if memo.group != group:
+                memo.known.clear()
+        gc.collect()
+        _Worker.group = group
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores in front until no column of ``df`` is called that."""
     taken = {column.lower() for column in df.columns}
@@ -81,7 +125,6 @@ class Memo:
     """
 
     _all: ClassVar[weakref.WeakSet[Memo]] = weakref.WeakSet()
-    _last: ClassVar[str] = ""
 
     def __init__(
         self, make: Callable[[list[str]], Iterable], limit: int = MEMO_WORDS, group: str = ""
@@ -95,11 +138,7 @@ class Memo:
 
     def learn(self, *words: Iterable[str]) -> None:
         """Afterwards every word of the given ones can be looked up."""
-        if Memo._last != self.group:
-            for other in Memo._all:
-                if other.group != self.group:
-                    other.known.clear()
-            Memo._last = self.group
+        serve(self.group)
         wanted = set().union(*words)
         new = list(wanted.difference(self.known))
         if len(self.known) + len(new) > self.limit:

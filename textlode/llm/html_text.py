@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -39,9 +41,12 @@ CLOSES = {
     "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
 }
 SKIPPED = frozenset(
-    "head title script style noscript template nav footer aside form menu dialog search svg math "
-    "iframe object audio video canvas button select textarea input label applet map".split()
+    "head title script style noscript template svg math iframe object audio video canvas "
+    "select textarea input label applet map".split()
 )
+# Elements around an article, unless nearly all of the text is in one: a page within a form, or
+# behind a start tag whose end is missing.
+AROUND = frozenset("nav footer aside form menu dialog search button".split())
 # Words in class or id that mark what surrounds an article.
 SURROUNDINGS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored promo "
@@ -84,19 +89,32 @@ LINKED, ENTRY_CHARS = 0.7, 80
 #: Share of the clustered text above which an element is content whatever its name says;
 #: the second one is for names of :data:`OTHERS`.
 MOST, NEARLY_ALL = 0.5, 0.9
+#: Code points beside links without which an element of :data:`AROUND` is no article's.
+ENOUGH = 200
 
 _PARTS = re.compile(r"[^\W_]+")
 _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
-_CUT_OFF = re.compile(r"</?[a-zA-Z][^<>]*")
+_CUT_OFF = re.compile(r"<[a-zA-Z/!?]")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+@dataclass(eq=False)
+class Place:
+    """A container, with the one around it; a path of them takes no more room than its last."""
+
+    number: int
+    around: Place | None
+    depth: int
+    #: Marked elements that it lies in, itself included.
+    marked: tuple[int, ...]
+
+
 @dataclass
 class Line:
     text: str
     tags: int
     link_chars: int
-    path: tuple[int, ...]
+    place: Place | None
     listed: bool = False
 
 
@@ -106,7 +124,7 @@ class Block:
 
     parts: list[tuple[str, tuple[int, ...], bool]]
     tags: int
-    path: tuple[int, ...]
+    place: Place | None
     listed: bool
 
 
@@ -116,7 +134,9 @@ class Element:
     number: int
     skipped: bool
     inside_main: bool
-    place: bool
+    place: Place | None
+    in_item: bool
+    in_heading: bool
     #: Elements around it, and itself, that surround an article by their names.
     doubts: tuple[int, ...]
 
@@ -131,6 +151,7 @@ class Lines(HTMLParser):
     mains: dict[int, tuple[int, ...]] = field(default_factory=dict)
     sure: set[int] = field(default_factory=set)
     doubtful: dict[int, bool] = field(default_factory=dict)
+    surrounding: set[int] = field(default_factory=set)
 
     def __post_init__(self):
         super().__init__(convert_charrefs=True)
@@ -138,6 +159,8 @@ class Lines(HTMLParser):
         self.parts: list[tuple[str, tuple[int, ...], bool]] = []
         self.tags = self.links = 0
         self.numbers = 0
+        #: How many elements of a name are open.
+        self.open: Counter[str] = Counter()
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
@@ -153,18 +176,32 @@ class Lines(HTMLParser):
         self.links += tag == "a"
         parent = self.stack[-1] if self.stack else None
         inside = bool(parent and parent.inside_main) or tag in ("article", "main")
-        skipped = bool(parent and parent.skipped) or self.skips(tag, attrs, bool(parent and parent.inside_main))
+        skipped = bool(parent and parent.skipped) or tag in SKIPPED
         self.numbers += 1
         values = dict(attrs)
         sure = tag == "main" or values.get("role") == "main" or values.get("itemprop") == "articleBody"
         doubts = parent.doubts if parent else ()
-        if attrs and not skipped and not sure and tag not in ("html", "body"):
-            words = named(tag, values, bool(parent and parent.inside_main))
-            if words:
+        if not skipped and not sure and tag not in ("html", "body"):
+            in_main = bool(parent and parent.inside_main)
+            words = named(tag, values, in_main) if attrs else set()
+            around = self.around(tag, values, in_main)
+            if words or around:
                 doubts = (*doubts, self.numbers)
-                self.doubtful[self.numbers] = not words.isdisjoint(OTHERS)
+                self.doubtful[self.numbers] = around or not words.isdisjoint(OTHERS)
+            if around:
+                self.surrounding.add(self.numbers)
         marked = sure or tag == "article"
-        self.stack.append(Element(tag, self.numbers, skipped, inside, marked or tag in CONTAINERS, doubts))
+        place = parent.place if parent else None
+        if marked or tag in CONTAINERS:
+            inner = place.marked if place else ()
+            inner = (*inner, self.numbers) if marked and not skipped else inner
+            place = Place(self.numbers, place, place.depth + 1 if place else 1, inner)
+        in_item = tag in ITEMS or bool(parent and parent.in_item)
+        in_heading = tag in HEADINGS or bool(parent and parent.in_heading)
+        self.stack.append(
+            Element(tag, self.numbers, skipped, inside, place, in_item, in_heading, doubts)
+        )
+        self.open[tag] += 1
         if marked and not skipped:
             self.mains[self.numbers] = doubts
             if sure:
@@ -181,7 +218,7 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag == "br":
             self.parts.append((" ", (), False))
-        for at in range(len(self.stack) - 1, -1, -1):
+        for at in range(len(self.stack) - 1, -1, -1) if self.open[tag] else ():
             if self.stack[at].tag == tag:
                 if any(e.tag in BLOCKS for e in self.stack[at:]):
                     self.flush()
@@ -200,6 +237,8 @@ class Lines(HTMLParser):
         self.flush()
 
     def close_open(self, tags, barrier):
+        if not any(self.open[tag] for tag in tags):
+            return
         for at in range(len(self.stack) - 1, -1, -1):
             if self.stack[at].tag in tags:
                 self.pop(at)
@@ -210,25 +249,30 @@ class Lines(HTMLParser):
     def pop(self, at):
         for element in self.stack[at:]:
             self.links -= element.tag == "a"
+            self.open[element.tag] -= 1
         del self.stack[at:]
 
-    def skips(self, tag, attrs, inside_main) -> bool:
-        """Whether an element is no part of an article, whatever it is called."""
-        if tag in SKIPPED or (tag == "header" and not inside_main):
+    def parse_marked_section(self, i, report=1):
+        """A section that the parser does not know is a comment up to the next ``>``."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.rawdata.find(">", i) + 1 or -1
+
+    def around(self, tag: str, values: dict[str, str | None], inside_main: bool) -> bool:
+        """Whether an element surrounds articles by what it is, whatever it is called."""
+        if tag in AROUND or (tag == "header" and not inside_main):
             return True
-        if tag in ("html", "body", "main") or not attrs:
-            return False
-        values = {k: v or "" for k, v in attrs}
         if "hidden" in values or values.get("aria-hidden") == "true":
             return True
-        return bool(_HIDDEN.search(values.get("style", ""))) or values.get("role", "").lower() in ROLES
+        style, role = values.get("style") or "", (values.get("role") or "").lower()
+        return bool(_HIDDEN.search(style)) or role in ROLES
 
     def flush(self):
         if any(not text.isspace() for text, _, _ in self.parts if text):
-            path = tuple(e.number for e in self.stack if e.place)
-            tags = {e.tag for e in self.stack}
-            listed = not tags.isdisjoint(ITEMS) and tags.isdisjoint(HEADINGS)
-            self.blocks.append(Block(self.parts, self.tags, path, listed))
+            last = self.stack[-1] if self.stack else None
+            listed = bool(last and last.in_item and not last.in_heading)
+            self.blocks.append(Block(self.parts, self.tags, last.place if last else None, listed))
             self.tags = 0
         self.parts = []
 
@@ -241,16 +285,17 @@ class Lines(HTMLParser):
         if not self.doubtful:
             return set()
         chosen = content(lines_of(self.blocks, set())).tolist()
-        mass, articles = dict.fromkeys(self.doubtful, 0), dict.fromkeys(self.doubtful, 0)
+        mass, articles, plain = (dict.fromkeys(self.doubtful, 0) for _ in range(3))
         total = free = 0
         marked = False
         for block, is_content in zip(self.blocks, chosen, strict=True):
-            inside = [self.mains[n] for n in block.path if n in self.mains]
+            inside = [self.mains[n] for n in block.place.marked] if block.place else []
             for text, doubts, link in block.parts:
                 size = len(" ".join(text.split()))
                 total += size * is_content
                 for number in doubts:
                     mass[number] += size * is_content
+                    plain[number] += size * (not link)
                 if not doubts:
                     free += size * (not link)
                     marked = marked or bool(size and inside)
@@ -259,6 +304,8 @@ class Lines(HTMLParser):
                         articles[number] += size * (not link)
         kept = {n for main in self.sure for n in self.mains[main]}
         for number, other in self.doubtful.items():
+            if number in self.surrounding and plain[number] < ENOUGH:
+                continue
             if mass[number] > (NEARLY_ALL if other else MOST) * total and not (other and marked):
                 kept.add(number)
             elif not other and not marked and articles[number] and articles[number] >= free:
@@ -295,7 +342,7 @@ def lines_of(blocks: list[Block], left_out: set[int]) -> list[Line]:
         text = " ".join("".join(part[0] for part in parts).split())
         if text:
             link_chars = sum(len(part[0]) for part in parts if part[2])
-            lines.append(Line(text, tags, link_chars, block.path, block.listed))
+            lines.append(Line(text, tags, link_chars, block.place, block.listed))
             tags = 0
     return lines
 
@@ -319,38 +366,63 @@ def content(lines: list[Line]) -> np.ndarray:
 def main_text(html: str) -> str:
     """Main text of a page; see :func:`extract`."""
     page = Lines()
-    start = html.rfind("<")
-    # A tag that the end of the page cuts off is no text.
-    page.feed(html[:start] if _CUT_OFF.fullmatch(html, max(start, 0)) else html)
+    # A tag that the end of the page cuts off is no text, and nor is what follows it.
+    cut = _CUT_OFF.search(html, html.rfind(">") + 1)
+    page.feed(html[: cut.start()] if cut else html)
     page.close()
     lines = lines_of(page.blocks, page.surroundings())
     if not lines:
         return ""
     texts = [line.text for line in lines]
-    marked = [not page.mains.keys().isdisjoint(line.path) for line in lines]
+    marked = [bool(line.place and line.place.marked) for line in lines]
     if any(marked):
         return "\n".join(t for t, inside in zip(texts, marked, strict=True) if inside)
     # Without a marked article, runs of links in lists are menus.
     menus = menu_lines(lines)
-    region: tuple[int, ...] | None = None
-    for line, is_content, is_menu in zip(lines, content(lines).tolist(), menus, strict=True):
-        if is_content and not is_menu:
-            region = line.path if region is None else common(region, line.path)
-    depth = len(region or ())
+    clustered = zip(lines, content(lines).tolist(), menus, strict=True)
+    inside = within(smallest([line.place for line, is_content, menu in clustered if is_content and not menu]))
     kept = [
         line.text
         for line, is_menu in zip(lines, menus, strict=True)
-        if line.path[:depth] == (region or ()) and not is_menu
+        if inside(line.place) and not is_menu
     ]
     return "\n".join(kept or texts)
 
 
-def common(a: tuple[int, ...], b: tuple[int, ...]) -> tuple[int, ...]:
-    """Containers that both paths go through."""
-    n = 0
-    while n < min(len(a), len(b)) and a[n] == b[n]:
-        n += 1
-    return a[:n]
+def smallest(places: list[Place | None]) -> Place | None:
+    """The smallest container around all places; each container is passed once."""
+    if not places or None in places:
+        return None
+    chain, at = set(), places[0]
+    while at is not None:
+        chain.add(at)
+        at = at.around
+    region, passed = places[0], set(chain)
+    for at in places:
+        while at is not None and at not in passed:
+            passed.add(at)
+            at = at.around
+        if at is None:
+            return None
+        if at in chain and at.depth < region.depth:
+            region = at
+    return region
+
+
+def within(region: Place | None) -> Callable[[Place | None], bool]:
+    """Whether a place is a region or lies in it; everything lies in no region."""
+    known: dict[Place | None, bool] = {region: True, None: region is None}
+
+    def inside(place: Place | None) -> bool:
+        passed = []
+        while place not in known:
+            passed.append(place)
+            place = place.around
+        found = known[place]
+        known.update(dict.fromkeys(passed, found))
+        return found
+
+    return inside
 
 
 def menu_lines(lines: list[Line]) -> list[bool]:

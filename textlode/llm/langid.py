@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, append_columns, fresh, slices, texts_of, unit
+from .common import Memo, append_columns, fresh, kept, slices, texts_of, unit
 
 UNKNOWN = "und"
 #: Least mean probability of a document's language that is not rejected.
@@ -359,15 +359,9 @@ def predict(
     return append_columns(docs, compute, [(pred, T.StringType()), (score, T.DoubleType())])
 
 
-_MEMOS: dict[str, Memo] = {}
-
-
 def _memo(model: Model) -> Memo:
     """The memory of a worker for the model of its tasks."""
-    if model.name not in _MEMOS:
-        _MEMOS.clear()
-        _MEMOS[model.name] = Memo(model.chunk_scores)
-    return _MEMOS[model.name]
+    return kept(__name__, model.name, lambda: Memo(model.chunk_scores, group=__name__))
 
 
 def keep_identified(

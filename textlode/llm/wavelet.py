@@ -14,7 +14,6 @@ import unicodedata
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ from tokenizers import Tokenizer, normalizers, pre_tokenizers
 from textlode.plans.storage import new_folder
 
 from .bpe import chunks_of
-from .common import Memo, slices, texts_of
+from .common import Memo, kept, slices, texts_of
 from .components import stored
 from .files import create, reader, task_file
 
@@ -283,9 +282,8 @@ class _Encoder:
         return [b"".join([*map(look, one), end]) for one in words]
 
 
-@lru_cache(maxsize=2)
 def _encoder(path: str) -> _Encoder:
-    return _Encoder(path)
+    return kept(__name__, path, lambda: _Encoder(path))
 
 
 def write_shards(
