@@ -672,13 +672,11 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
 
 
 def _pipeline_parts() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
-    """Queries and SQL of the training-data operators, where these are installed."""
+    """Queries and SQL of the training-data operators, where these and all they need are installed."""
     try:
         import corpus_pipeline
         from textlode.llm import queries as llm
-    except ModuleNotFoundError as error:
-        if error.name not in ("corpus_pipeline", "textlode.llm"):
-            raise
+    except ImportError:
         return {}, {}
     found = {query.__name__: query for query in llm.QUERIES} | {"pipeline": corpus_pipeline.run}
     written = llm.oracle_sql()
