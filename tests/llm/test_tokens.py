@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 from samples import ODD, SF, docs, no_docs, odd_docs  # noqa: F401
@@ -95,6 +96,24 @@ def test_op9_odd_texts(odd_docs, no_docs, library):
         assert r.ids == ids_of(library, r.text)
 
 
+def test_encoder_of_token_files_equals_the_library(library):
+    rng = random.Random(5)
+    encoder = wavelet._Encoder(TOKENIZER)
+    ends = ["", "'", "...", "$$$", "'s", "<|", ".!!"]
+    texts = [chr(c) + "a." for c in range(0x20, 0x3000)] + ["a" + chr(c) + "'" for c in range(0x20, 0x3000)]
+    texts += [
+        " ".join(
+            "".join(chr(rng.randrange(0x20, 0x260)) for _ in range(rng.randrange(1, 9))) + rng.choice(ends)
+            for _ in range(8)
+        )
+        for _ in range(2000)
+    ]
+    texts += ["", None, " ", "it's dogs' a<|endoftext|>b.", "абв. где!! ΟΔΟΣ.", "Ab" * 300, "İstanbul.\u0301"]
+    for text, ids in zip(texts, encoder.encode(pa.array(texts)), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == [*ids_of(library, text), 1], text
+    assert encoder.encode(pa.array([], pa.string())) == []
+
+
 def test_op7_equals_the_library(spark, docs, library):
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
     got = sorted(map(tuple, op7_token_ids(spark, SF).collect()))

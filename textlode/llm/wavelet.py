@@ -9,14 +9,18 @@ per block, a token is read, counted or found in a step for each plane.
 from __future__ import annotations
 
 import json
+import re
+import string
 import struct
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -25,8 +29,8 @@ from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from textlode.plans.storage import new_folder
 
-from .bpe import chunks_of
-from .common import Memo, kept, slices, texts_of
+from .bpe import byte_letters
+from .common import Memo, kept, pieces
 from .components import stored
 from .files import create, reader, task_file
 
@@ -36,11 +40,12 @@ END_ID = 1
 BLOCK = 512
 #: A shard is closed with the document that reaches so many tokens.
 SHARD_TOKENS = 4_000_000
-SLICE_CHARS = 2_000_000
 MEMO_WORDS = 500_000
-#: Marks that are a piece of their own behind letters.
-MARKS = ".,;:!?"
-#: Runs of letters that are encoded at a call.
+#: Latin letters with one letter as lower case, composed, and letters to every version of Unicode.
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+#: A run of them with ASCII marks behind it.
+PLAIN = f"^(?P<word>[{LATIN}]+)(?P<marks>[{re.escape(string.punctuation)}]*)$"
+#: Runs of other letters that are encoded at a call.
 RUN = 400
 
 
@@ -202,9 +207,11 @@ class Shard:
 class _Encoder:
     """The library's identifiers of whole texts; parts between white space are remembered.
 
-    A part that is a run of letters, or one with a mark behind it, is two pieces for the
-    library at most; its letters are remembered for all such parts, and many runs of
-    letters are encoded as one text, whose words end where an identifier ends a word.
+    A part that is a run of letters, or one with ASCII marks behind it, is two pieces for
+    the library at most.  Its letters are remembered for all such parts; Latin ones go to
+    the library's model as they are, for normaliser and pattern change nothing in them.
+    Many runs of other letters are encoded as one text, whose words end where an identifier
+    ends a word.
     """
 
     def __init__(self, path: str):
@@ -228,16 +235,25 @@ class _Encoder:
                 pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
             ]
         )
-        self.marks = {m: self._whole([m])[0] for m in MARKS}
-        self.memo = Memo(self._chunks, MEMO_WORDS)
+        self.bytes = dict(enumerate(byte_letters()))
+        self.latin = Memo(self._latin, MEMO_WORDS)
         self.letters = Memo(self._letters, MEMO_WORDS)
+        self.marks = Memo(self._whole, MEMO_WORDS)
+        self.others = Memo(self._others, MEMO_WORDS)
 
     def _whole(self, chunks: list[str]) -> list[bytes]:
         made = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
         return [np.array(m.ids, "<u4").tobytes() for m in made]
 
+    def _latin(self, words: list[str]) -> Iterator[bytes]:
+        """Identifiers of runs of Latin letters in lower case."""
+        tokens, table = self.runs.model.tokenize, self.bytes
+        for word in words:
+            spelt = word if word.isascii() else word.encode().decode("latin-1").translate(table)
+            yield array("I", [token.id for token in tokens(spelt)]).tobytes()
+
     def _letters(self, words: list[str]) -> Iterator[bytes]:
-        """Identifiers of runs of letters, some hundred at a call."""
+        """The same for any letters, some hundred at a call."""
         for at in range(0, len(words), RUN):
             part = words[at : at + RUN]
             (made,) = self.runs.encode_batch_fast([" ".join(part)], add_special_tokens=False)
@@ -251,19 +267,23 @@ class _Encoder:
                 yield data[start:end]
                 start = end
 
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        plain: list[tuple[str, str]] = []
+    def _others(self, chunks: list[str]) -> list[bytes]:
+        """Identifiers of parts that are not Latin letters with ASCII marks behind them."""
+        words, marks, odd = [], [], []
         for chunk in chunks:
-            mark = chunk[-1] if chunk[-1] in self.marks else ""
-            word = (chunk[:-1] if mark else chunk).lower()
-            known = word.isalpha() and (word.isascii() or self._settled(word))
-            plain.append((word, mark) if known else ("", chunk))
-        self.letters.learn([word for word, _ in plain if word])
-        look, marks = self.letters.look, self.marks
-        odd = iter(self._whole([rest for word, rest in plain if not word]))
+            word = chunk.rstrip(string.punctuation)
+            low = word.lower()
+            known = low.isalpha() and (low.isascii() or self._settled(low))
+            words.append(low if known else "")
+            marks.append(chunk[len(word) :] if known else "")
+            if not known:
+                odd.append(chunk)
+        self.letters.learn(filter(None, words))
+        self.marks.learn(marks)
+        look, behind, rest = self.letters.look, self.marks.look, iter(self._whole(odd))
         return [
-            (look(word) + marks[rest] if rest else look(word)) if word else next(odd)
-            for word, rest in plain
+            look(word) + behind(mark) if word else next(rest)
+            for word, mark in zip(words, marks, strict=True)
         ]
 
     @staticmethod
@@ -274,12 +294,58 @@ class _Encoder:
             and word.lower() == word
         )
 
-    def encode(self, texts: Sequence[str]) -> list[bytes]:
-        """Bytes of uint32 identifiers of each text, with the end mark."""
-        words = [chunks_of(text) for text in texts]
-        self.memo.learn(*words)
-        look, end = self.memo.look, struct.pack("<I", END_ID)
-        return [b"".join([*map(look, one), end]) for one in words]
+    def _parts(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Identifiers of different parts, one after another, and how many each part has."""
+        found = pc.extract_regex(chunks, PLAIN)
+        plain = found.is_valid()
+        words = pc.utf8_lower(pc.struct_field(found, "word").filter(plain)).dictionary_encode()
+        marks = pc.struct_field(found, "marks").filter(plain).dictionary_encode()
+        made: list[bytes] = []
+        for memo, wanted in (
+            (self.latin, words.dictionary),
+            (self.marks, marks.dictionary),
+            (self.others, chunks.filter(pc.invert(plain))),
+        ):
+            strings = wanted.to_numpy(zero_copy_only=False).tolist()
+            memo.learn(strings)
+            made.extend(map(memo.look, strings))
+        made.append(b"")
+        # A plain part is its word and its marks, any other is one piece and nothing.
+        known = plain.to_numpy(zero_copy_only=False)
+        units = np.full((len(chunks), 2), len(made) - 1)
+        units[known, 0] = words.indices.to_numpy()
+        units[known, 1] = marks.indices.to_numpy() + len(words.dictionary)
+        rest = len(words.dictionary) + len(marks.dictionary)
+        units[~known, 0] = np.arange(rest, len(made) - 1)
+        size = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        ids, sizes = _taken(np.frombuffer(b"".join(made), "<u4"), size, units.ravel())
+        return ids, sizes.reshape(-1, 2).sum(axis=1)
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Bytes of uint32 identifiers of each text, with the end mark; null texts are empty.
+
+        Texts part at ASCII white space, at which the library's tokens never join; the
+        different parts of a batch are encoded once.
+        """
+        parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = parts.flatten().dictionary_encode()
+        ids, sizes = _taken(*self._parts(coded.dictionary), coded.indices.to_numpy())
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        data, end = ids.tobytes(), struct.pack("<I", END_ID)
+        start, out = 0, []
+        for stop in (4 * ends[np.diff(parts.offsets.to_numpy()).cumsum()]).tolist():
+            out.append(data[start:stop] + end)
+            start = stop
+        return out
+
+
+def _taken(ids: np.ndarray, sizes: np.ndarray, nth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ``nth`` runs of those that lie one after another in ``ids``, and their sizes."""
+    first, size = (np.cumsum(sizes) - sizes)[nth], sizes[nth]
+    ends = np.cumsum(size)
+    at = np.arange(ends[-1] if len(ends) else 0)
+    at += np.repeat(first - ends + size, size)
+    return ids[at], size
 
 
 def _encoder(path: str) -> _Encoder:
@@ -321,9 +387,9 @@ def write_shards(
             return pa.RecordBatch.from_pylist([row])
 
         for batch in batches:
-            texts, names = texts_of(batch, "text"), batch.column(0).to_pylist()
-            for a, b in slices(texts, SLICE_CHARS):
-                for name, made in zip(names[a:b], encoder.encode(texts[a:b]), strict=True):
+            for piece in pieces(batch):
+                names = piece.column(0).to_pylist()
+                for name, made in zip(names, encoder.encode(piece.column(1)), strict=True):
                     ids.append(name)
                     held.append(made)
                     size += len(made) // 4
