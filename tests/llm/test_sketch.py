@@ -8,11 +8,11 @@ from textlode.llm import sketch
 from textlode.llm.queries import op6_document_fingerprints
 
 
-def parts(text):
+def parts(text, mean):
     """Paragraphs of a text, each with its number among equal ones."""
     data, found, seen = text.encode(), set(), {}
     start = 0
-    for end in sketch.cuts(data).tolist() if data else []:
+    for end in sketch.cuts(data, mean).tolist() if data else []:
         piece = data[start:end]
         seen[piece] = seen.get(piece, 0) + 1
         found.add((piece, seen[piece]))
@@ -21,7 +21,8 @@ def parts(text):
 
 
 def alike(a, b):
-    a, b = parts(a), parts(b)
+    mean = sketch.fineness(max(len(a.encode()), len(b.encode())))
+    a, b = parts(a, mean), parts(b, mean)
     return 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
 
 
@@ -63,8 +64,24 @@ def test_paragraphs_cover_the_text():
     for _, text in ODD:
         data = (text or "").encode()
         if data:
-            ends = sketch.cuts(data).tolist()
-            assert ends[-1] == len(data) and ends == sorted(set(ends))
+            fine = None
+            for _, mean in sketch.PIECE_BYTES:
+                ends = sketch.cuts(data, mean).tolist()
+                assert ends[-1] == len(data) and ends == sorted(set(ends))
+                assert fine is None or set(ends) <= fine
+                fine = set(ends)
+
+
+def test_one_character_less_changes_little_at_every_length(docs):
+    texts = [r.text for r in docs.where("n_chars > 2200").orderBy("doc_id").limit(12).collect()]
+    for text in texts:
+        whole = text.encode().decode("ascii", "ignore")
+        versions = sketch._Texts([whole[:n] for n in range(200, 2102)])
+        n = len(versions.data)
+        near, _ = sketch.alike(versions.span(1, n), versions.span(0, n - 1))
+        assert near.min() > 0.9 and np.quantile(near, 0.02) > 0.95 and near.mean() > 0.97
+        for bound, _ in sketch.PIECE_BYTES[1:]:
+            assert near[bound - 201] > 0.95  # n = bound against n = bound - 1
 
 
 def test_query_equals_sets_of_paragraphs(spark, docs):
@@ -79,6 +96,8 @@ def test_query_equals_sets_of_paragraphs(spark, docs):
                 assert prints[a] == prints[b]
     assert np.mean([r.near_edited > r.near_next for r in got]) > 0.95
     assert np.mean([r.near_edited for r in got]) > 0.6
+    assert np.mean([r.tries_edited == 1 for r in got]) > 0.5
+    assert all(r.tries_next >= 1 for r in got)
 
 
 def test_odd_texts(spark, odd_docs, no_docs):

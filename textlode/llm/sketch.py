@@ -5,6 +5,10 @@ of digests and the xor of their checks; each digest is in one cell of each third
 Two versions' sketches are subtracted; cells with a single digest are peeled until
 nothing is left, which recovers the digests that differ.  If peeling gets stuck,
 both sketches are made again with more cells and another salt.
+
+How fine paragraphs are is a property of the pair that is compared: both texts are cut
+as the longer one of them is, so a length on the other side of a bound changes nothing
+but the fineness of both.
 """
 
 from __future__ import annotations
@@ -27,10 +31,11 @@ from .common import slices
 
 HASHES = 3
 #: Cells of a fingerprint; a retry has ``GROWTH`` times as many.
-CELLS = 18
-GROWTH = 8
-#: Mean bytes of a paragraph's content-defined pieces, for texts from so many bytes.
-PIECE_BYTES = ((0, 4), (256, 16), (2048, 32))
+CELLS = 60
+GROWTH = 4
+#: Mean bytes of a paragraph's content-defined pieces, for texts from so many bytes.  Each
+#: is a multiple of those before it, so coarser cuts are some of the finer ones.
+PIECE_BYTES = ((0, 4), (512, 8), (1024, 16), (2048, 32))
 #: Bytes before a cut that decide on it.
 WINDOW = 4
 #: Stored bytes of input for one block of consecutive documents.
@@ -39,11 +44,14 @@ SLICE_CHARS = 1_000_000
 
 
 # -- paragraphs ------------------------------------------------------------
-def cuts(data: bytes) -> np.ndarray:
+def fineness(size: int) -> int:
+    """Mean bytes of the pieces of a text of so many bytes."""
+    return next(mean for least, mean in reversed(PIECE_BYTES) if size >= least)
+
+
+def cuts(data: bytes, mean: int) -> np.ndarray:
     """Ends of the paragraphs of a text: behind line ends, and within lines where the
     hash of the last bytes says so, so that an edit moves only the cuts around it."""
-    size = len(data)
-    mean = next(mean for least, mean in reversed(PIECE_BYTES) if size >= least)
     codes = np.frombuffer(data, np.uint8).astype(np.uint32)
     mixed = codes.copy()
     for back in range(1, WINDOW):
@@ -55,19 +63,18 @@ def cuts(data: bytes) -> np.ndarray:
     return np.flatnonzero(cut) + 1
 
 
-def digests(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Paragraph digests of all texts and how many each has.
+def digests(texts: Sequence[bytes], means: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Paragraph digests of all texts, cut with these mean sizes, and how many each has.
 
     The k-th occurrence of a paragraph has a digest of its own, so a text is a set.
     """
     found, sizes = [], []
     digest = xxhash.xxh64_intdigest
-    for text in texts:
-        data = text.encode("utf-8")
+    for data, mean in zip(texts, means, strict=True):
         if not data:
             sizes.append(0)
             continue
-        ends = cuts(data).tolist()
+        ends = cuts(data, mean).tolist()
         start = 0
         for end in ends:
             found.append(digest(data[start:end]))
@@ -118,6 +125,9 @@ class Sketches:
             self.count - other.count, self.keys ^ other.keys, self.checks ^ other.checks, self.salt
         )
 
+    def some(self, rows: np.ndarray) -> Sketches:
+        return Sketches(self.count[rows], self.keys[rows], self.checks[rows], self.salt)
+
     def dump(self) -> list[str]:
         rows = np.concatenate(
             [
@@ -204,15 +214,16 @@ def _rows(keys: np.ndarray, counts: np.ndarray, rows: np.ndarray) -> tuple[np.nd
 def likeness(
     a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
     first: Sketches | None = None, second: Sketches | None = None,
-) -> np.ndarray:
-    """Share of common paragraphs of each pair of texts: 2 common / (all of both), 1 if both are empty.
+) -> tuple[np.ndarray, np.ndarray]:
+    """Share of common paragraphs of each pair of texts, and the tries that it took.
 
-    ``a`` and ``b`` are the results of :func:`digests`; ``first`` and ``second`` their
-    sketches if these exist.  The number of differing paragraphs is what peeling
-    recovers, with ever larger sketches for the pairs that are stuck.
+    2 common / (all of both), 1 if both are empty.  ``a`` and ``b`` are the results of
+    :func:`digests`; ``first`` and ``second`` their sketches if these exist.  The number
+    of differing paragraphs is what peeling recovers, with ever larger sketches for the
+    pairs that are stuck.
     """
     total = a[1] + b[1]
-    differing = np.zeros(len(total), np.int64)
+    differing, tries = np.zeros(len(total), np.int64), np.zeros(len(total), np.int64)
     open_rows = np.arange(len(total))
     cells, salt = CELLS, 0
     while len(open_rows):
@@ -222,12 +233,61 @@ def likeness(
         owner, _, _, done = peel(first.minus(second))
         counted = np.bincount(owner, minlength=len(open_rows))
         differing[open_rows[done]] = counted[done]
+        tries[open_rows] += 1
         open_rows = open_rows[~done]
         # More cells than twice the digests of both texts never help; then only the salt changes.
         most = int(total[open_rows].max()) if len(open_rows) else 0
         cells = min(cells * GROWTH, max(cells, HASHES * -(-2 * most // HASHES)))
         salt += 1
-    return np.where(total > 0, (total - np.minimum(differing, total)) / np.maximum(total, 1), 1.0)
+    return np.where(total > 0, (total - np.minimum(differing, total)) / np.maximum(total, 1), 1.0), tries
+
+
+class _Texts:
+    """Texts with their digests and sketches, each cut as its own length wants it."""
+
+    def __init__(self, texts: Sequence[str]):
+        self.data = [text.encode("utf-8") for text in texts]
+        self.means = np.array([fineness(len(data)) for data in self.data], np.int64)
+        self.keys, self.counts = digests(self.data, self.means.tolist())
+        self.sketches = sketch(self.keys, self.counts)
+
+    def span(self, start: int, stop: int) -> _Texts:
+        """Some consecutive texts."""
+        part = object.__new__(_Texts)
+        ends = np.concatenate(([0], np.cumsum(self.counts)))
+        part.data, part.means = self.data[start:stop], self.means[start:stop]
+        part.keys, part.counts = self.keys[ends[start] : ends[stop]], self.counts[start:stop]
+        part.sketches = self.sketches.some(np.arange(start, stop))
+        return part
+
+    def cut_as(self, means: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Digests with other mean sizes; only texts whose size is another are cut again."""
+        rows = np.flatnonzero(means != self.means)
+        if not len(rows):
+            return self.keys, self.counts
+        keys, counts = digests([self.data[i] for i in rows], means[rows].tolist())
+        spans = np.split(self.keys, np.cumsum(self.counts)[:-1])
+        for row, span in zip(rows.tolist(), np.split(keys, np.cumsum(counts)[:-1]), strict=True):
+            spans[row] = span
+        all_counts = self.counts.copy()
+        all_counts[rows] = counts
+        return np.concatenate(spans), all_counts
+
+
+def alike(a: _Texts, b: _Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Likeness of each pair of texts, both cut as the longer one is, and the tries.
+
+    Sketches that exist are subtracted where both texts are cut alike; the others are made anew.
+    """
+    means = np.maximum(a.means, b.means)
+    same = a.means == b.means
+    first, second = a.cut_as(means), b.cut_as(means)
+    near, tries = np.ones(len(means)), np.ones(len(means), np.int64)
+    for rows, fitting in ((np.flatnonzero(same), True), (np.flatnonzero(~same), False)):
+        if len(rows):
+            made = (a.sketches.some(rows), b.sketches.some(rows)) if fitting else ()
+            near[rows], tries[rows] = likeness(_rows(*first, rows), _rows(*second, rows), *made)
+    return near, tries
 
 
 # -- documents and their successors ----------------------------------------
@@ -280,7 +340,9 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """Fingerprint of each text and of its edited text, and how like the versions are.
 
     (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next).  The following document is that of the next larger identifier, after
+    near_next, tries_edited, tries_next).  A fingerprint is the sketch of a text that is cut
+    as its own length wants it; the tries are the sketches that a likeness took, 1 where
+    the first ones could be peeled.  The following document is that of the next larger identifier, after
     the last one the first; null texts count as empty.  Rows with one identifier follow
     each other in the order of their texts' hashes, those with a null identifier come
     first.  A single document follows itself.  Equal texts have equal fingerprints.
@@ -313,7 +375,8 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return dealt.mapInArrow(
         run,
         "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
-        "edited_fingerprint string, near_edited double, near_next double",
+        "edited_fingerprint string, near_edited double, near_next double, "
+        "tries_edited int, tries_next int",
     )
 
 
@@ -321,29 +384,29 @@ def _compare(rows: list[tuple[int | None, str, str]]) -> pa.RecordBatch:
     texts = [text for _, text, _ in rows]
     changed = [edited(text, following) for _, text, following in rows]
     # Mostly each row's successor is the next row; only the others are read again.
-    chained = len(rows) > 1 and all(rows[i][2] is rows[i + 1][1] for i in range(len(rows) - 1))
-    own, new = digests(texts), digests(changed)
+    chained = all(rows[i][2] is rows[i + 1][1] for i in range(len(rows) - 1))
+    new = _Texts(changed)
     if chained:
-        last = digests([rows[-1][2]])
-        first = own[1][0]
-        following = (
-            np.concatenate([own[0][first:], last[0]]), np.concatenate([own[1][1:], last[1]])
-        )
+        line = _Texts([*texts, rows[-1][2]])
+        own, following = line.span(0, len(rows)), line.span(1, len(rows) + 1)
     else:
-        following = digests([following for _, _, following in rows])
-    sketches = [sketch(*x) for x in (own, new, following)]
+        own, following = _Texts(texts), _Texts([following for _, _, following in rows])
+    near_edited, tries_edited = alike(own, new)
+    near_next, tries_next = alike(own, following)
     return pa.RecordBatch.from_arrays(
         [
             pa.array([name for name, _, _ in rows], pa.int64()),
             pa.array([len(text) for text in texts], pa.int64()),
-            pa.array([hashlib.sha256(t.encode("utf-8")).hexdigest() for t in changed]),
-            pa.array(sketches[0].dump()),
-            pa.array(sketches[1].dump()),
-            pa.array(likeness(own, new, sketches[0], sketches[1])),
-            pa.array(likeness(own, following, sketches[0], sketches[2])),
+            pa.array([hashlib.sha256(data).hexdigest() for data in new.data]),
+            pa.array(own.sketches.dump()),
+            pa.array(new.sketches.dump()),
+            pa.array(near_edited),
+            pa.array(near_next),
+            pa.array(tries_edited, pa.int32()),
+            pa.array(tries_next, pa.int32()),
         ],
         names=[
             "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-            "near_edited", "near_next",
+            "near_edited", "near_next", "tries_edited", "tries_next",
         ],
     )
