@@ -3,6 +3,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from check_oracle import rows_of
 from samples import ODD, SF, docs, no_docs, odd_docs  # noqa: F401
 
@@ -62,6 +63,24 @@ def test_large_rates_are_sums(spark):
     assert {r.copy for r in mixed if r.doc_id == 1} == set(range(1, n + 1))
 
 
+def test_rows_without_identifier_differ(spark):
+    rows = [(None, "s", f"text {i}") for i in range(4000)] + [(None, "s", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    mixed = mixing.replicate(docs, copy="copy")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        dealt = mixing.replicate(docs).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(dealt) > 1 and max(r["count"] for r in dealt) < 3000
+    got = {}
+    for r in mixed.collect():
+        got[r.text] = got.get(r.text, 0) + 1
+    for _, _, text in rows:
+        assert got.get(text, 0) == plain_count(1.0, hashlib.md5((text or "").encode()).hexdigest())
+    assert len(set(got.values())) > 2
+
+
 def test_order_is_global(spark, docs):
     order = [r.doc_id for r in mixing.replicate(docs).collect()]
     again = [r.doc_id for r in mixing.replicate(docs).collect()]
@@ -76,7 +95,7 @@ def test_odd_texts(odd_docs, no_docs):
         key = (r.doc_id, r.text)
         counts[key] = counts.get(key, 0) + 1
     for i, text in ODD:
-        n = plain_count(1.0, "" if i is None else i)
+        n = plain_count(1.0, hashlib.md5(text.encode()).hexdigest() if i is None else i)
         assert counts.get((i, text), 0) == n * (2 if i == 9 else 1)
     assert mixing.replicate(no_docs).columns == no_docs.columns
     assert mixing.replicate(no_docs).count() == 0

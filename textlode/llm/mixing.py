@@ -91,7 +91,8 @@ def replicate(
     The number of a document is the smallest k with a distribution function at k
     above a hash of seed and identifier.  All columns stay; ``copy`` (from 1) and
     ``rate`` name columns to add.  Rows with one identifier are repeated equally
-    often, a null identifier counts as an empty one.  No rows give no rows.
+    often.  A row without identifier goes by the MD5 of its text (null: empty), so such
+    rows differ in number and place as their texts do.  No rows give no rows.
     """
     taken = {name: fresh(docs, name) for name in ("src", "cdf", "parts", "rate_", "copy_", "place")}
     found = rates(docs, source, text, weights).select("source", "rate")
@@ -112,7 +113,8 @@ def replicate(
     joined = docs.join(
         table, F.col(source).cast("string").eqNullSafe(F.col(taken["src"])), "inner"
     )
-    key = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+    own = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    key = F.coalesce(F.col(doc_id).cast("string"), own)
     cdf = F.col(taken["cdf"])
 
     def number(part: Column) -> Column:

@@ -158,7 +158,7 @@ u AS (
     JOIN l ON d.source IS NOT DISTINCT FROM l.source),
 n AS (
   SELECT doc_id, source, text, rate, sum(len(list_filter(cdf, lambda x : x <=
-    ('0x' || md5('{mixing.SEED}:' || part || ':' || coalesce(doc_id::VARCHAR, ''))[1:13])::UBIGINT
+    ('0x' || md5('{mixing.SEED}:' || part || ':' || coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))))[1:13])::UBIGINT
     / {float(16**13)!r}))) AS n FROM u GROUP BY ALL)
 SELECT doc_id, source, unnest(range(1, n::BIGINT + 1)) AS copy, round(rate, 6) AS rate, text FROM n
 WHERE n > 0
