@@ -79,6 +79,19 @@ def test_odd_vectors(odd_vectors):
     assert ann.nearest(odd_vectors, nothing).collect() == []
 
 
+def test_many_different_vectors_tie(spark):
+    rng = np.random.default_rng(7)
+    for trial in range(3):
+        base = rng.normal(size=6)
+        order = rng.permutation(np.arange(1, 61)).tolist()
+        # Powers of two scale without rounding, so the cosines are equal to the last bit.
+        rows = [(0, base.tolist())] + [(i, (base * 2.0**k).tolist()) for k, i in enumerate(order, -30)]
+        rows += [(i, rng.normal(size=6).tolist()) for i in range(100, 160)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = found_of(ann.nearest(df, df.where("vec_id = 0")))
+        assert [i for _, i in got[0]] == [1, 2, 3, 4, 5], trial
+
+
 def test_many_equal_vectors(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(0, 2000, 2)]

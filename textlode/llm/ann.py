@@ -147,13 +147,15 @@ def _hashed(vectors: DataFrame, query: bool) -> DataFrame:
 
 
 def _best(queries: np.ndarray, rows: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, rows, cosines) of the ``n`` nearest rows, by position."""
+    """(query, rows, cosines) of the ``n`` nearest rows and all that tie with them, by position."""
     (q, q_norm), (x, x_norm) = unit_rows(queries), unit_rows(rows)
     near = (q @ x.T) / x_norm
-    n = min(n, len(rows))
+    place = len(rows) - min(n, len(rows))
+    # Products and cosines differ from the exact values by less than this.
+    rounding = 8 * (rows.shape[1] + 2) * np.finfo(np.float64).eps * q_norm
     for i in range(len(queries)):
-        # A few more than wanted, then the measure itself, so that ties are equal.
-        top = np.argpartition(-near[i], min(2 * n, len(rows)) - 1)[: 2 * n]
+        # The measure itself is taken of all rows that may be among the nearest.
+        top = np.flatnonzero(near[i] >= np.partition(near[i], place)[place] - rounding[i])
         exact = (x[top] * q[i]).sum(axis=1) / (x_norm[top] * q_norm[i])
         yield i, top, exact
 
