@@ -1,3 +1,4 @@
+import base64
 import time
 import hashlib
 import html
@@ -180,6 +181,42 @@ def test_salvage(packed, damage):
     assert gaps and gaps[0][0] == start
 
 
+def foreign(i, size=2000, padding=0, digest=None):
+    """A record as crawlers write it: base32 digests, further head lines."""
+    rng = random.Random(i)
+    body = bytes(rng.randrange(32, 127) for _ in range(size))
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + body
+    b32 = [base64.b32encode(hashlib.sha1(x).digest()).decode() for x in (block, body)]
+    head = (
+        f"WARC/1.0\r\nWARC-Type: response\r\nX-Page-ID: {i}\r\nX-Long: {'y' * padding}\r\n"
+        f"WARC-Block-Digest: sha1:{digest or b32[0]}\r\nWARC-Payload-Digest: sha1:{b32[1]}\r\n"
+        f"Content-Length: {len(block)}\r\n\r\n"
+    )
+    return head.encode() + block + b"\r\n\r\n"
+
+
+def test_foreign_records_are_sound():
+    plain = [foreign(0), foreign(1, padding=100_000), foreign(2, padding=600_000), foreign(3, 400_000)]
+    assert read(b"".join(plain)) == ([0, 1, 2, 3], [])
+    assert read(b"".join(map(warc.member, plain))) == ([0, 1, 2, 3], [])
+    wrong = foreign(4, digest="A" * 32)
+    records, gaps = read(b"".join([plain[0], wrong, plain[1]]))
+    assert records == [0, 1] and gaps == [(len(plain[0]), len(plain[0]) + len(wrong))]
+
+
+def test_members_of_several_records():
+    records = [foreign(i) for i in range(6)]
+    packed = warc.member(b"".join(records[:4])) + warc.member(b"".join(records[4:]))
+    found = list(warc.salvage(io.BytesIO(packed)))
+    assert [int(r.head["x-page-id"]) for r in found] == list(range(6))
+    assert found[-1].end == len(packed)
+    wrong = warc.member(b"".join([records[0], foreign(9, digest="A" * 32), records[2]]))
+    found = list(warc.salvage(io.BytesIO(wrong + warc.member(records[3]))))
+    assert [type(f) is warc.Gap for f in found] == [False, False, True, False]
+    assert [int(f.head["x-page-id"]) for f in found if type(f) is warc.Record] == [0, 2, 3]
+    assert (found[2].start, found[2].end) == (0, len(wrong)) and "digest" in found[2].reason
+
+
 def test_salvage_of_nothing():
     assert read(b"") == ([], [])
     assert read(b"no archive at all") == ([], [(0, 17)])

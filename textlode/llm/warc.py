@@ -1,12 +1,13 @@
 """WARC archives: a writer, and a reader that goes on behind damage.
 
-The reader checks each record (compressed member, head, length, digests).  After a
-failed check it searches for the next valid member or version line, goes on with
+The reader checks each record (compressed member, head, length, digests in hex or
+base32); a member may hold several records.  After a failed check it searches for the next valid member or version line, goes on with
 the records from there and reports the bytes in between as a gap.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -34,8 +35,10 @@ NAMES = uuid.UUID("5f1d3d0e-8c0a-4c0f-9b39-1c5c5a1e7a42")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 _LINE = re.compile(rb"WARC/1\.[01]\r?\n")
+_HEAD_END = re.compile(rb"\r?\n\r?\n")
 _MEMBER = b"\x1f\x8b\x08"
-_GOOD_HEAD = 1 << 16
+#: No head is longer.
+HEAD_BYTES = 1 << 24
 
 
 class Damage(ValueError):
@@ -142,6 +145,8 @@ def write_archives(marked: DataFrame, folder: str, file_bytes: int = FILE_BYTES)
 # -- reading ---------------------------------------------------------------
 @dataclass(frozen=True)
 class Record:
+    """A record and the bytes of its member; records of one member share them."""
+
     start: int
     end: int
     head: dict[str, str]
@@ -174,12 +179,12 @@ class Source:
         return self.buffer[begin : begin + n]
 
 
-def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
-    """Head, block and length of the record at the beginning of ``data``."""
-    line = _LINE.match(data)
+def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
+    """Head and block of the record at a position of ``data``, and where it ends."""
+    line = _LINE.match(data, at)
     if not line:
         raise Damage("no version line")
-    stop = re.compile(rb"\r?\n\r?\n").search(data, line.end() - 2)
+    stop = _HEAD_END.search(data, line.end() - 2)
     if not stop:
         raise Damage("head without end")
     head = {}
@@ -208,8 +213,20 @@ def payload(block: bytes) -> bytes:
 
 
 def check_digest(stated: str | None, data: bytes, what: str) -> None:
-    if stated and stated.startswith("sha1:") and hashlib.sha1(data).hexdigest() != stated[5:].lower():
-        raise Damage(f"wrong {what}")
+    if stated and stated.lower().startswith("sha1:"):
+        if hashlib.sha1(data).hexdigest() != hex_digest(stated):
+            raise Damage(f"wrong {what}")
+
+
+def hex_digest(stated: str) -> str:
+    """A ``sha1:`` digest in lower-case hex, also if it is stated in base32."""
+    _, _, value = stated.partition(":")
+    if len(value) == 32:
+        try:
+            return base64.b32decode(value.upper()).hex()
+        except ValueError:
+            return value.lower()
+    return value.lower()
 
 
 def _inflate(source: Source, at: int, most: int | None = None) -> tuple[bytes, int]:
@@ -232,7 +249,11 @@ def _inflate(source: Source, at: int, most: int | None = None) -> tuple[bytes, i
 def _plain(source: Source, at: int) -> tuple[dict[str, str], bytes, int]:
     """The record of an archive that is not compressed, at a position."""
     data = source.read(at, min(CHUNK, source.size - at))
-    stop = re.compile(rb"\r?\n\r?\n").search(data[:_GOOD_HEAD])
+    stop, size = _HEAD_END.search(data), CHUNK
+    while not stop and _LINE.match(data) and size < min(HEAD_BYTES, source.size - at):
+        size *= 2
+        data = source.read(at, min(size, source.size - at))
+        stop = _HEAD_END.search(data)
     length = re.search(rb"(?i)\ncontent-length:[ \t]*(\d+)", data[: stop.end()] if stop else b"")
     need = stop.end() + int(length[1]) + 4 if length else 0
     if length and need > len(data):
@@ -242,16 +263,25 @@ def _plain(source: Source, at: int) -> tuple[dict[str, str], bytes, int]:
     return parse(data)
 
 
-def _record_at(source: Source, at: int) -> Record:
-    start = source.read(at, 3)
-    if start == _MEMBER:
-        data, end = _inflate(source, at)
-        head, block, size = parse(data)
-        if size != len(data):
-            raise Damage("member holds more than a record")
-        return Record(at, end, head, block)
-    head, block, size = _plain(source, at)
-    return Record(at, at + size, head, block)
+def _records_at(source: Source, at: int) -> list[Record | Gap]:
+    """The record at a position, or all of the member there, with a gap for what is damaged."""
+    if source.read(at, 3) != _MEMBER:
+        head, block, size = _plain(source, at)
+        return [Record(at, at + size, head, block)]
+    data, end = _inflate(source, at)
+    found: list[Record | Gap] = []
+    inside, reason = 0, ""
+    while inside < len(data):
+        try:
+            head, block, inside = parse(data, inside)
+            found.append(Record(at, end, head, block))
+        except Damage as error:
+            reason = reason or str(error)
+            line = _LINE.search(data, inside + 1)
+            inside = line.start() if line else len(data)
+    if not found:
+        raise Damage(reason or "member without record")
+    return [*found, Gap(at, end, f"in a member of several records: {reason}")] if reason else found
 
 
 def _next_start(source: Source, at: int) -> int:
@@ -283,13 +313,14 @@ def _next_start(source: Source, at: int) -> int:
 def salvage(file) -> Iterator[Record | Gap]:
     """Records of an archive in order, and a gap wherever bytes had to be left out.
 
-    An empty file gives nothing.  A gap ends where the next record passes all checks.
+    An empty file gives nothing.  A gap ends where the next record passes all checks.  If
+    only some records of a member do, these are followed by a gap of the member's bytes.
     """
     source = Source(file)
     at, bad, reason = 0, None, ""
     while at < source.size:
         try:
-            found = _record_at(source, at)
+            found = _records_at(source, at)
         except Damage as error:
             if bad is None:
                 bad, reason = at, str(error)
@@ -298,8 +329,8 @@ def salvage(file) -> Iterator[Record | Gap]:
         if bad is not None:
             yield Gap(bad, at, reason)
             bad = None
-        yield found
-        at = found.end
+        yield from found
+        at = found[-1].end
     if bad is not None:
         yield Gap(bad, source.size, reason)
 
@@ -361,7 +392,7 @@ def _row(path: str, found: Record | Gap) -> dict:
         "refers_to": int(refers) if refers else None,
         "payload": None if revisit else body,
         "payload_bytes": int(stated[1]) if revisit and stated else len(body),
-        "payload_digest": (head.get("warc-payload-digest") or "").removeprefix("sha1:")
+        "payload_digest": hex_digest(head.get("warc-payload-digest") or "")
         if revisit
         else hashlib.sha1(body).hexdigest(),
     }
