@@ -418,6 +418,17 @@ def index_search(spark, sf_dir):
     return TermIndex.open(spark, tables.path, "pruned").search(KNOWN_SEARCH, 25)
 
 
+def index_search_blocks(spark, sf_dir):
+    """Requests answered block by block from a folder of two batches."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = new_folder(spark, "index")
+    side = F.coalesce(F.pmod("doc_id", F.lit(2)), F.lit(0))
+    for half in (0, 1):
+        write_index(spark, docs.where(side == half), path, Analyzer(), blocks=True)
+    found = TermIndex.open(spark, path, "float").search_blocks(requests_from_benchmark(spark, sf_dir))
+    return found.results.withColumn("rank", F.col("rank").cast("long"))
+
+
 def index_rebuild(spark, sf_dir):
     """An index built in two calls over one folder holds both halves."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -650,6 +661,7 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     update_stream,
     index_tables,
     index_search,
+    index_search_blocks,
     index_rebuild,
     index_upsert,
     update_one,

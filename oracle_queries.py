@@ -473,6 +473,7 @@ def registered(known: str, unknown: str, benchmark: str) -> dict[str, str]:
         "index_tables": f"""WITH {postings('p', 'documents')} SELECT token,
           sum(tf)::BIGINT AS sum_tf, count(*) AS df FROM p GROUP BY 1""",
         "index_search": single_query(known, "pruned", 25),
+        "index_search_blocks": batch_query(benchmark, "float"),
         "index_rebuild": f"""WITH {postings('p', 'documents')} SELECT token,
           sum(tf)::BIGINT AS sum_tf, count(*) AS df, (SELECT count(*) FROM documents) AS n_docs,
           (SELECT count(DISTINCT doc_id) FROM p) AS n_with_tokens FROM p GROUP BY 1""",

@@ -1,9 +1,10 @@
 """The index as Parquet tables.
 
-    <path>/term_freq/batch_id=K/token_bucket=B   (doc_id, token, tf, ord)
-    <path>/forward/batch_id=K/doc_bucket=D       (doc_id, ord, terms [(token, tf), ...])
+    <path>/term_freq/batch_id=K/token_bucket=B   (doc_id, token, tf, ord, block)
+    <path>/forward/batch_id=K/doc_bucket=D       (doc_id, ord, block, terms [(token, tf), ...])
     <path>/docs/batch_id=K/doc_bucket=D          (doc_id, has_tokens, ord, replaces)
     <path>/token_df/batch_id=K/token_bucket=B    (token, df)   changes of df
+    <path>/block_max/batch_id=K/token_bucket=B   (token, block, max_tf, n), where asked for
     <path>/commits/batch_id=K                    one row that says the batch is complete
 
 Postings are stored twice.  ``term_freq`` has them by a bucket of their token: a lookup of
@@ -13,6 +14,11 @@ tokens.  ``forward`` has them by a bucket of their document: an upsert finds wha
 documents held before in the folders of their buckets.  Texts are analysed once, into
 ``forward``; ``term_freq`` is made from there.
 
+Documents belong to blocks: classes of like length, each dealt to parts by hash.  A token's
+postings are sorted by block, and ``block_max`` has the highest tf of each block for tokens of
+``HEAVY_DF`` documents or more, which bounds the scores of a block's documents (see
+:mod:`textlode.operators.blockmax`).
+
 A batch counts once its commit row is written, last of all; readers see the postings,
 documents and changes of committed batches and nothing else.  The row also holds the
 number of documents, the type of the key and the numbers of buckets, so a search
@@ -41,13 +47,17 @@ from textlode.plans.sizing import input_bytes, spread_width
 from textlode.plans.storage import stored
 
 TABLE_SCHEMAS = {
-    "term_freq": "doc_id {key}, token STRING, tf BIGINT, ord BIGINT, batch_id BIGINT, token_bucket INT",
-    "forward": "doc_id {key}, ord BIGINT, terms ARRAY<STRUCT<token: STRING, tf: BIGINT>>, "
+    "term_freq": "doc_id {key}, token STRING, tf BIGINT, ord BIGINT, block INT, "
+    "batch_id BIGINT, token_bucket INT",
+    "forward": "doc_id {key}, ord BIGINT, block INT, terms ARRAY<STRUCT<token: STRING, tf: BIGINT>>, "
     "batch_id BIGINT, doc_bucket INT",
     "docs": "doc_id {key}, has_tokens BOOLEAN, ord BIGINT, replaces BOOLEAN, batch_id BIGINT, "
     "doc_bucket INT",
     "token_df": "token STRING, df BIGINT, batch_id BIGINT, token_bucket INT",
+    "block_max": "token STRING, block INT, max_tf BIGINT, n BIGINT, batch_id BIGINT, "
+    "token_bucket INT",
     "commits": "n_docs BIGINT, n_with_tokens BIGINT, resets BOOLEAN, replaces BOOLEAN, "
+    "resent BOOLEAN, blocks BOOLEAN, "
     "key_type STRING, buckets INT, feed STRING, feed_batch BIGINT, batch_id BIGINT",
 }
 #: Least and most folders that tokens, and documents, of a new index are dealt to; between
@@ -55,6 +65,8 @@ TABLE_SCHEMAS = {
 TOKEN_BUCKETS = 16
 MOST_BUCKETS = 4_096
 BUCKET_BYTES = 512 * 1024 * 1024
+#: Documents of a batch from which on a token's highest tf are stored by block.
+HEAVY_DF = 64
 #: Code points of a text for each row of ``forward`` that its terms are split into.
 FORWARD_CHARS = 1_000_000
 #: A batch's documents are broadcast up to so many bytes of files.
@@ -69,41 +81,52 @@ def doc_bucket(doc_id: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(buckets)).cast("int")
 
 
+def doc_block(doc_id: Column, size: Column, buckets: int) -> Column:
+    """Number of a document's block: the class of its size, two to a doubling, then a hash.
+
+    There are at most 64 classes, so at most 64 x ``MOST_BUCKETS`` blocks.
+    """
+    size_class = F.least(F.floor(F.log2(size + F.lit(1)) * 2), F.lit(63))
+    part = F.pmod(F.xxhash64(doc_id, F.lit(2)), F.lit(buckets))
+    return (size_class * buckets + part).cast("int")
+
+
 def buckets_for(docs: DataFrame) -> int:
     """Folders for a new index of documents, by the bytes of their files."""
     return int(min(MOST_BUCKETS, max(TOKEN_BUCKETS, -(-input_bytes(docs) // BUCKET_BYTES))))
 
 
 def forward_rows(docs: DataFrame, analyzer: Analyzer, replace: bool, buckets: int) -> DataFrame:
-    """(doc_id, ord, terms, doc_bucket) of one batch of ``in_order`` documents.
+    """(doc_id, ord, block, terms, doc_bucket) of one batch of ``in_order`` documents.
 
     Where each document has one row the texts are dealt to tasks by document, a multiple of
     ``buckets`` of them, so that counting needs no further shuffle and a task's rows
     belong to one bucket.  The terms of a long text make several rows.
     """
     rows = docs.where(F.col("text").isNotNull())
-    parts = F.greatest(F.ceil(F.char_length("text") / FORWARD_CHARS), F.lit(1)).cast("int")
+    chars = F.char_length("text").alias("chars")
     if "seq" in docs.columns:
-        lengths = rows.groupBy("doc_id").agg(F.max(parts).alias("parts"))
+        lengths = rows.select("doc_id", chars).groupBy("doc_id").agg(F.max("chars").alias("chars"))
         counted = batch_postings(docs, analyzer, replace).join(lengths, "doc_id")
-        keys = ["doc_id", "ord", "parts"]
+        keys = ["doc_id", "ord", "chars"]
     else:
         width = spread_width(docs)
         width = -(-width // buckets) * buckets
         place = F.pmod(F.xxhash64("doc_id"), F.lit(width)).cast("int")
-        source = rows.select("doc_id", "ord", "text", parts.alias("parts"), place.alias("place"))
+        source = rows.select("doc_id", "ord", "text", chars, place.alias("place"))
         source = source.repartitionById(width, F.col("place"))
-        keys = ["doc_id", "ord", "parts", "place"]
+        keys = ["doc_id", "ord", "chars", "place"]
         counted = analyzer.tokens(source, *keys).groupBy(*keys, "token").agg(
             F.count(F.lit(1)).alias("tf")
         )
-    part = F.pmod(F.xxhash64("token", F.lit(1)), F.col("parts"))
-    kept = [k for k in keys if k != "parts"]
-    grouped = counted.groupBy(*kept, part.alias("part")).agg(
+    parts = F.greatest(F.ceil(F.col("chars") / FORWARD_CHARS), F.lit(1)).cast("int")
+    part = F.pmod(F.xxhash64("token", F.lit(1)), parts)
+    grouped = counted.groupBy(*keys, part.alias("part")).agg(
         F.collect_list(F.struct("token", F.col("tf").cast("long").alias("tf"))).alias("terms")
     )
     made = grouped.select(
-        "doc_id", F.col("ord").cast("long").alias("ord"), "terms",
+        "doc_id", F.col("ord").cast("long").alias("ord"),
+        doc_block(F.col("doc_id"), F.col("chars"), buckets).alias("block"), "terms",
         doc_bucket(F.col("doc_id"), buckets).alias("doc_bucket"),
     )
     aligned = "seq" not in docs.columns and analyzer.vocabulary_stemmer is None
@@ -126,6 +149,37 @@ class Snapshot:
     def buckets(self) -> int:
         return self.commits[-1]["buckets"]
 
+    @property
+    def flat(self) -> bool:
+        """Whether no document was sent again, so that the log is the current view."""
+        return not any(row["resent"] for row in self.commits[1:])
+
+    @property
+    def has_blocks(self) -> bool:
+        """Whether the highest tf by block are stored and bound the scores of the view."""
+        return self.flat and all(row["blocks"] for row in self.commits)
+
+    def block_maxima(self, listed: DataFrame, buckets: Sequence[int]) -> DataFrame:
+        """(token, block, max_tf, n) for the listed tokens, all of them in some buckets.
+
+        ``n`` is the number of postings.  Those of tokens too rare to be stored are
+        taken from their postings.
+        """
+        keys = ["token", "batch_id"]
+        held = self._of(self._committed("block_max"), None, buckets).join(listed, "token", "left_semi")
+        rows = self._of(self._committed("term_freq"), None, buckets).join(listed, "token", "left_semi")
+        rare = rows.join(held.select(*keys).distinct(), keys, "left_anti")
+        counted = rare.select("token", "block", F.col("tf").alias("max_tf"), F.lit(1).alias("n"))
+        every = held.select("token", "block", "max_tf", "n").unionByName(counted)
+        return every.groupBy("token", "block").agg(
+            F.max("max_tf").alias("max_tf"), F.sum("n").alias("n")
+        )
+
+    def block_postings(self, buckets: Sequence[int]) -> DataFrame:
+        """(doc_id, token, tf, block) of a view that has blocks."""
+        log = self._of(self._committed("term_freq"), None, buckets)
+        return log.select("doc_id", "token", "tf", "block")
+
     def postings(
         self,
         replace: bool | None = None,
@@ -138,7 +192,7 @@ class Snapshot:
         none; by default each batch is read as it was written.
         """
         log = self._of(self._committed("term_freq"), tokens, buckets)
-        if len(self.commits) == 1:
+        if len(self.commits) == 1 or (self.flat and replace is None):
             return log.select("doc_id", "token", "tf")
         return current_postings(log, *self._replacing(replace))
 
@@ -184,15 +238,21 @@ class IndexTables:
     """Reads and writes the tables of one index folder.
 
     ``key_type`` is the type of ``doc_id`` of a new index, ``buckets`` its number of folders
-    (by default by the size of the first batch); an existing index knows its own.
+    (by default by the size of the first batch), ``blocks`` says whether ``block_max`` is
+    written; an existing index knows its own.
     """
 
     def __init__(
-        self, spark: SparkSession, path: str, key_type: str = "BIGINT", buckets: int | None = None
+        self,
+        spark: SparkSession,
+        path: str,
+        key_type: str = "BIGINT",
+        buckets: int | None = None,
+        blocks: bool = False,
     ):
         self.spark = spark
         self.path = path.rstrip("/")
-        self._new_key, self._new_buckets = key_type, buckets
+        self._new_key, self._new_buckets, self._new_blocks = key_type, buckets, blocks
 
     # -- commits -----------------------------------------------------------
     def commits(self) -> list[Row]:
@@ -271,15 +331,20 @@ class IndexTables:
         )
         self._write_by_document(own_docs.repartition("doc_bucket"), f"docs/batch_id={batch_id}")
         own = self._batch("forward", key, batch_id)
-        postings = own.select("doc_id", F.inline("terms"), "ord")
-        self._write_bucketed(postings, f"term_freq/batch_id={batch_id}", buckets)
-        changes, added, with_tokens = self._changes(before, batch_id, key)
+        postings = own.select("doc_id", F.inline("terms"), "ord", "block")
+        self._write_bucketed(postings, f"term_freq/batch_id={batch_id}", buckets, "block")
+        blocks = last["blocks"] if last else self._new_blocks
+        if blocks:
+            self._write_maxima(batch_id, key, buckets)
+        changes, added, with_tokens, again = self._changes(before, batch_id, key)
         self._write_bucketed(changes, f"token_df/batch_id={batch_id}", buckets)
         row = Row(
             n_docs=added + (last["n_docs"] if last else 0),
             n_with_tokens=with_tokens + (last["n_with_tokens"] if last else 0),
             resets=resets,
             replaces=replace,
+            resent=bool(again),
+            blocks=blocks,
             key_type=key,
             buckets=buckets,
             feed=feed,
@@ -291,8 +356,21 @@ class IndexTables:
         schema = TABLE_SCHEMAS["commits"].rpartition(",")[0]
         self._write(self.spark.createDataFrame([row], schema).coalesce(1), f"commits/batch_id={batch_id}")
 
-    def _changes(self, before: list[Row], batch_id: int, key: str) -> tuple[DataFrame, int, int]:
-        """(token, df) changes of a batch just written, and those of both numbers of documents.
+    def _write_maxima(self, batch_id: int, key: str, buckets: int) -> None:
+        """Highest tf and postings by token and block, of tokens in many documents of a batch."""
+        own = self._batch("term_freq", key, batch_id)
+        cells = own.groupBy("token", "block").agg(
+            F.max("tf").alias("max_tf"), F.count(F.lit(1)).alias("n")
+        )
+        df = F.sum("n").over(Window.partitionBy("token"))
+        heavy = cells.withColumn("df", df).where(F.col("df") >= HEAVY_DF).drop("df")
+        self._write_bucketed(heavy, f"block_max/batch_id={batch_id}", buckets, "block")
+
+    def _changes(
+        self, before: list[Row], batch_id: int, key: str
+    ) -> tuple[DataFrame, int, int, int]:
+        """(token, df) changes of a batch just written, those of both numbers of documents, and
+        how many of its documents were here before.
 
         A document that was here before changes df where a token is in its view after the
         batch but was not before it, or the other way round.
@@ -303,7 +381,7 @@ class IndexTables:
         whole = tokens.groupBy("token").agg(count.alias("df"))
         if not before:
             n = mine.agg(count.alias("n"), F.count_if("has_tokens").alias("t")).head()
-            return whole, n["n"], n["t"]
+            return whole, n["n"], n["t"], 0
         earlier = Snapshot(self, before)
         touched = F.col("doc_bucket").isin(self._buckets_of(batch_id))
         small = input_bytes(mine) <= BATCH_FILE_BYTES
@@ -335,7 +413,7 @@ class IndexTables:
             (F.count_if("have") - F.count_if("had")).alias("t"),
         ).head()
         if not n["again"]:
-            return whole, n["added"], n["t"]
+            return whole, n["added"], n["t"], 0
         views = per_doc.select("doc_id", "begin_before", "begin_after")
         views = F.broadcast(views) if small else views
         old = earlier._committed("forward").where(touched).withColumn("new", F.lit(False))
@@ -350,7 +428,7 @@ class IndexTables:
             (F.max("after") - F.max("before")).cast("long").alias("n")
         )
         changes = signed.where("n <> 0").groupBy("token").agg(F.sum("n").alias("df")).where("df <> 0")
-        return changes, n["added"], n["t"]
+        return changes, n["added"], n["t"], n["again"]
 
     def _buckets_of(self, batch_id: int) -> list[int]:
         """Document buckets that a batch wrote to, by the names of its folders."""
@@ -373,7 +451,8 @@ class IndexTables:
         now = self.snapshot()
         last = now.commits[-1]
         target = IndexTables(self.spark, path, last["key_type"], last["buckets"])
-        target._write_view(now.postings(), now.documents(), target.next_batch(), last, resets=True)
+        postings = stored(now.postings(), "postings")
+        target._write_view(postings, now.documents(), target.next_batch(), last, resets=True)
         return target
 
     def _write_view(
@@ -381,9 +460,15 @@ class IndexTables:
     ) -> None:
         order, buckets = F.lit(batch_id).cast("long").alias("ord"), last["buckets"]
         bucket = doc_bucket(F.col("doc_id"), buckets).alias("doc_bucket")
-        self._write_bucketed(
-            postings.select("doc_id", "token", "tf", order), f"term_freq/batch_id={batch_id}", buckets
+        # As many parts as its number of tokens asks for, to keep rows bounded.
+        sizes = postings.groupBy("doc_id").agg(
+            F.ceil(F.count(F.lit(1)) / FORWARD_CHARS).alias("parts"),
+            doc_block(F.col("doc_id"), F.sum("tf"), buckets).alias("block"),
         )
+        of_doc = sizes.select(F.col("doc_id").alias("_doc"), "block")
+        sized = postings.join(of_doc, F.col("doc_id").eqNullSafe(F.col("_doc")))
+        sized = sized.select("doc_id", "token", "tf", order, "block")
+        self._write_bucketed(sized, f"term_freq/batch_id={batch_id}", buckets, "block")
         self._write_by_document(
             docs.select("doc_id", "has_tokens", order, F.lit(False).alias("replaces"), bucket)
             .repartition("doc_bucket"),
@@ -391,16 +476,19 @@ class IndexTables:
         )
         own = self._batch("term_freq", last["key_type"], batch_id)
         terms = F.collect_list(F.struct("token", "tf")).alias("terms")
-        # As many parts as its number of tokens asks for, to keep rows bounded.
-        sizes = own.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / FORWARD_CHARS).alias("parts"))
         part = F.pmod(F.xxhash64("token", F.lit(1)), F.col("parts")).alias("part")
-        forward = own.join(sizes, "doc_id").groupBy("doc_id", part).agg(terms)
+        parts = sizes.select("doc_id", "parts")
+        forward = own.join(parts, "doc_id").groupBy("doc_id", "block", part).agg(terms)
         self._write_by_document(
-            forward.select("doc_id", order, "terms", bucket).hint("rebalance", "doc_bucket"),
+            forward.select("doc_id", order, "block", "terms", bucket).hint("rebalance", "doc_bucket"),
             f"forward/batch_id={batch_id}",
         )
         self._write_bucketed(document_frequency(own), f"token_df/batch_id={batch_id}", buckets)
-        row = last.asDict() | {"resets": resets, "replaces": False, "feed": None, "feed_batch": None}
+        if last["blocks"]:
+            self._write_maxima(batch_id, last["key_type"], buckets)
+        row = last.asDict() | {
+            "resets": resets, "replaces": False, "resent": False, "feed": None, "feed_batch": None,
+        }
         row.pop("batch_id")
         self._commit(Row(**row), batch_id)
 
@@ -414,13 +502,13 @@ class IndexTables:
             .parquet(f"{self.path}/{table}")
         )
 
-    def _write_bucketed(self, df: DataFrame, table: str, buckets: int) -> None:
+    def _write_bucketed(self, df: DataFrame, table: str, buckets: int, *then: str) -> None:
         """Sorted by token within the folder of its bucket; large buckets are split."""
         dealt = df.withColumn("token_bucket", token_bucket(F.col("token"), buckets)).hint(
             "rebalance", "token_bucket"
         )
         (
-            dealt.sortWithinPartitions("token_bucket", "token")
+            dealt.sortWithinPartitions("token_bucket", "token", *then)
             .write.mode("overwrite")
             .option("compression", "zstd")
             .partitionBy("token_bucket")
@@ -469,13 +557,14 @@ def write_index(
     analyzer: Analyzer,
     overwrite: bool = False,
     buckets: int | None = None,
+    blocks: bool = False,
 ) -> IndexTables:
     """Index documents (doc_id, text) in a folder.
 
     A folder that holds an index is extended by them; with ``overwrite`` they take
     its place, in one step: readers see the old index until the new one is complete.
     """
-    tables = IndexTables(spark, path, docs.schema["doc_id"].dataType.simpleString(), buckets)
+    tables = IndexTables(spark, path, docs.schema["doc_id"].dataType.simpleString(), buckets, blocks)
     commits = tables.commits()
     batch = max((row["batch_id"] for row in commits), default=-1) + 1
     tables.write_batch(docs, batch, analyzer, resets=overwrite or not commits, before=commits)
