@@ -553,11 +553,26 @@ def read_documents_chars(spark, sf_dir):
     folder = new_folder(spark, "files")
     docs = read_table(spark, sf_dir, "documents")
     docs.select("source", "text").write.partitionBy("source").text(folder)
-    files = read_documents(spark, folder)
+    files = read_documents(spark, folder, every_file=False)
     source = F.regexp_extract("doc_id", "/source=([^/]*)/", 1).alias("source")
     return files.groupBy(source).agg(F.sum(F.char_length("text")).alias("n_chars"))
 
 
+def read_every_file(spark, sf_dir):
+    """Texts written below folders that Spark's listing leaves out, read as documents.
+
+    The empty files and check sums that a writer leaves beside them are documents too;
+    these have no part in the sums.
+    """
+    folder = new_folder(spark, "files")
+    docs = read_table(spark, sf_dir, "documents")
+    docs.select(F.col("source").alias(".source"), "text").write.partitionBy(".source").text(folder)
+    files = read_documents(spark, folder)
+    written = files.where(F.endswith("doc_id", F.lit(".txt")))
+    source = F.regexp_extract("doc_id", r"/\.source=([^/]*)/", 1).alias("source")
+    return written.groupBy(source).agg(F.sum(F.char_length("text")).alias("n_chars"))
+
+
 def virtual_files(spark, sf_dir) -> DataFrame:
     """(path, content): pages under four extensions, as a directory scan gives them."""
     pages = pages_table(spark, sf_dir)
@@ -673,6 +688,7 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     tf_map_documents,
     tf_map_roundtrip,
     read_documents_chars,
+    read_every_file,
     extract_documents_chars,
     read_errors,
     markup_events_counts,

@@ -506,6 +506,8 @@ def registered(known: str, unknown: str, benchmark: str) -> dict[str, str]:
           sum(tf)::BIGINT AS sum_tf FROM p GROUP BY 1""",
         "read_documents_chars": "SELECT source, sum(length(text) + 1)::BIGINT AS n_chars "
         "FROM documents GROUP BY 1",
+        "read_every_file": "SELECT source, sum(length(text) + 1)::BIGINT AS n_chars "
+        "FROM documents GROUP BY 1",
         "extract_documents_chars": f"""WITH {virtual}, x AS (SELECT doc_id,
           CASE WHEN kind < 2 THEN text ELSE html END AS text FROM files WHERE kind < 3)
           SELECT doc_id, length(text) AS n_chars, md5(text) AS digest FROM x""",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlode.functions.markup import chardata_text
+from textlode.sources.listing import read_files
 
 # Extensions, compared as written.
 MARKUP_EXTENSIONS = ("xhtml", "html", "xml", "svg")
@@ -14,12 +15,17 @@ UNSUPPORTED = "unsupported"
 UNREADABLE = "unreadable"
 
 
-def read_documents(spark: SparkSession, directory: str, strict: bool = False) -> DataFrame:
+def read_documents(
+    spark: SparkSession, directory: str, strict: bool = False, every_file: bool = True
+) -> DataFrame:
     """(doc_id, text, error) of every regular file below ``directory``.
 
-    The document key is the absolute path.  Spark's file listing leaves out
-    names that start with ``_`` or ``.``, and its scan leaves out empty files.
+    The document key is the absolute path.  With ``every_file`` false Spark's own listing
+    is used: it reads any path that Spark can open, inside the JVM, but leaves out names
+    that start with ``_`` or ``.`` and empty files.
     """
+    if every_file:
+        return extract_documents(read_files(spark, directory), strict)
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
     )
