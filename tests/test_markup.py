@@ -80,3 +80,37 @@ def test_long_texts_do_not_recurse(value):
     many = "<a " + " ".join(f"k{i}='v'" for i in range(3000)) + ">x</a>"
     assert text_of(value, many, strict=True) == "x "
     assert text_of(value, many) == "x "
+
+
+DECLARED = (
+    '<!DOCTYPE r [<!ENTITY a "b">]>',
+    '<!DOCTYPE r [<!ENTITY a "x > y"><!ELEMENT r (#PCDATA)>]>',
+    "<!DOCTYPE r [<!-- it's > \" one --><!ENTITY % p '<!ENTITY q \"z\">'> %p;]>",
+    "<!DOCTYPE r [<!ATTLIST r <a <b>> >]>",
+    "<!DOCTYPE r SYSTEM 'a>b' [\n<?pi x?>\n<!NOTATION n PUBLIC \"->\">\n]>",
+)
+
+
+@pytest.mark.parametrize("declared", DECLARED)
+def test_declarations_hold_declarations(value, declared):
+    assert text_of(value, declared + "<r>t</r>") == "t "
+    assert text_of(value, declared + "<r>t</r>", strict=True) == "t "
+
+
+def test_declaration_value(value):
+    events = value(markup.markup_events, '<!DOCTYPE r [<!-- c > --><!ENTITY a "<!-- -->"><!--"-->]>t')
+    assert [tuple(e) for e in events] == [
+        ("directive", None, 'DOCTYPE r [ <!ENTITY a "<!-- -->"> ]'),
+        ("chardata", None, "t"),
+    ]
+
+
+def test_unpaired_declarations_end_at_their_first_bracket(value):
+    assert text_of(value, "<!DOCTYPE r [<!ENTITY a>t") == "t "
+    assert text_of(value, "<!DOCTYPE r><b>t</b>") == "t "
+    assert text_of(value, "<! " * 2000 + "t>u") == "u "
+
+
+def test_long_declarations(value):
+    many = "<!DOCTYPE r [" + '<!ENTITY e "v">\n' * 20_000 + "]>t"
+    assert text_of(value, many) == "t "

@@ -20,11 +20,22 @@ from pyspark.sql import functions as F
 
 from textlode.functions.text import literal_map
 
+#: Declarations inside declarations are matched to this depth; XML's own grammar has two.
+DECLARATION_DEPTH = 8
+
+
+def _declaration(depth: int) -> str:
+    """What stands in a declaration: brackets in pairs, quoted ones and comments apart."""
+    inner = rf"|<{_declaration(depth - 1)}>" if depth else ""
+    return rf"""(?:[^<>"']++|"[^"]*+"|'[^']*+'|<!--.*?-->{inner})*+"""
+
+
 # The pieces of a markup text, in order of preference.
 PIECE_PATTERN = (
     r"(?s)<!--.*?-->"
     r"|<!\[CDATA\[.*?\]\]>"
     r"|<\?.*?\?>"
+    rf"|<!(?!--|\[CDATA\[){_declaration(DECLARATION_DEPTH)}>"
     r"""|<[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>"""
     r"|<[^>]*>"
     r"|[^<]+"
@@ -107,6 +118,9 @@ def piece_events(piece: Column, strict: bool = False) -> Column:
     none = F.lit(None).cast("string")
     entities = XML_ENTITIES if strict else html_entities()
     inner = F.substring(piece, F.lit(3), F.char_length(piece) - 3)
+    # A comment inside a declaration counts as a blank, a quoted one stays.
+    before_comment = r"""((?:[^"'<]++|<(?!!--)|"[^"]*+"|'[^']*+')*+)"""
+    inner = F.regexp_replace(inner, rf"(?s)\G{before_comment}<!--.*?-->", "$1 ")
     start_name = F.regexp_extract(piece, r"^<\s*([^\s/>]+)", 1)
     attributes = F.trim(F.regexp_extract(piece, r"(?s)^<\s*[^\s/>]+(.*?)/?>$", 1))
     start = _event("start", start_name, attributes)
