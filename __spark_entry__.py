@@ -542,10 +542,14 @@ def tf_map_documents(spark, sf_dir):
 
 
 def tf_map_roundtrip(spark, sf_dir):
+    """Terms and documents of one export, the documents without terms included."""
     path = new_folder(spark, "tf_maps")
-    export_tf_maps(doc_postings(spark, sf_dir), path)
-    postings = import_tf_maps(spark, path, "LONG")
-    return postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("sum_tf"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    export_tf_maps(doc_postings(spark, sf_dir), path, docs)
+    postings, held = import_tf_maps(spark, path, "LONG"), import_documents(spark, path, "LONG")
+    n_docs = held.agg(F.count(F.lit(1)).alias("n")).scalar()
+    sums = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("sum_tf"))
+    return sums.withColumn("n_docs", n_docs)
 
 
 def read_documents_chars(spark, sf_dir):

@@ -503,7 +503,7 @@ def registered(known: str, unknown: str, benchmark: str) -> dict[str, str]:
         "compact_index": f"""WITH {postings('p', 'documents')} SELECT token,
           sum(tf)::BIGINT AS sum_tf, count(*) AS df FROM p GROUP BY 1""",
         "tf_map_roundtrip": f"""WITH {postings('p', 'documents')} SELECT token, count(*) AS df,
-          sum(tf)::BIGINT AS sum_tf FROM p GROUP BY 1""",
+          sum(tf)::BIGINT AS sum_tf, (SELECT count(*) FROM documents) AS n_docs FROM p GROUP BY 1""",
         "read_documents_chars": "SELECT source, sum(length(text) + 1)::BIGINT AS n_chars "
         "FROM documents GROUP BY 1",
         "read_every_file": "SELECT source, sum(length(text) + 1)::BIGINT AS n_chars "
