@@ -336,14 +336,14 @@ class IndexTables:
         blocks = last["blocks"] if last else self._new_blocks
         if blocks:
             self._write_maxima(batch_id, key, buckets)
-        changes, added, with_tokens, again = self._changes(before, batch_id, key)
+        changes, added, with_tokens = self._changes(before, batch_id, key)
         self._write_bucketed(changes, f"token_df/batch_id={batch_id}", buckets)
         row = Row(
             n_docs=added + (last["n_docs"] if last else 0),
             n_with_tokens=with_tokens + (last["n_with_tokens"] if last else 0),
             resets=resets,
             replaces=replace,
-            resent=bool(again),
+            resent=self._resent,
             blocks=blocks,
             key_type=key,
             buckets=buckets,
@@ -368,9 +368,10 @@ class IndexTables:
 
     def _changes(
         self, before: list[Row], batch_id: int, key: str
-    ) -> tuple[DataFrame, int, int, int]:
-        """(token, df) changes of a batch just written, those of both numbers of documents, and
-        how many of its documents were here before.
+    ) -> tuple[DataFrame, int, int]:
+        """(token, df) changes of a batch just written, and those of both numbers of documents.
+
+        Notes whether any of its documents was here before.
 
         A document that was here before changes df where a token is in its view after the
         batch but was not before it, or the other way round.
@@ -379,9 +380,10 @@ class IndexTables:
         count = F.count(F.lit(1))
         tokens = own.select(F.explode("terms.token").alias("token"))
         whole = tokens.groupBy("token").agg(count.alias("df"))
+        self._resent = False
         if not before:
             n = mine.agg(count.alias("n"), F.count_if("has_tokens").alias("t")).head()
-            return whole, n["n"], n["t"], 0
+            return whole, n["n"], n["t"]
         earlier = Snapshot(self, before)
         touched = F.col("doc_bucket").isin(self._buckets_of(batch_id))
         small = input_bytes(mine) <= BATCH_FILE_BYTES
@@ -412,8 +414,9 @@ class IndexTables:
             F.count_if("known").alias("again"),
             (F.count_if("have") - F.count_if("had")).alias("t"),
         ).head()
+        self._resent = bool(n["again"])
         if not n["again"]:
-            return whole, n["added"], n["t"], 0
+            return whole, n["added"], n["t"]
         views = per_doc.select("doc_id", "begin_before", "begin_after")
         views = F.broadcast(views) if small else views
         old = earlier._committed("forward").where(touched).withColumn("new", F.lit(False))
@@ -428,7 +431,7 @@ class IndexTables:
             (F.max("after") - F.max("before")).cast("long").alias("n")
         )
         changes = signed.where("n <> 0").groupBy("token").agg(F.sum("n").alias("df")).where("df <> 0")
-        return changes, n["added"], n["t"], n["again"]
+        return changes, n["added"], n["t"]
 
     def _buckets_of(self, batch_id: int) -> list[int]:
         """Document buckets that a batch wrote to, by the names of its folders."""
