@@ -127,7 +127,7 @@ def ngram_counts(spark, sf_dir):
 
 
 def analyze_counts(spark, sf_dir):
-    return counted(Analyzer().tokens(documents(spark, sf_dir), "doc_id"), "token")
+    return Analyzer().counted_tokens(documents(spark, sf_dir))
 
 
 def analyze_arrays(spark, sf_dir):
@@ -149,12 +149,11 @@ def stem_vocabulary(spark, sf_dir):
 
 def stem_vocabulary_counts(spark, sf_dir):
     analyzer = Analyzer(vocabulary_stemmer=porter2_stems)
-    return counted(analyzer.tokens(documents(spark, sf_dir), "doc_id"), "token")
+    return analyzer.counted_tokens(documents(spark, sf_dir))
 
 
 def byte_mode_counts(spark, sf_dir):
-    tokens = Analyzer(mode="bytes").tokens(documents(spark, sf_dir), "doc_id")
-    return counted(tokens, "token")
+    return Analyzer(mode="bytes").counted_tokens(documents(spark, sf_dir))
 
 
 def custom_tokenizer_counts(spark, sf_dir):
@@ -169,7 +168,7 @@ def custom_tokenizer_counts(spark, sf_dir):
 def custom_stemmer_counts(spark, sf_dir):
     """An own stemmer: the first four characters."""
     prefixes = Analyzer(stemmer=lambda token: F.substring(token, 1, 4))
-    return counted(prefixes.tokens(documents(spark, sf_dir), "doc_id"), "token")
+    return prefixes.counted_tokens(documents(spark, sf_dir))
 
 
 # -- statistics ------------------------------------------------------------

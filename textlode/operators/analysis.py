@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from textlode.functions import bytemode, text as tx
 from textlode.functions.stopwords import load_stopwords
-from textlode.plans.sizing import join_lookup
+from textlode.plans.sizing import join_lookup, spread_width
 from textlode.plans.storage import new_folder, stored
 
 
@@ -119,6 +119,17 @@ class Analyzer:
             self.words(docs, *keys, text=text), "word", "token", self.gram_sizes
         )
 
+    def counted_tokens(self, docs: DataFrame, text: str = "text") -> DataFrame:
+        """(token, n): how often each index token occurs in all texts.
+
+        Words are counted and stored before their n-grams are made, so a word is cut once,
+        and a task holds the tokens of a bounded number of different words.
+        """
+        words = stored(self.counted_words(docs, text=text), "counted")
+        dealt = words.repartition(spread_width(words))
+        rows = tx.gram_rows(dealt, "word", "token", self.gram_sizes)
+        return rows.groupBy("token").agg(F.sum("tf").alias("n"))
+
     def has_tokens(self, text: Column) -> Column:
         """True when the text yields at least one token.
 
