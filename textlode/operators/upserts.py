@@ -17,8 +17,13 @@ from pyspark.sql import functions as F
 
 from textlode.operators.analysis import Analyzer
 from textlode.operators.statistics import document_table, term_frequency
+from textlode.plans.sizing import input_bytes, spread_width, text_width
 from textlode.plans.storage import stored
 
+#: Files of a log of postings up to which it is merged in the tasks that read it.
+LOG_FILE_BYTES = 32 * 1024 * 1024
+
+
 def in_order(docs: DataFrame, batch_id: int = 0, unique: bool = False) -> DataFrame:
     """(doc_id, text, seq, ord): documents with the order their rows apply in.
 
@@ -52,8 +57,10 @@ def batch_postings(docs: DataFrame, analyzer: Analyzer, replace: bool = False) -
         return term_frequency(docs, analyzer).withColumn("ord", order)
     if replace:
         docs = last_in_batch(docs)
+    # The rows of a document sent many times go to as many tasks, a bounded part of the texts to each.
+    dealt = docs.repartition(text_width(docs), "doc_id", "seq")
     counted = (
-        analyzer.tokens(docs, "doc_id", "seq", "ord")
+        analyzer.tokens(dealt, "doc_id", "seq", "ord")
         .groupBy("doc_id", "token", "seq", "ord")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -88,8 +95,11 @@ def latest_postings(log: DataFrame) -> DataFrame:
     """Current (doc_id, token, tf): the highest ord wins, stale tokens stay.
 
     Both columns of the aggregation buffer are longs, so it stays a hash
-    aggregation with a map-side part.
+    aggregation with a map-side part.  Rows of a log beyond ``LOG_FILE_BYTES`` are dealt to
+    tasks by its size first: few of them repeat, so a map-side part would only hold them all.
     """
+    if input_bytes(log) > LOG_FILE_BYTES:
+        log = log.repartition(spread_width(log), "doc_id", "token")
     return log.groupBy("doc_id", "token").agg(F.max_by("tf", "ord").alias("tf"))
 
 

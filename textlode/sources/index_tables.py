@@ -544,9 +544,8 @@ class IndexTables:
         held = old.unionByName(own.withColumn("new", F.lit(True))).join(views, "doc_id")
         kinds = earlier.gram_batches()
         kinds.setdefault(grams, []).append(batch_id)
-        if any(kinds):
-            width = spread_width(held, VIEW_FILE_BYTES)
-            held = held.repartition(width, "doc_id")
+        # A few rows hold many tokens each: they are dealt by size before tokens are made of them.
+        held = held.repartition(spread_width(held, VIEW_FILE_BYTES), "doc_id")
         shown = held.select(
             "doc_id",
             F.explode("terms.token").alias("token"),
