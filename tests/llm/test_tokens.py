@@ -154,3 +154,13 @@ def test_damaged_token_file():
     data[-1] ^= 1
     with pytest.raises(ValueError):
         wavelet.Shard.load(bytes(data))
+
+
+def test_last_labels_are_sought_among_lengths_their_ending_has():
+    """op9: a word is not asked for labels longer than any that ends like it."""
+    merges = [("a", "b"), ("ab", "c"), ("abc", "d"), ("x", "abcd"), ("d", "e$")]
+    machine = bpe.Automaton([*"abcdex", "e$", "d$", "c$"], merges)
+    paths = bpe.WordPaths(machine, "$")
+    assert paths.reach[""].get("bcd") == 5 and "bcx" not in paths.reach[""]
+    for word in ("abcd", "xabcd", "abcde", "cde", "xabcc", "d", "abxabcde"):
+        assert paths.path(word) == machine.path([*word[:-1], f"{word[-1]}$"])

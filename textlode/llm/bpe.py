@@ -33,6 +33,8 @@ MEMO_WORDS = 300_000
 #: Remembered beginnings of words, and the longest word that is looked up by them.
 PATH_STATES = 150_000
 PATH_CHARS = 48
+#: Symbols at the end of a word that bound the length of its last label.
+TAIL = 3
 #: Marks that are a word of their own behind letters.
 MARKS = ".,;:!?"
 #: Texts are handled about so many code points at a time.
@@ -143,12 +145,22 @@ class WordPaths:
     def __init__(self, automaton: Automaton, end: str):
         self.automaton, self.end = automaton, end
         self.states: dict[str, str] = {}
+        #: Length of the longest label that ends in three symbols, by what stands behind it.
+        self.reach: dict[str, dict[str, int]] = {"": {}, end: {}}
+        for stop, reach in self.reach.items():
+            for label in automaton.time:
+                if label.endswith(stop):
+                    own = label[: len(label) - len(stop)]
+                    if len(own) > TAIL:
+                        reach[own[-TAIL:]] = max(len(own), reach.get(own[-TAIL:], 0))
 
     def step(self, word: str, stop: str = "") -> str:
         """Last label of the path that spells ``word`` and ``stop``; shorter words are known."""
         states, time = self.states, self.automaton.time
         n = len(word)
-        for start in range(max(0, n - self.automaton.longest), n):
+        # No longer label ends like the word.
+        longest = self.reach[stop].get(word[-TAIL:], TAIL)
+        for start in range(max(0, n - longest), n):
             label = word[start:] + stop
             if label in time and (
                 not start or self.automaton.arc(states[word[:start]], label)
