@@ -183,3 +183,25 @@ def test_quality_of_odd_texts(spark, odd_docs, no_docs, docs):
     assert quality_machine(no_docs, labels).constant == 0.5
     extra = labels.union(spark.createDataFrame([(None, 1, 1), (0, None, 1)], labels.schema))
     assert quality_machine(docs, extra).constant is None
+
+
+@pytest.mark.parametrize("module", [langid, quality])
+def test_texts_are_worked_on_in_small_parts(module, monkeypatch):
+    """A batch of many texts is never split into words whole; a text is never cut."""
+    held = []
+    learn = langid.Memo.learn
+
+    def noted(memo, *words):
+        held.append(sum(map(len, words)))
+        learn(memo, *words)
+
+    monkeypatch.setattr(langid.Memo, "learn", noted)
+    texts = ["ab cd " * 25_000] * 20 + ["ef " * 400_000]
+    if module is langid:
+        model = langid.fit(["ab cd", "ef gh"], ["x", "y"])
+        names, _ = langid.label_texts(texts, model, langid.Memo(model.chunk_scores))
+        assert names == ["x"] * 20 + ["y"]
+    else:
+        for a, b in quality.slices(texts):
+            quality.features(texts[a:b], [None] * (b - a), langid.Memo(quality.word_buckets))
+    assert sum(held) == 20 * 50_000 + 400_000 and max(held) <= 700_000

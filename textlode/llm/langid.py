@@ -43,7 +43,8 @@ WINDOW = 2_048
 #: ... that begin and end so many words outside what they decide.  A word's influence
 #: shrinks by a factor below 0.95 with each word, so it is nil in single precision.
 MARGIN = 320
-SLICE_CHARS = 8_000_000
+#: Texts worked on at a time; a chunk takes some ten times its characters, as an object and in scores.
+SLICE_CHARS = 2_000_000
 #: Words whose features are held at a time.
 BLOCK_WORDS = 1 << 16
 
