@@ -55,9 +55,9 @@ def pages_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread_scan(read_table(spark, sf_dir, "pages").select("page_id", "html"))
 
 
-def doc_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def doc_postings(spark: SparkSession, sf_dir: str, numbered: bool = False) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return st.term_frequency(docs, Analyzer())
+    return st.term_frequency(docs, Analyzer(), numbered=numbered)
 
 
 def doc_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +188,7 @@ def term_frequency_top(spark, sf_dir):
 
 
 def document_frequency(spark, sf_dir):
-    return st.document_frequency(doc_postings(spark, sf_dir))
+    return st.document_frequency(doc_postings(spark, sf_dir, numbered=True))
 
 
 def total_documents(spark, sf_dir):

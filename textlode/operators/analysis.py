@@ -69,17 +69,34 @@ class Analyzer:
     # -- array form --------------------------------------------------------
     def analyze(self, text: Column) -> Column:
         """All index tokens of a text as one array, in order."""
+        words, stem = self._kept_array(text)
+        return F.flatten(
+            F.transform(words, lambda w: tx.with_ngrams(stem(w), self.gram_sizes))
+        )
+
+    def word_array(self, text: Column) -> Column:
+        """The stemmed words of a text as one array, in order, without their n-grams."""
+        words, stem = self._kept_array(text)
+        return F.transform(words, stem)
+
+    def _kept_array(self, text: Column) -> tuple[Column, Callable[[Column], Column]]:
+        """Upper-case words that are not stopwords, and how one of them is stemmed."""
         if self.vocabulary_stemmer is not None or isinstance(self.stopwords, DataFrame):
             raise ValueError("table-driven steps need the row form: use tokens()")
         words = F.transform(self.tokenize(self._prepared(text)), self.normalize)
         words = tx.remove_stopwords(words, self.stopwords)
         if self.mode == "bytes":
-            stem = lambda w: bytemode.to_byte_form(self.stem(w))
-        else:
-            stem = self.stem
-        return F.flatten(
-            F.transform(words, lambda w: tx.with_ngrams(stem(w), self.gram_sizes))
-        )
+            return words, lambda w: bytemode.to_byte_form(self.stem(w))
+        return words, self.stem
+
+    @property
+    def plain(self) -> bool:
+        """Whether every step but the stopword list and the n-grams' sizes is the default one."""
+        return (
+            self.mode == "unicode" and self.tokenizer is None and self.stemmer is None
+            and self.vocabulary_stemmer is None and not isinstance(self.stopwords, DataFrame)
+            and all(size > 0 for size in self.gram_sizes)
+        )
 
     # -- row form ----------------------------------------------------------
     def kept_words(self, docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textlode.functions.grams import counted_grams
 from textlode.functions.text import gram_rows
 from textlode.operators.analysis import Analyzer
 from textlode.plans.sizing import join_tokens, keep_listed, spread_by
@@ -43,6 +44,7 @@ def term_frequency(
     only_tokens: Column | None = None,
     by_document: bool = True,
     words_first: bool = False,
+    numbered: bool = False,
 ) -> DataFrame:
     """Postings (doc_id, token, tf) of documents (doc_id, text).
 
@@ -58,8 +60,18 @@ def term_frequency(
     With ``words_first`` the words of a document are counted before their n-grams are
     made, so each different word is cut once; where texts are distributed by document
     that is one more aggregation and no shuffle.  It pays where documents repeat words.
+
+    With ``numbered`` tasks count numbers of n-grams with numpy, where texts are distributed
+    by document and the analysis is the default one.  Spark does not know that the rows of a
+    document then lie together, so it is for readers that deal them by token.
     """
     source = docs.select("doc_id", "text")
+    if numbered and by_document and only_tokens is None and analyzer.plain:
+        # Texts are put in order, so that rows of one document follow each other.
+        source = spread_by(source.where(F.col("text").isNotNull()), "doc_id")
+        source = source.sortWithinPartitions("doc_id")
+        words = source.select("doc_id", analyzer.word_array(F.col("text")).alias("words"))
+        return counted_grams(words, analyzer.gram_sizes)
     if by_document:
         source = spread_by(source, "doc_id")
     if by_document and words_first:
