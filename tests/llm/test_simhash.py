@@ -4,6 +4,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from samples import SF, docs, no_docs, odd_docs  # noqa: F401
 
 import corpus_pipeline
@@ -169,3 +170,11 @@ def test_components(spark):
     got = components(spark.createDataFrame(edges, "a long, b long")).where("node <> root")
     assert set(map(tuple, got.collect())) == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_keys_are_never_broadcast(spark):
+    """Spark sizes the some sixty keys of a fingerprint like the fingerprint itself."""
+    prints = spark.range(50).select(F.xxhash64("id").alias("fp"), F.xxhash64("id").alias("grp"))
+    for links in (simhash._hub_links, simhash._cross_links):
+        plan = links(prints, 4)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -189,22 +189,26 @@ def _hub_links(prints: DataFrame, max_bits: int) -> DataFrame:
     """Links between each fingerprint and the smallest of its key, where near enough.
 
     They join most of a dense group, one row for each member and key, before any
-    pairs are looked for.
+    pairs are looked for.  Spark takes keys for as few as the fingerprints they are made of
+    and would broadcast them, some sixty rows for each, so the join is a merge.
     """
     keyed = _keyed(prints, (2,)).select("key", "fp")
     hubs = keyed.groupBy("key").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("n"))
-    met = keyed.join(hubs.where("n > 1").select("key", "hub"), "key")
+    met = keyed.join(hubs.where("n > 1").select("key", "hub").hint("merge"), "key")
     near = _distance(F.col("fp"), F.col("hub")) <= max_bits
     return met.where((F.col("fp") != F.col("hub")) & near).select("fp", "hub").distinct()
 
 
 def _cross_links(prints: DataFrame, max_bits: int) -> DataFrame:
-    """(a, b): groups that hold fingerprints within the distance of each other."""
+    """(a, b): groups that hold fingerprints within the distance of each other.
+
+    Keys are merged, never broadcast: see :func:`_hub_links`.
+    """
     left = _keyed(prints, (0, 2)).toDF("key", "fp", "grp")
     right = _keyed(prints, (1, 2)).toDF("key2", "fp2", "grp2")
     a, b = F.col("fp"), F.col("fp2")
     pairs = left.join(
-        right,
+        right.hint("merge"),
         (F.col("key") == F.col("key2"))
         & (a < b)
         & (F.col("grp") != F.col("grp2"))
