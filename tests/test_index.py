@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from conftest import plan_of
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
@@ -255,6 +256,33 @@ def test_tf_maps(spark, corpus, tmp_path):
     assert rows(every, "doc_id", "has_tokens") == [(0, True), (1, False), (2, False)]
 
 
+def test_exported_lines_are_read_in_tasks_as_spark_reads_them(spark, tmp_path):
+    lines = [
+        '{"doc_id":1,"tf":{"A\\n\\"é":2,"B":1}}', '{"doc_id":2,"tf":{}}', "", "  ", '{"doc_id":3}', "{broken",
+        '{"doc_id":null,"tf":{"C":9007199254740993}}', '{"tf":{"𐐷":1},"doc_id":5}', "[1]", "7",
+    ]
+    (tmp_path / "part.json").write_text("\n".join(lines) + "\n", "utf-8")
+    path = str(tmp_path)
+    schema = "doc_id LONG, tf MAP<STRING,BIGINT>"
+    old = spark.read.schema(schema).json(path)
+    terms = import_tf_maps(spark, path, "LONG")
+    # Spark's reader remembers every name of an entry, which takes most of its time.
+    assert "MapInArrow" in plan_of(terms) and "Scan json" not in plan_of(terms)
+    order = str
+    assert sorted(map(tuple, terms.collect()), key=order) == sorted(
+        map(tuple, old.select("doc_id", F.explode("tf")).collect()), key=order
+    )
+    has = F.coalesce(F.size("tf") > 0, F.lit(False))
+    assert sorted(map(tuple, import_documents(spark, path, "LONG").collect()), key=order) == sorted(
+        map(tuple, old.select("doc_id", has).collect()), key=order
+    )
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "part.json").write_text('{"doc_id":"a","tf":{"A":1}}\n{"doc_id":7,"tf":{"B":1}}', "utf-8")
+    named = import_tf_maps(spark, f"{path}/s").collect()
+    assert sorted(map(tuple, named)) == [("7", "B", 1), ("a", "A", 1)]
+
+
+
 @pytest.mark.parametrize(
     ("path", "kind"),
     [
