@@ -82,3 +82,53 @@ def test_large_alphabets_are_told_apart():
 def test_sums_of_large_keys():
     keys, weights = np.array([2**62, 5, 2**62, 5]), np.array([1, 2, 3, 2**20])
     assert [list(x) for x in grams._summed(keys, weights)] == [[5, 2**62], [2 + 2**20, 4]]
+
+
+WORDS = [
+    (1, 0, [("BANANA", 2), ("BAN", 1)]), (1, 0, [("RUST\nBANANA", 1)]), (1, 3, [("BANANAS", 4), ("", 2)]),
+    (2, 0, [("ANANAS", 1), (None, 3)]), (None, 0, [("BANANA", 1)]), (3, 5, []), (4, 5, [("￿X", 1)]),
+]
+
+
+def given_words(spark):
+    schema = "doc_id long, ord long, terms array<struct<token: string, tf: long>>"
+    rows = spark.createDataFrame(WORDS, schema).repartition(3, "doc_id")
+    return rows.sortWithinPartitions("doc_id", "ord")
+
+
+def expected_terms():
+    """{(doc, ord): Counter of tokens}, by hand."""
+    found = {}
+    for doc, order, terms in WORDS:
+        tokens = found.setdefault((doc, order), Counter())
+        for word, tf in terms:
+            cut = [word] if word is None else [word] + [
+                word[i : i + n] for n in (3, 5) for i in range(len(word) - n)
+            ]
+            for token in cut:
+                tokens[token] += tf
+    return found
+
+
+@pytest.mark.parametrize("chunk", [1, 300_000])
+def test_stored_words_are_counted_as_numbers(spark, monkeypatch, chunk):
+    monkeypatch.setattr(grams, "CHUNK_WORDS", chunk)
+    found, rows = expected_terms(), given_words(spark)
+    each = Counter(tuple(r) for r in grams.counted_terms(rows, (3, 5), latest=False).collect())
+    assert each == Counter((d, t, n, o) for (d, o), tokens in found.items() for t, n in tokens.items())
+    latest = {}
+    for (doc, order), tokens in sorted(found.items(), key=lambda kv: kv[0][1]):
+        latest |= {(doc, token): (n, order) for token, n in tokens.items()}
+    kept = Counter(tuple(r) for r in grams.counted_terms(rows, (3, 5)).collect())
+    assert kept == Counter((d, t, n, o) for (d, t), (n, o) in latest.items())
+    df = grams.counted_documents(rows, (3, 5)).groupBy("token").agg(F.sum("n")).collect()
+    assert Counter(dict(map(tuple, df))) == Counter(t for _, t in latest)
+
+
+def test_tokens_of_words_are_made_once(spark):
+    words = spark.createDataFrame([("AAAAAA",), ("BAN",), ("",), (None,)], "word string")
+    rows = grams.word_tokens(words, (3, 5)).collect()
+    assert sorted(map(tuple, rows), key=str) == sorted([
+        ("AAAAAA", "AAAAAA", 1), ("AAA", "AAAAAA", 3), ("AAAAA", "AAAAAA", 1), ("BAN", "BAN", 1),
+        ("", "", 1), (None, None, 1),
+    ], key=str)

@@ -105,3 +105,14 @@ def test_tokens_of_all_texts_are_made_of_different_words(corpus):
         assert {r["token"]: r["n"] for r in found.collect()} == {r["token"]: r["count"] for r in plain}
         scans = found._jdf.queryExecution().optimizedPlan().collectLeaves().mkString()
         assert "text" not in scans and "word" in scans
+
+
+def test_no_posting_is_shuffled_to_read_or_merge_a_folder(spark, corpus, tmp_path, monkeypatch):
+    monkeypatch.setattr("textlode.operators.upserts.LOG_FILE_BYTES", 0)
+    docs = corpus({i: TEXTS[i % 4] + str(i) for i in range(12)})
+    tables = write_index(spark, docs, str(tmp_path / "i"), Analyzer())
+    index = TermIndex.open(spark, tables.path).update(3, "rust bandana")
+    plan = index.postings._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "MapInArrow" in plan
+    wanted = TermIndex.from_documents(docs).bulk_update(corpus({3: "rust bandana"})).postings
+    assert rows(index.postings, "doc_id", "token", "tf") == rows(wanted, "doc_id", "token", "tf")
