@@ -116,3 +116,17 @@ def test_no_posting_is_shuffled_to_read_or_merge_a_folder(spark, corpus, tmp_pat
     assert plan.count("Exchange ") == 1 and "MapInArrow" in plan
     wanted = TermIndex.from_documents(docs).bulk_update(corpus({3: "rust bandana"})).postings
     assert rows(index.postings, "doc_id", "token", "tf") == rows(wanted, "doc_id", "token", "tf")
+
+
+def test_texts_are_shuffled_to_upsert_them_and_no_posting(spark, corpus, monkeypatch):
+    monkeypatch.setattr("textlode.operators.upserts.LOG_FILE_BYTES", 0)
+    monkeypatch.setattr(sizing, "TEXT_PARTITION_BYTES", 16)
+    docs, more = corpus(TEXTS * 3), corpus({1: "rust", 99: "banana"})
+    updated = TermIndex.from_documents(docs).bulk_update(more)
+    plan = updated.postings._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "hashpartitioning" in line]
+    assert len(dealt) == 2 and all("hashpartitioning(doc_id" in x and "token" not in x for x in dealt)
+    log = term_frequency(docs.where("doc_id NOT IN (1, 99)").unionByName(more), Analyzer())
+    stale = term_frequency(docs.where("doc_id = 1"), Analyzer()).join(log, ["doc_id", "token"], "left_anti")
+    wanted = log.unionByName(stale)
+    assert rows(updated.postings, "doc_id", "token", "tf") == rows(wanted, "doc_id", "token", "tf")
