@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from textlode import Analyzer, TermIndex
 from textlode.functions.porter2 import porter2_stems
 from textlode.operators.statistics import document_frequency, term_frequency
+from textlode.operators.upserts import in_order
 from textlode.plans import sizing
-from textlode.sources.index_tables import IndexTables, write_index
+from textlode.sources.index_tables import IndexTables, forward_rows, write_index
 
 TEXTS = ["banana bandana banana", "bananas rust banana", "", "rusty trusty bandanas "]
 
@@ -130,3 +131,21 @@ def test_texts_are_shuffled_to_upsert_them_and_no_posting(spark, corpus, monkeyp
     stale = term_frequency(docs.where("doc_id = 1"), Analyzer()).join(log, ["doc_id", "token"], "left_anti")
     wanted = log.unionByName(stale)
     assert rows(updated.postings, "doc_id", "token", "tf") == rows(wanted, "doc_id", "token", "tf")
+
+
+def test_stemmed_words_are_shuffled_once(spark, corpus):
+    """To the tasks of their documents, from where they are written."""
+    docs = in_order(corpus(TEXTS), unique=True)
+    rows_of = forward_rows(docs, Analyzer(vocabulary_stemmer=porter2_stems), False, 16, words=True)
+    plan = rows_of._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") - plan.count("BroadcastExchange ") == 1
+
+
+def test_words_left_by_a_stopword_table_are_found_once(spark, corpus, tmp_path):
+    listed = spark.createDataFrame([("RUST",), ("",)], "word string")
+    analyzer, seen = Analyzer(stopwords=listed), []
+    spied = Analyzer(stopwords=listed, tokenizer=lambda text: seen.append(1) or analyzer.tokenize(text))
+    docs = corpus(["rust banana", "rust ", "", None])
+    tables = write_index(spark, docs, str(tmp_path / "i"), spied)
+    assert rows(tables.documents(), "doc_id", "has_tokens") == [(0, True), (1, False), (2, False)]
+    assert len(seen) == 1
