@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from textlode import Analyzer, TermIndex
 from textlode.operators import blockmax
+from textlode.operators.statistics import document_frequency, term_frequency
 from textlode.sources import index_tables
 from textlode.sources.index_tables import write_index
 
@@ -112,3 +113,34 @@ def test_shuffled_cells(spark, docs, requests, tmp_path):
         for n in (0, 1_000)
     )
     assert rows(few.results) == rows(many.results) and few.results.count() == 7
+
+
+def test_a_folder_with_blocks_stores_tokens_once(spark, tmp_path):
+    """Its copy by document holds words; upserts make their n-grams from there."""
+    texts = [(1, "banana bandana"), (2, "bananas rust"), (3, ""), (4, "rusty")]
+    schema, analyzer = "doc_id long, text string", Analyzer()
+    docs = spark.createDataFrame(texts, schema)
+    tables = write_index(spark, docs, str(tmp_path / "i"), analyzer, blocks=True)
+    words = analyzer.words(docs, "doc_id").distinct().count()
+    forward = tables._batch("forward", "bigint", 0)
+    assert forward.select(F.explode("terms")).count() == words < tables.log().count()
+
+    def agrees(tables, docs):
+        wanted = term_frequency(docs, analyzer)
+        for found, expected, columns in (
+            (tables.postings(), wanted, ["doc_id", "token", "tf"]),
+            (tables.frequencies(), document_frequency(wanted), ["token", "df"]),
+        ):
+            assert sorted(map(tuple, found.select(columns).collect())) == sorted(
+                map(tuple, expected.select(columns).collect())
+            )
+
+    agrees(tables, docs)
+    more = spark.createDataFrame([(5, "ananas rust")], schema)
+    write_index(spark, more, tables.path, analyzer)
+    agrees(tables, docs.unionByName(more))
+    again = spark.createDataFrame([(4, "rusty zebra")], schema)
+    write_index(spark, again, tables.path, analyzer)
+    all_docs = docs.where("doc_id <> 4").unionByName(more).unionByName(again)
+    agrees(tables, all_docs)
+    agrees(tables.compact(str(tmp_path / "c")), all_docs)
